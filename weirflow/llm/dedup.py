@@ -5,10 +5,12 @@ smallest id stands for it. Each class gets ``PERMS`` universal hash minima; ``BA
 propose pairs, signatures and then the full sets confirm them, and connected components come from
 alternating large-star and small-star steps.
 
-Large buckets are not expanded into pairs. Each member is first held against the smallest member of
-its bucket. Only pairs of a bucket that the links so far leave in different components remain, and
-these are all held against each other, in blocks when a bucket is large; so no proposed link between
-components is lost.
+Buckets are not expanded into pairs. Each member is first held against the smallest member of its
+bucket. What remains are pairs of a bucket that the links so far leave in different components: within
+a bucket (in blocks, when it is large) those whose signatures agree are tied into families, of which
+only spanning edges are emitted; each family's sets then meet (in blocks again), all its pairs between
+components are compared exactly, and again only spanning links are emitted. So no proposed link
+between components is lost, and rows grow with the number of members.
 
 Chance of missing a pair of similarity 0.8: (1 - 0.8**4)**32 < 1e-7; the signature filter cuts six
 standard deviations below the threshold.
@@ -27,9 +29,8 @@ from weirflow.llm import _text as T
 from weirflow.llm._shared import maybe_broadcast, written
 
 PERMS, BANDS = 128, 32
-#: Buckets up to this size are paired by a join; larger ones are compared in blocks.
-SMALL_BUCKET = 32
-BLOCK = 1024
+#: Members and shingles of a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Ids (8 bytes each) that may be broadcast.
 MOST_IDS = 500_000
 
@@ -133,27 +134,78 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _across(least: float):
-    """Pairs of one block, or of two blocks of a bucket, that lie in different components and whose signatures agree."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of ``g``, which come sorted by it."""
+    held, key = [], None
+    for b in batches:
+        g = b.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                if held and g[x] != key:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(b.slice(x, y - x))
+                key = g[x]
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(t: pa.Table) -> pa.Table:
+
+def _spanning(least: float, size: int, percent: int, exact: bool):
+    """Spanning edges over the members of each run, between members of different components whose signatures agree, and if ``exact`` whose sets do."""
+
+    def of(t: pa.Table) -> Iterator[tuple[int, int]]:
         rep, comp, blk = (t.column(c).to_numpy() for c in ("rep", "comp", "blk"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, PERMS)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows, cols = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        a, b = [], []
-        for r in rows.tolist():
-            other = cols[(comp[cols] != comp[r]) & ((rep[cols] > rep[r]) if i == j else True)]
+        one, two = blk == i, blk == j
+        # members of one component are one from the start; an edge makes two components one
+        own = np.unique(comp, return_inverse=True)[1]
+        if exact:
+            values, offs = shingle_sets(*T.strings(t.column("text")), size)
+            every, ids = np.unique(values, return_inverse=True)
+            mark, n = np.zeros(len(every), np.int32), np.diff(offs)
+        for r in np.flatnonzero(one).tolist():
+            other = np.flatnonzero(two & (own != own[r]))
+            if i == j:
+                other = other[other > r]
             if len(other):
-                hit = other[(sig[other] == sig[r]).mean(axis=1) >= least]
-                a.append(np.full(len(hit), rep[r]))
-                b.append(rep[hit])
-        z = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a) if a else z, "b": np.concatenate(b) if b else z})
+                other = other[(sig[other] == sig[r]).mean(axis=1) >= least]
+            if exact and len(other):
+                mine = ids[offs[r] : offs[r + 1]]
+                mark[mine] = 1
+                same = np.array([mark[ids[offs[k] : offs[k + 1]]].sum() for k in other.tolist()])
+                mark[mine] = 0
+                other = other[100 * same >= percent * (n[other] + n[r] - same)]
+            for k in other.tolist():
+                if own[k] != own[r]:
+                    own[own == own[k]] = own[r]
+                    yield int(rep[r]), int(rep[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for t in _runs(batches):
+            new = [(min(e), max(e)) for e in of(t)]
+            out = [e for e in dict.fromkeys(new) if e not in seen]
+            if len(seen) < 200_000:
+                seen.update(out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _met_in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
+    """Deals the members of each ``key`` into blocks, copies each to the pairs of blocks that its own is in, and sorts the pairs together."""
+    dealt = (
+        members.withColumn("nb", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
+        .withColumn("g", F.xxhash64(key, "i", "j")).drop("nb", "o", key)
+    )
+    return dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "rep")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Alternate large-star and small-star until the edges (a, b) no longer change; returns (node, component), smallest id first, without the components' own smallest ids."""
 
@@ -212,23 +264,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     placed = multi.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     open_ = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
     placed = written(placed.join(open_, "h"), "open")
-    little = placed.where(F.col("size") <= SMALL_BUCKET)
-    pairs = (
-        little.select("h", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        .join(little.select("h", F.col("rep").alias("b"), F.col("comp").alias("cb")), "h")
-        .where("a < b and ca != cb").select("a", "b").distinct()
-    )
-    big = placed.where(F.col("size") > SMALL_BUCKET)
-    if big.limit(1).count():
-        nb = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = (
-            big.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "rep", "comp")
-            .join(classes.select("rep", "sig"), "rep")
-        )
-        pairs = pairs.unionByName(dealt.groupBy("h", "i", "j").applyInArrow(_across(least), "a long, b long")).distinct()
-    rest = confirmed(written(pairs, "rest-pairs"), "rest")
+    sigs = classes.select("rep", "sig", "n")
+    at = _met_in_blocks(placed.join(sigs, "rep"), "h", F.ceil(F.col("size") / BLOCK))
+    ties = written(at.mapInArrow(_spanning(least, shingle, percent, False), "a long, b long"), "ties")
+    families = components(ties)
+    families = written(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct(), "families").toDF("rep", "family")
+    blocks = families.join(sigs.select("rep", "n"), "rep").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    ids = families.select(F.col("rep").alias("doc_id"))
+    texts = raw.join(maybe_broadcast(ids, MOST_IDS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    comps = comp.withColumnRenamed("node", "rep")
+    members = families.join(blocks, "family").join(texts, "rep").join(sigs.drop("n"), "rep").join(comps, "rep", "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"), "sig", "text", "blocks")
+    rest = written(_met_in_blocks(members, "family", F.col("blocks")).mapInArrow(_spanning(least, shingle, percent, True), "a long, b long"), "rest")
     if rest.limit(1).count():
         comp = written(components(first.unionByName(rest)), "components")
     lead = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("members > 1 or component is not null").select("n", "d1", "d2", F.coalesce("component", "rep").alias("comp"))
