@@ -1,0 +1,102 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from weirflow.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base(t):
+    t = t or ""
+    return [
+        [m.span() for m in EMAIL.finditer(t)],
+        [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
+        [m.span() for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))],
+        [m.span() for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15],
+    ]
+
+
+def joined(spans):
+    return [f"{k}:{a}:{b}" for k, s in zip(pii.KINDS, spans, strict=True) for a, b in s]
+
+
+def check(df):
+    texts = {r.doc_id: r.text for r in df.collect()}
+    extra = {}
+    for r in pii.span_report(df).collect():
+        want = base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(len, want)), r
+        assert r.base_sha256 == hashlib.sha256(",".join(joined(want)).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(joined(want)) <= set(spans)
+        key = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in spans)]
+        assert key == sorted(key)
+        if more := set(spans) - set(joined(want)):
+            extra[r.doc_id] = {k: texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in more)}
+    return extra
+
+
+def test_base_spans_on_documents_and_no_others(docs):
+    assert check(docs) == {}
+
+
+def test_base_spans_on_random_texts(spark):
+    r = random.Random(3)
+    kinds = ["0123456789 -", "ab@.-_ 1", "0123.", "+12 ().-3", "a@b.c..d@e.f_é漢 "]
+    rows = [(i, "".join(r.choice(a) for _ in range(r.randint(0, 60)))) for i in range(1500) for a in [r.choice(kinds)]]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_edge_cases(spark, odd, none):
+    check(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    assert pii.span_report(none).count() == 0
+    assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
+    texts = ["1234567 " * 30, "9" * 20_000, "a@b" + ".c" * 900 + " x", "1.2.3.4.5.6.7.8 300.1.1.1 0001.0002.3.000255", "+" * 5000 + "12", ("4111 1111 1111 1111 é x@y.z " * 700)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    long = spark.createDataFrame([(0, "a" * 300_000 + "@x.y " + "b" * 300_000)], "doc_id long, text string")
+    assert pii.span_report(long).first().spans == "email:0:300004"
+
+
+def test_candidates_are_chosen_by_format_and_context(spark):
+    rows = [
+        (0, "tel: (415) 555-0132 and so on"),
+        (1, "pay with card 4111.1111.1111.1111 today"),
+        (2, "write to bob (at) example (dot) org soon"),
+        (3, "host 10[.]0[.]0[.]7 is down"),
+        (4, "born 2001-02-03 in isbn 978 316 148410"),
+        (5, "we met at home. The end of version 1.2.3 and order 123-456-7890"),
+        (6, "numbers 12 345 678 and 4111.1111.1111.1112 and total $123.456.7890"),
+    ]
+    extra = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert extra == {0: {"phone": "(415) 555-0132"}, 1: {"card": "4111.1111.1111.1111"}, 2: {"email": "bob (at) example (dot) org"}, 3: {"ip": "10[.]0[.]0[.]7"}}
+    out = [r.text for r in pii.redact(spark.createDataFrame(rows[:3], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out == ["tel: [phone] and so on", "pay with card [card] today", "write to [email] soon"]
+
+
+def test_boosting_learns_an_interaction():
+    r = np.random.default_rng(0)
+    x = r.integers(0, 4, (800, 5))
+    y = ((x[:, 1] > 1) ^ (x[:, 3] > 2)).astype(float)
+    m = pii.boost(x, y)
+    assert ((m.scores(x) > 0) == (y > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize("f", [pii.span_report, pii.redact])
+def test_main_path_is_native(docs, f):
+    plan = f(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

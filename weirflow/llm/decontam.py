@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, most_
 def report(found: DataFrame, *, least_items: int = 2) -> DataFrame:
     """The result of ``contamination`` with n_words, n_hit, n_items, items_sha256 and contaminated in place of its working columns."""
     return found.select(
-        *[c for c in found.columns if not c.startswith("__wf_")],
+        *[F.col(f"`{c}`") for c in found.columns if not c.startswith("__wf_")],
         F.col("__wf_n_words").alias("n_words"),
         F.coalesce(F.expr("aggregate(__wf_spans, 0L, (a, x) -> a + x.words)"), F.lit(0)).cast("long").alias("n_hit"),
         F.size("__wf_items").cast("long").alias("n_items"),
