@@ -20,6 +20,23 @@ class ModelError(ValueError):
     """A data set lacks a property or has it in another type."""
 
 
+_NAMES = {
+    "BOOLEAN": T.BooleanType(), "TINYINT": T.ByteType(), "SMALLINT": T.ShortType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "LONG": T.LongType(), "FLOAT": T.FloatType(),
+    "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "DATE": T.DateType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def _plain_ddl(text: str) -> T.StructType | None:
+    """A schema of value types, read without a session; None for anything else."""
+    fields = []
+    for m in (re.fullmatch(r"\s*(\w+)\s+(\w+)(?:\((\d+)\s*,\s*(\d+)\))?\s*", p) for p in re.split(r",(?![^()]*\))", text)):
+        kind = m and (T.DecimalType(int(m[3]), int(m[4])) if m[3] and m[2].upper() == "DECIMAL" else None if m[3] else _NAMES.get(m[2].upper()))
+        if not kind:
+            return None
+        fields.append(T.StructField(m[1], kind))
+    return T.StructType(fields)
+
+
 @dataclass(frozen=True)
 class Model:
     """Named, typed, nullable properties. A data set conforms if it has at least these columns in these types."""
@@ -32,7 +49,7 @@ class Model:
         if isinstance(schema, DataFrame):
             schema = schema.schema
         if isinstance(schema, str):
-            schema = T.StructType.fromDDL(schema)
+            schema = _plain_ddl(schema) or T.StructType.fromDDL(schema)
         out = cls(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
         odd = [f.name for f in out.schema if not isinstance(f.dataType, VALUE_TYPES)]
         if strict and odd:
