@@ -109,3 +109,34 @@ def test_stream_as_rounds(spark, tmp_path):
     flow = lambda d: Flow().add("d", lambda ctx, s: d).sink("o", "d", FlatOutput(f"{tmp_path}/out", "b${batch}-*.parquet"))
     run_stream(source, flow, f"{tmp_path}/cp").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/*.parquet").count() == 30
+
+
+def test_settings_and_sizes(spark):
+    from weirflow.config import Settings, sized
+
+    assert Settings.of(spark).slots is None and Settings.of(spark).stop_on_fail
+    spark.conf.set("weirflow.slots", "2")
+    spark.conf.set("weirflow.stopOnFail", "false")
+    try:
+        s = Settings.of(spark)
+        assert (s.slots, s.stop_on_fail) == (2, False)
+        assert [s.partitions(x) for x in ("tiny", "small", "regular", "huge")] == [1, 4, 8, 32]
+    finally:
+        spark.conf.unset("weirflow.slots")
+        spark.conf.unset("weirflow.stopOnFail")
+    assert sized(spark.range(10), "small", "id").rdd.getNumPartitions() == 4
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from weirflow.__main__ import main
+
+    (tmp_path / "jobs_under_test.py").write_text(
+        "from tests.test_flow import numbers\n" f"def flow():\n    return numbers({str(tmp_path / 'out')!r})\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert main(["jobs_under_test:flow", "--verify", "--arg", "round=1"]) == 0 and "Physical Plan" in capsys.readouterr().out
+    assert main(["jobs_under_test:flow", "--arg", "round=1"]) == 0
+    (tmp_path / "rounds.csv").write_text("round\n7\n8\n9\n")
+    assert main(["jobs_under_test:flow", "--rounds", str(tmp_path / "rounds.csv"), "--slots", "1"]) == 1
+    assert main(["jobs_under_test:flow", "--rounds", str(tmp_path / "rounds.csv"), "--go-on"]) == 0
+    assert {f.name[0] for f in (tmp_path / "out").glob("*.parquet")} == {"1", "7", "9"}

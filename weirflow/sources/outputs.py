@@ -278,11 +278,12 @@ def write_outputs(outputs: Sequence[tuple[str, DataFrame, FlatOutput | GroupOutp
     with ThreadPoolExecutor(max(1, min(8, len(outputs)))) as pool:
         futures = [pool.submit(one, x) for x in outputs]
         failed = None
-        for f in futures:
+        for f, (port, _, _) in zip(futures, outputs, strict=True):
             try:
                 if (p := f.result()) is not None:
                     done.append(p)
             except Exception as e:  # the others are waited for, then all is taken back
+                e.add_note(f"in output {port}")
                 failed = failed or e
     if failed:
         abort(done)
