@@ -2,8 +2,8 @@
 
 Documents are encoded in ascending id order, each followed by an end id, and their ids are laid end to end
 and cut into sequences of ``length`` ids. Each shard is an Arrow IPC *file* whose record batches hold two
-fixed-size-list columns, ``ids`` and ``mask`` (1: an id, 0: padding at the shard's end), all batches but the
-last with the same number of sequences; so sequence k lies at a computed place and is read without copying.
+fixed-size-list columns, ``ids`` and ``mask`` (a bit each; 1: an id, 0: padding at the shard's end), all batches
+but the last with the same number of sequences; so sequence k lies at a computed place and is read without copying.
 A second Arrow file for each shard lists its documents. A manifest names the files of the attempts that
 succeeded, so files of lost or repeated tasks are never read.
 """
@@ -147,8 +147,12 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def _pair(flat: np.ndarray, mask: np.ndarray, length: int) -> list[pa.Array]:
-    return [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, mask)]
+def _pair(ids: np.ndarray, length: int) -> list[pa.Array]:
+    """Ids and mask of sequences; the last one is padded."""
+    n = -(-len(ids) // length) * length
+    mask = np.packbits(np.arange(n) < len(ids), bitorder="little")
+    bits = pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(mask)])
+    return [pa.FixedSizeListArray.from_arrays(x, length) for x in (pa.array(np.pad(ids, (0, n - len(ids)))), bits)]
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -162,25 +166,21 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int, per_batch: int
         enc = _encoder(tokenizer)
         kind = pa.from_numpy_dtype(enc.dtype)
         shard, out, index, first, docs, tokens, rest = uuid.uuid4().hex, None, None, None, 0, 0, bytearray()
-        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         block = length * per_batch * enc.dtype.itemsize
 
         def flush(last: bool) -> None:
             at = 0
             while len(rest) - at >= block:
-                ids = np.frombuffer(bytes(rest[at : at + block]), enc.dtype)
-                out.write_batch(pa.record_batch(_pair(ids, np.ones(len(ids), np.uint8), length), schema=schema))
+                out.write_batch(pa.record_batch(_pair(np.frombuffer(bytes(rest[at : at + block]), enc.dtype), length), schema=schema))
                 at += block
             del rest[:at]
             if last and rest:
-                ids = np.frombuffer(bytes(rest), enc.dtype)
-                full = -len(ids) % length
-                mask = np.concatenate([np.ones(len(ids), np.uint8), np.zeros(full, np.uint8)])
-                out.write_batch(pa.record_batch(_pair(np.concatenate([ids, np.zeros(full, enc.dtype)]), mask, length), schema=schema))
+                out.write_batch(pa.record_batch(_pair(np.frombuffer(bytes(rest), enc.dtype), length), schema=schema))
 
         sinks = []
         for b in batches:
-            for part in T.batches_of(b, "text", 4 << 20):
+            for part in T.batches_of(b, "text", 2 << 20):
                 if out is None:
                     sinks = [fs.open_output_stream(f"{base}/{shard}.arrow"), fs.open_output_stream(f"{base}/{shard}.docs.arrow")]
                     out, index = pa.ipc.new_file(sinks[0], schema), pa.ipc.new_file(sinks[1], _INDEX)
@@ -226,10 +226,12 @@ class Shard:
         return (n - 1) * self.per_batch + self.file.get_batch(n - 1).num_rows if n else 0
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, without copying."""
+        """Ids of sequence k and its mask, eight to a byte from the lowest bit, both without copying. A length divisible by 8 is required."""
         batch = self.file.get_batch(k // self.per_batch)
         at = (k % self.per_batch) * self.length
-        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[at : at + self.length] for c in ("ids", "mask"))
+        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[at : at + self.length]
+        bits = np.frombuffer(batch.column("mask").flatten().buffers()[1], np.uint8)[at // 8 : (at + self.length) // 8]
+        return ids, bits
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """Ids from place ``start`` of the shard, over as many batches as they reach."""
@@ -259,9 +261,11 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 0, length: int = LENGTH, per_batch: int = BATCH, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode all texts and write them as shards under ``folder`` (default: a new one in the shared folder).
 
-    ``tokenizer`` is a file that every executor has at that path. A null or empty text is its end id alone. Null ids come
+    ``tokenizer`` is a file that every executor has at that path; ``length`` is divisible by 8. A null or empty text is its end id alone. Null ids come
     first; rows that repeat an id follow each other by text. Other columns are ignored. An empty table writes no shard.
     """
+    if length % 8:
+        raise ValueError("the length must be divisible by 8")
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
