@@ -67,6 +67,14 @@ def test_ties_hot_vectors_and_bad_vectors(spark, monkeypatch):
     assert ann.nearest(df.where("vec_id % 20 != 0"), asks()).count() == 0
 
 
+def test_ties_between_different_vectors(spark):
+    """Vectors of small whole numbers: many equal inner products, also at the last rank."""
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in r.integers(0, 2, 8)]) for i in r.permutation(300)]
+    rows = [x for x in rows if any(x[1])]
+    assert compare(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows) == 1
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(2).normal(size=(500, 6))
     t = ann.grow(x, 20)

@@ -105,14 +105,14 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         v = b.column("v")
         offs, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([flat[a:z].tobytes() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], ["rep", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), pa.array([flat[a:z].tobytes() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], ["rep", "low", "v"])
 
 
 def _place(spread, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(spread.value.place(_matrix(b.column("v"), dim)))], ["rep", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), b.column("v"), pa.array(spread.value.place(_matrix(b.column("v"), dim)))], ["rep", "low", "v", "leaf"])
 
     return run
 
@@ -130,7 +130,7 @@ def _visit(spread, dim: int, most: int, sizes: np.ndarray, least: int):
                     if len(own) >= most and held >= least:
                         break
                 out.append(own)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(out, pa.list_(pa.int64()))], ["rep", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), b.column("v"), pa.array(out, pa.list_(pa.int64()))], ["rep", "low", "v", "leaves"])
 
     return run
 
@@ -144,19 +144,19 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
         yield at[np.lexsort((ids[at], -row[at]))[:k]]
 
 
-_NEAR = pa.list_(pa.struct([("far", pa.float64()), ("rep", pa.int64())]))
+_NEAR = pa.list_(pa.struct([("far", pa.float64()), ("low", pa.int64()), ("rep", pa.int64())]))
 
 
 def _meet(dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], _NEAR)})
-        ids, v = right.column("rep").to_numpy(), _matrix(right.column("v"), dim)
+        ids, low, v = right.column("rep").to_numpy(), right.column("low").to_numpy(), _matrix(right.column("v"), dim)
         near = []
         q = _matrix(left.column("v"), dim)
         for at in range(0, len(q), 256):
             score = q[at : at + 256] @ v.T
-            near.extend([{"far": float(-row[i]), "rep": int(ids[i])} for i in best.tolist()] for row, best in zip(score, _best(score, ids, k), strict=True))
+            near.extend([{"far": float(-row[i]), "low": int(low[i]), "rep": int(ids[i])} for i in best.tolist()] for row, best in zip(score, _best(score, low, k), strict=True))
         return pa.table({"q": left.column("rep").combine_chunks(), "near": pa.array(near, _NEAR)})
 
     return run
@@ -200,16 +200,16 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
         return spark.createDataFrame([], schema)
     dim = lengths[0]["d"]
     rows = rows.where(F.size("v") == dim)
-    classes = rows.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.max("asks").alias("asks"), F.first("v").alias("v"))
-    # equal ids with different vectors would share a representative, so a class is named by its hash
-    classes = written(classes.select("h", "g", "n", "asks", F.xxhash64("h", "g").alias("rep"), "v"), "classes")
-    raw = written(classes.select("rep", "v").mapInArrow(_raw, "rep long, v binary"), "vectors")
+    classes = rows.groupBy("h", "g").agg(F.min("vec_id").alias("low"), F.max("asks").alias("asks"), F.first("v").alias("v"))
+    # a class is named by its hash, as an id may repeat with other vectors; its smallest id decides ties between classes
+    classes = written(classes.select("asks", F.xxhash64("h", "g").alias("rep"), "low", "v"), "classes")
+    raw = written(classes.select("rep", "low", "v").mapInArrow(_raw, "rep long, low long, v binary"), "vectors")
     sample = raw.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
     x = np.frombuffer(b"".join(sample["v"]), np.float64).reshape(-1, dim)
     total = raw.count()
     tree = grow(x, max(8, len(x) * LEAF // max(total, LEAF)))
     spread = spark.sparkContext.broadcast(tree)
-    placed = written(raw.mapInArrow(_place(spread, dim), "rep long, v binary, leaf long"), "placed")
+    placed = written(raw.mapInArrow(_place(spread, dim), "rep long, low long, v binary, leaf long"), "placed")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():  # one row a leaf
         sizes[r["leaf"]] = r["count"]
@@ -226,17 +226,17 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     needed = np.sort([place[r.q][r.leaf] + 1 for r in truth]) if truth else np.array([1])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
 
-    asked = written(asking.mapInArrow(_visit(spread, dim, visits, sizes, 2 * k + 2), "rep long, v binary, leaves array<long>"), "visits")
+    asked = written(asking.mapInArrow(_visit(spread, dim, visits, sizes, 2 * k + 2), "rep long, low long, v binary, leaves array<long>"), "visits")
     waiting = np.zeros(tree.leaves, np.int64)
     for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # one row a leaf
         waiting[r["leaf"]] = r["count"]
     blocks = spark.createDataFrame([(i, int(-(-s // CELL)) or 1, int(-(-w // CELL)) or 1) for i, (s, w) in enumerate(zip(sizes.tolist(), waiting.tolist(), strict=True))], "leaf long, nv int, nq int")
     blocks = F.broadcast(blocks)  # one row a leaf, at most SAMPLE / 8
 
-    one = _cells(asked.select("rep", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf"), "nq", "nv", "qb", "vb")
+    one = _cells(asked.select("rep", "low", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf"), "nq", "nv", "qb", "vb")
     two = _cells(placed.join(blocks, "leaf"), "nv", "nq", "vb", "qb")
     key = ("leaf", "qb", "vb")
-    met = one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_meet(dim, k + 1), "q long, near array<struct<far:double,rep:long>>")
+    met = one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_meet(dim, k + 1), "q long, near array<struct<far:double,low:long,rep:long>>")
     best = met.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))  # at most k + 1 for each cell visited
 
     # classes back to rows: only the smallest ids of a class can show
@@ -253,4 +253,4 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
 def _cells(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
     """Deals rows to their side's blocks of a leaf, and copies them to the other side's blocks."""
     df = df.withColumn(own_block, F.pmod(F.xxhash64("rep", F.lit(2)), F.col(own)).cast("int")).withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    return df.select("leaf", "qb", "vb", "rep", "v")
+    return df.select("leaf", "qb", "vb", "rep", "low", "v")
