@@ -14,14 +14,14 @@ FORMATS = ("parquet", "orc", "csv", "json", "text")
 
 
 def read_direct(spark: SparkSession, ctx: RunContext, base: str, resource: str | Iterable[str], model: Model | None = None, *, fmt: str = "parquet", where: Column | None = None, options: dict | None = None, counters: Counters | None = None, port: str | None = None) -> DataFrame:
-    """Reads one resource or several below ``base``; names may have ``${arg}`` and globs.
+    """Reads one resource or several below ``base`` (absolute ones as they are); names may have ``${arg}`` and globs.
 
     With a model, exactly its columns are read. ``where`` is pushed to the files as far as the format allows.
     """
     if fmt not in FORMATS:
         raise ValueError(f"no format {fmt}")
     resources = [resource] if isinstance(resource, str) else list(resource)
-    paths = [f"{ctx.resolve(base).rstrip('/')}/{ctx.resolve(r)}" for r in resources]
+    paths = [r if r.startswith("/") or "://" in r else f"{ctx.resolve(base).rstrip('/')}/{r}" for r in map(ctx.resolve, resources)]
     reader = spark.read.format(fmt).options(**(options or {}))
     if model is not None:
         reader = reader.schema(model.schema)
@@ -35,5 +35,4 @@ def read_direct(spark: SparkSession, ctx: RunContext, base: str, resource: str |
 
 def read_staged(spark: SparkSession, ctx: RunContext, paths: Iterable[str], model: Model, **options) -> DataFrame:
     """Reads what an importer has staged as Parquet, from several paths."""
-    paths = [ctx.resolve(p) for p in paths]
-    return read_direct(spark, RunContext(), "", [p.lstrip("/") for p in paths], model, **options) if all(p.startswith("/") for p in paths) else spark.read.schema(model.schema).parquet(*paths)
+    return read_direct(spark, ctx, "", paths, model, **options)
