@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import CHUNK_BYTES, pieces, text_bytes, written
+from weirflow.llm._shared import pieces, text_bytes, written
 
+#: Text bytes of a chunk, about; a task's arrays take some 25 times as much.
+CHUNK_BYTES = 12 << 20
 BUCKETS = 24  # of the context's count, by powers of two
 FINE, DEPTH = 4, 40  # EM sees log2 probabilities in steps of 1 / FINE, down to -DEPTH
 ROUNDS = 60
@@ -107,14 +109,15 @@ def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
     tok, before, offs = _tokens(*T.strings(left.column("text")))
     answer = right.sort_by("slot")
     fold = left.column("fold").to_numpy()
-    got = {c: [T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)] for c in ("train", "fold")}
-    counts: dict[str, list[np.ndarray]] = {}
-    for c, blobs in got.items():
-        flat, at, counts[c] = np.concatenate(blobs), 0, []
-        for keys in _keys(tok, before):
-            every, back = np.unique(keys, return_inverse=True)
-            counts[c].append(flat[at : at + len(every)][back])
-            at += len(every)
+    flat = {c: np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)]) for c in ("train", "fold")}
+    counts: dict[str, list[np.ndarray]] = {"train": [], "fold": []}
+    at = 0
+    for keys in _keys(tok, before):
+        every, back = np.unique(keys, return_inverse=True)
+        for c, found in counts.items():
+            found.append(flat[c][at : at + len(every)][back])
+        at += len(every)
+    del tok, before, keys, every, back, flat
     types = sum(answer.column("types").to_pylist())
     cols: dict[str, list] = {"doc_id": left.column("doc_id").to_pylist(), "fold": fold.tolist(), "n_tokens": np.diff(offs).tolist(), "types": [types] + [0] * (len(fold) - 1)}
     spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
