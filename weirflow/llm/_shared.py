@@ -2,42 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that one in-memory chunk of documents aims at.
-CHUNK_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+from weirflow.scratch import new_path, shared_dir
 
-    Only a local session may lack the setting; it then gets a temporary folder, since
-    driver and executors are one process there.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="weirflow-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir() or made
+__all__ = ["CHUNK_BYTES", "forget", "id_crc32", "maybe_broadcast", "new_path", "pieces", "shared_dir", "text_bytes", "written"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weirflow-{name}-{uuid.uuid4().hex}"
+#: Text bytes that one in-memory chunk of documents aims at.
+CHUNK_BYTES = 16 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._wf_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of ``written`` frames that nothing will read any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._wf_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import maybe_broadcast, written
+from weirflow.llm._shared import forget, maybe_broadcast, written
 
 PERMS, BANDS = 128, 32
 #: Members and shingles of a block; two blocks meet in a task.
@@ -220,7 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+        before, now = now, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+        forget(before)
         then, seen = seen, state(now)
         if then == seen:
             break
@@ -254,7 +255,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         ids = written(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
         texts = written(raw.join(maybe_broadcast(ids, MOST_IDS), "doc_id", "left_semi"), f"{name}-texts")
         full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
+        links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
+        forget(near, ids, texts)
+        return links
 
     star = confirmed(multi.where("rep != c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct(), "star")
     # ids that repeat with different texts tie their classes together
@@ -268,15 +271,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     at = _met_in_blocks(placed.join(sigs, "rep"), "h", F.ceil(F.col("size") / BLOCK))
     ties = written(at.mapInArrow(_spanning(least, shingle, percent, False), "a long, b long"), "ties")
     families = components(ties)
-    families = written(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct(), "families").toDF("rep", "family")
+    families = written(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("rep", "family"), "families")
     blocks = families.join(sigs.select("rep", "n"), "rep").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     ids = families.select(F.col("rep").alias("doc_id"))
     texts = raw.join(maybe_broadcast(ids, MOST_IDS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     comps = comp.withColumnRenamed("node", "rep")
     members = families.join(blocks, "family").join(texts, "rep").join(sigs.drop("n"), "rep").join(comps, "rep", "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"), "sig", "text", "blocks")
     rest = written(_met_in_blocks(members, "family", F.col("blocks")).mapInArrow(_spanning(least, shingle, percent, True), "a long, b long"), "rest")
+    forget(multi, placed, ties, families)
     if rest.limit(1).count():
         comp = written(components(first.unionByName(rest)), "components")
+    forget(star, rest)
     lead = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("members > 1 or component is not null").select("n", "d1", "d2", F.coalesce("component", "rep").alias("comp"))
     out = sk.drop("sig").join(lead, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
