@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
+from importlib.metadata import entry_points
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,11 @@ class Listener:
     def round_completed(self, ctx: RunContext, error: Exception | None) -> None: ...
 
 
+def installed_listeners() -> list[Listener]:
+    """One of each listener class in the entry-point group ``weirflow.listeners``."""
+    return [e.load()() for e in entry_points(group="weirflow.listeners")]
+
+
 @dataclass
 class Node:
     name: str
@@ -190,7 +196,7 @@ class Flow:
     def run(self, spark: SparkSession, ctx: RunContext | None = None, *, listeners: Iterable[Listener] = (), counters: Counters | None = None, keep: Iterable[str] | None = None) -> Counters:
         """Builds, writes and commits. ``keep``: references to persist while running (default: those that are shared)."""
         ctx, counters, began, error = ctx or RunContext(flow=self.name), counters or Counters(), time.time(), None
-        listeners = list(listeners)
+        listeners = [*installed_listeners(), *listeners]
         for x in listeners:
             x.run_started(ctx)
         held: list[DataFrame] = []

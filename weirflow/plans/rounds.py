@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from weirflow.context import RunContext
-from weirflow.plans.flow import Flow, Kind, Listener
+from weirflow.plans.flow import Flow, Kind, Listener, installed_listeners
 from weirflow.sources.outputs import Prepared, StagedOutput, abort, commit, delete_matching, prepare
 
 
@@ -35,7 +35,7 @@ def run_rounds(flow: Flow, spark: SparkSession, contexts: Iterable[RunContext],
     are committed.
     """
     waiting, out, transaction = list(contexts), RoundResult(), uuid.uuid4().hex
-    listeners, lock, memo, kept = list(listeners), threading.Lock(), {}, []
+    listeners, lock, memo, kept = [*installed_listeners(), *listeners], threading.Lock(), {}, []
     prepared: list[Prepared] = []
 
     def tell(what: str, *args) -> None:
