@@ -172,7 +172,7 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Itera
 
 def packed(x: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 

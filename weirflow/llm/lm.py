@@ -28,6 +28,8 @@ CHUNK_BYTES = 12 << 20
 BUCKETS = 24  # of the context's count, by powers of two
 FINE, DEPTH = 4, 40  # EM sees log2 probabilities in steps of 1 / FINE, down to -DEPTH
 ROUNDS = 60
+#: Bits of an n-gram's hash. With 10 billion different n-grams of one order 1 in some 7 million shares its hash with another.
+HASH_BITS = 56
 _END, _START = np.uint64(0x5EED0000E0D), np.uint64(0x5EED0057A27)
 _UNI, _BI = np.uint64(0x1F3A5), np.uint64(0x2B7C9)
 
@@ -49,8 +51,9 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _keys(tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.uint64(64 - HASH_BITS)
     with np.errstate(over="ignore"):
-        return T.mix(tok + _UNI), T.mix(T.mix(before + _BI) + tok * np.uint64(3))
+        return T.mix(tok + _UNI) >> cut, T.mix(T.mix(before + _BI) + tok * np.uint64(3)) >> cut
 
 
 def _request(ranges: int):
@@ -67,7 +70,7 @@ def _request(ranges: int):
                 full = np.zeros(len(every), np.uint32)
                 full[np.searchsorted(every, k)] = c
                 counts.append(full)
-            slot = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            slot = ((every >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
             cuts = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64))
             for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if b > a:
@@ -100,39 +103,35 @@ def _reduce(ranges: int):
     return run
 
 
-def _varints(x: np.ndarray) -> bytes:
-    return T.packed(x.astype(np.uint32))
-
-
 def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each text of a chunk, the corpus counts of its tokens and bigrams, in order."""
+    """The corpus counts of a chunk's tokens and bigrams, in order; those of the EM fold's documents also within the fold."""
     tok, before, offs = _tokens(*T.strings(left.column("text")))
     answer = right.sort_by("slot")
-    fold = left.column("fold").to_numpy()
+    fold, n = left.column("fold").to_numpy(), np.diff(offs)
     flat = {c: np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)]) for c in ("train", "fold")}
-    counts: dict[str, list[np.ndarray]] = {"train": [], "fold": []}
-    at = 0
+    inside = np.repeat(fold == 2, n)
+    blobs, at = [], 0
     for keys in _keys(tok, before):
         every, back = np.unique(keys, return_inverse=True)
-        for c, found in counts.items():
-            found.append(flat[c][at : at + len(every)][back])
+        blobs += [T.packed(flat["train"][at : at + len(every)][back]), T.packed(flat["fold"][at : at + len(every)][back][inside])]
         at += len(every)
-    del tok, before, keys, every, back, flat
-    types = sum(answer.column("types").to_pylist())
-    cols: dict[str, list] = {"doc_id": left.column("doc_id").to_pylist(), "fold": fold.tolist(), "n_tokens": np.diff(offs).tolist(), "types": [types] + [0] * (len(fold) - 1)}
-    spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
-    cols["uni"], cols["bi"] = ([_varints(x[a:b]) for a, b in spans] for x in counts["train"])
-    cols["uni_fold"], cols["bi_fold"] = ([_varints(x[a:b]) if f == 2 else None for (a, b), f in zip(spans, fold.tolist(), strict=True)] for x in counts["fold"])
-    return pa.table(cols, _COUNTED)
+    sums = [int(x) for own in (fold > 0, fold == 2) for x in (n[own].sum(), own.sum())]
+    return pa.table([[x] for x in (left.column("doc_id").to_pylist(), fold.tolist(), n.tolist(), sum(answer.column("types").to_pylist()), *sums, *blobs)], schema=_COUNTED)
 
 
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("types", pa.int64()), ("uni", pa.binary()), ("bi", pa.binary()), ("uni_fold", pa.binary()), ("bi_fold", pa.binary())])
+_COUNTED = pa.schema(
+    [("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int64()))]
+    + [(c, pa.int64()) for c in ("types", "tokens", "texts", "fold_tokens", "fold_texts")]
+    + [(c, pa.binary()) for c in ("uni", "uni_fold", "bi", "bi_fold")]
+)
+_COUNTED_DDL = "doc_id array<long>, fold array<int>, n_tokens array<long>, types long, tokens long, texts long, fold_tokens long, fold_texts long, uni binary, uni_fold binary, bi binary, bi_fold binary"
 
 
-def _context(uni: np.ndarray, texts: int) -> np.ndarray:
-    """Counts of each token's context: of the token before it, or of the start, of which each text has one."""
+def _context(uni: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+    """Counts of each token's context: of the token before it, or of the start, of which each text has one. ``n``: tokens of each text."""
     out = np.empty_like(uni)
-    out[1:], out[0] = uni[:-1], texts
+    out[1:] = uni[:-1]
+    out[np.cumsum(n) - n] = texts
     return out
 
 
@@ -154,11 +153,15 @@ def _histogram(n: int, texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(BUCKETS * steps * steps, np.int64)
         for b in batches:
-            for uni, bi, uf, bf in zip(*(b.column(c).to_pylist() for c in ("uni", "bi", "uni_fold", "bi_fold")), strict=True):
-                uni, bi, uf, bf = (T.unpacked(x, np.uint32).astype(np.int64) for x in (uni, bi, uf, bf))
-                ctx = _context(uni - uf, texts)
-                p2 = np.where(ctx > 0, (bi - bf) / np.maximum(ctx, 1), 0)
-                cell = (_bucket(ctx) * steps + _step(np.minimum(p2, 1))) * steps + _step((uni - uf) / n)
+            for r in b.to_pylist():
+                n_tokens, own = np.array(r["n_tokens"], np.int64), np.array(r["fold"]) == 2
+                if not own.any():
+                    continue
+                inside = np.repeat(own, n_tokens)
+                uni, bi = (T.unpacked(r[c], np.uint32)[inside].astype(np.int64) - T.unpacked(r[f"{c}_fold"], np.uint32) for c in ("uni", "bi"))
+                ctx = _context(uni, n_tokens[own], texts)
+                p2 = np.where(ctx > 0, bi / np.maximum(ctx, 1), 0)
+                cell = (_bucket(ctx) * steps + _step(np.minimum(p2, 1))) * steps + _step(uni / n)
                 np.add.at(full, *np.unique(cell, return_counts=True))
         cell = np.flatnonzero(full)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(full[cell])], ["cell", "n"])
@@ -190,18 +193,19 @@ def em(cells: np.ndarray, n: np.ndarray, unknown: float) -> np.ndarray:
 def _score(lam: np.ndarray, n: int, types: int, texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known, base, score = [], [], []
-            for u, v in zip(b.column("uni").to_pylist(), b.column("bi").to_pylist(), strict=True):
-                uni, bi = T.unpacked(u, np.uint32).astype(np.float64), T.unpacked(v, np.uint32).astype(np.float64)
-                ctx = _context(uni, texts)
+            for r in b.to_pylist():
+                n_tokens = np.array(r["n_tokens"], np.int64)
+                uni, bi = (T.unpacked(r[c], np.uint32).astype(np.float64) for c in ("uni", "bi"))
+                ctx = _context(uni, n_tokens, texts)
                 l2, l1, l0 = lam[_bucket(ctx)].T
-                known.append(int((uni > 0).sum()))
-                base.append(float(np.log10((uni + 1) / (n + types + 1)).sum()))
-                score.append(float(np.log10(l2 * bi / np.maximum(ctx, 1) + l1 * uni / max(n, 1) + l0 / (types + 1)).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([f == 0 for f in b.column("fold").to_pylist()], pa.bool_()), b.column("n_tokens"), pa.array(known, pa.int64()), pa.array([n] * b.num_rows, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+                at = np.cumsum(n_tokens) - n_tokens
+                base = np.add.reduceat(np.log10((uni + 1) / (n + types + 1)), at)
+                score = np.add.reduceat(np.log10(l2 * bi / np.maximum(ctx, 1) + l1 * uni / max(n, 1) + l0 / (types + 1)), at)
+                known = np.add.reduceat((uni > 0).astype(np.int64), at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r["doc_id"], pa.int64()), pa.array(np.array(r["fold"]) == 0), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(at), n, np.int64)), pa.array(base), pa.array(score)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return run
 
@@ -225,10 +229,8 @@ def interpolated_scores(docs: DataFrame, *, held_out: Column, em_fold: Column, i
     ranges = parts
     asked = rows.groupBy("part").applyInArrow(_request(ranges), "slot long, part long, keys binary, train binary, fold binary")
     answered = asked.groupBy("slot").applyInArrow(_reduce(ranges), "part long, slot long, types long, train binary, fold binary")
-    counted = rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_look_up, "doc_id long, fold int, n_tokens long, types long, uni binary, bi binary, uni_fold binary, bi_fold binary")
-    counted = written(counted, "counted")
-    learnt = F.col("fold") > 0
-    n, texts, fold_n, fold_texts, types = (x or 0 for x in counted.agg(F.sum(F.when(learnt, F.col("n_tokens"))), F.sum(learnt.cast("long")), F.sum(F.when(F.col("fold") == 2, F.col("n_tokens"))), F.sum((F.col("fold") == 2).cast("long")), F.sum("types")).first())
-    cells = counted.where("fold = 2").mapInArrow(_histogram(max(n - fold_n, 1), texts - fold_texts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = written(rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_look_up, _COUNTED_DDL), "counted")
+    n, texts, fold_n, fold_texts, types = (x or 0 for x in counted.agg(*[F.sum(c) for c in ("tokens", "texts", "fold_tokens", "fold_texts", "types")]).first())
+    cells = counted.mapInArrow(_histogram(max(n - fold_n, 1), texts - fold_texts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     lam = em(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), 1 / (types + 1))
     return counted.mapInArrow(_score(lam, n, types, texts), SCORED)
