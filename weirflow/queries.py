@@ -332,7 +332,7 @@ def multi_master_join(spark, sf_dir):
 def group_sort_top(spark, sf_dir):
     e = _t(spark, sf_dir, "events", "event_id BIGINT, user_id BIGINT, value DOUBLE")
     out = group_sort(e, GroupKey.of("=user_id", "-value", "+event_id"), {"top": lambda d, w: d.withColumn("rank", F.row_number().over(w)).where("rank <= 3")})["top"]
-    return out.select("user_id", "event_id", "rank")
+    return out.select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 _SESSION_SQL = """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
