@@ -57,6 +57,24 @@ def test_segments_do_not_matter(model, monkeypatch):
     assert np.allclose(model.lengths(d), whole)
 
 
+def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
+    sample = spark.createDataFrame([("aa", "abracadabra " * 9), ("aa", "short"), ("bb", "zebra " * 30)], "lang string, text string").collect()
+    import pyarrow as pa
+
+    batch = pa.record_batch([[r.lang for r in sample], [r.text for r in sample]], names=["lang", "text"])
+
+    def total():
+        out = {}
+        for b in langid._grams(iter([batch])):
+            for r in b.to_pylist():
+                out[r["lang"], r["gram"]] = out.get((r["lang"], r["gram"]), 0) + r["n"]
+        return out
+
+    whole = total()
+    monkeypatch.setattr(langid.T, "SEGMENT", 13)
+    assert total() == whole
+
+
 def test_edge_cases(odd, none, model):
     got = langid.identify(odd, model)
     assert got.columns == [*odd.columns, "__wf_lang", "__wf_score", "__wf_bits"]

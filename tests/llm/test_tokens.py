@@ -27,14 +27,14 @@ def run(enc, texts):
 
 def test_encoder_equals_the_library(enc):
     r = random.Random(1)
-    parts = list("ab Z9  \n\n\t!.'é<|>-ß \x1c漢") + ["<|endoftext|>", " it's", " ", "　", " \n "]
+    parts = list("ab Z9  \n\n\t!.'é<|>-ß \x1c漢") + ["<|endoftext|>", " it's", " ", "　", " \n ", "\u2003", "\u2028", "\x85", "é "]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(2000)]
     assert run(enc, texts) == [ids(enc, t) for t in texts]
 
 
 def test_very_long_text_and_forgetting(enc, monkeypatch):
     r = random.Random(2)
-    long = "".join(r.choice(["the", "cat ", "\n", "  ", "dog's ", " x!!"]) for _ in range(20_000))
+    long = "".join(r.choice(["the", "cat ", "\n", "  ", "dog's ", " x!!", "é ", "\t", "\u3000", "漢 字", "\r\n"]) for _ in range(20_000))
     want = ids(enc, long)
     monkeypatch.setattr(tokens, "_PART", 1000)
     monkeypatch.setattr(tokens, "MOST_WORDS", 50)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.scratch import new_path, shared_dir
 
-__all__ = ["CHUNK_BYTES", "forget", "id_crc32", "maybe_broadcast", "new_path", "pieces", "shared_dir", "text_bytes", "written"]
+__all__ = ["CHUNK_BYTES", "bounded", "forget", "id_crc32", "maybe_broadcast", "new_path", "pieces", "shared_dir", "text_bytes", "written"]
 
 #: Text bytes that one in-memory chunk of documents aims at.
 CHUNK_BYTES = 16 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> SparkSession:
+    """The frame's session, with Arrow batches of at most ``BATCH_BYTES``: long texts would else make batches of 64 MB on either side, for each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.sparkSession
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm._shared import written
+from weirflow.llm import _text as T
+from weirflow.llm._shared import bounded, written
 
 SAMPLE, CALIBRATION = 20_000, 200
 LEAF, BRANCH, STEPS = 512, 8, 8
@@ -100,6 +101,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
+@T.trimmed
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes of doubles."""
     for b in batches:
@@ -109,6 +111,7 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place(spread, dim: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -118,6 +121,7 @@ def _place(spread, dim: int):
 
 
 def _visit(spread, dim: int, most: int, sizes: np.ndarray, least: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = spread.value
         for b in batches:
@@ -148,6 +152,7 @@ _NEAR = pa.list_(pa.struct([("far", pa.float64()), ("low", pa.int64()), ("rep",
 
 
 def _meet(dim: int, k: int):
+    @T.trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], _NEAR)})
@@ -165,6 +170,7 @@ def _meet(dim: int, k: int):
 def _brute(spread, dim: int, k: int):
     """Best of each partition for a few queries."""
 
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, q = spread.value
         ids, leaf, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((len(qs), 0))
@@ -190,7 +196,7 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     take no part, nor do rows with a null id. Rows that repeat an id with another vector are candidates each. Other columns
     are ignored; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
+    spark = bounded(vectors)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
     rows = rows.where("vec_id is not null and v is not null").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     rows = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(7), "v")})

@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm import _text as T
+from weirflow.llm._shared import bounded
+
 REPLY = "assistant"
 END = "</s>"
 _UNDO = re.compile(r"\\\\|[<\[|]\\")
@@ -46,6 +49,7 @@ def open_turn(role: str) -> str:
 _EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.large_string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("last", pa.bool_())])
 
 
+@T.trimmed
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Examples from rows that come sorted by conversation and turn."""
     out: list[tuple] = []
@@ -98,7 +102,7 @@ def training_examples(turns: DataFrame, *, conv_col: str = "conv_id", turn_col:
     empty; rows with a null conv_id are one conversation. Other columns are ignored; an empty table gives no examples.
     """
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(bounded(turns).conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_expand, "conv_id long, example long, text string, loss_start long, loss_end long, last boolean")
 
@@ -108,6 +112,7 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
+@T.trimmed
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loss, chars, formatted = hashlib.sha256(), 0, 0
     for b in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import pieces, text_bytes, written
+from weirflow.llm._shared import bounded, pieces, text_bytes, written
 
 MOST_BYTES = 16 << 20
 _BITS = 22
@@ -62,6 +62,7 @@ class Ngrams:
 
 
 def _scan(spread, columns: list[str]):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Ngrams = spread.value
         for whole in batches:
@@ -105,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, most_
     without words or with a null id are no items; rows that repeat an item id are one item. Documents keep their columns,
     whatever their names. An empty table on either side gives no hits.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     slices = pieces(text_bytes(items), most_bytes)
     mine = [c for c in docs.columns]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import forget, maybe_broadcast, written
+from weirflow.llm._shared import bounded, forget, maybe_broadcast, written
 
 PERMS, BANDS = 128, 32
 #: Members and shingles of a block; two blocks meet in a task.
@@ -67,6 +67,7 @@ def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.batches_of(whole, "text", 2 << 20):
@@ -92,6 +93,7 @@ def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
+@T.trimmed
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = PERMS // BANDS
     for whole in batches:
@@ -107,6 +109,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreement(least: float):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
@@ -119,6 +122,7 @@ def _agreement(least: float):
 
 
 def _confirm(size: int, percent: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.batches_of(whole, "text_a", 1 << 20):
@@ -182,6 +186,7 @@ def _spanning(least: float, size: int, percent: int, exact: bool):
                     own[own == own[k]] = own[r]
                     yield int(rep[r]), int(rep[k])
 
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for t in _runs(batches):
@@ -236,6 +241,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     null component and is kept. Rows that repeat an id are one node with all their texts' links. Other columns are
     ignored. An empty table gives an empty result.
     """
+    bounded(docs)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sk = written(sketches(raw, shingle), "sketches")
     least = percent / 100 - 6 * float(np.sqrt(percent / 100 * (1 - percent / 100) / PERMS))

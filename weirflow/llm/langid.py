@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import written
+from weirflow.llm._shared import bounded, written
 
 ORDER = 3
 SAMPLE_DOCS = 600
@@ -33,6 +33,7 @@ _LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
+@T.trimmed
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all byte strings of 1 to ORDER + 1 bytes by language: the tree's counts."""
     for whole in batches:
@@ -41,22 +42,27 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang = b.column("lang").to_pylist()
             for name in sorted(set(lang)):
                 own = [data[offsets[i] : offsets[i + 1]] for i, x in enumerate(lang) if x == name]
-                keys, counts = [], []
-                for n in range(1, ORDER + 2):
-                    parts = []
-                    for d in own:
-                        if len(d) >= n:
-                            k = np.full(len(d) - n + 1, n, np.int64)
-                            for j in range(n):
-                                k = k << 8 | d[j : len(d) - n + 1 + j]
-                            parts.append(k)
-                    if parts:
-                        k, c = np.unique(np.concatenate(parts), return_counts=True)
-                        keys.append(k)
-                        counts.append(c)
-                if keys:
-                    k = np.concatenate(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k), pa.array(np.concatenate(counts))], ["lang", "gram", "n"])
+                # a text longer than a segment is counted in pieces, each with the next bytes that its last strings reach into
+                for piece in ([d] for d in own if len(d) > T.SEGMENT):
+                    for at in range(0, len(piece[0]), T.SEGMENT):
+                        yield from _counted(name, [piece[0][at : at + T.SEGMENT + ORDER]], T.SEGMENT)
+                yield from _counted(name, [d for d in own if len(d) <= T.SEGMENT], T.SEGMENT)
+
+
+def _counted(name: str, texts: list[np.ndarray], starts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the strings that begin in the first ``starts`` bytes of each text."""
+    for n in range(1, ORDER + 2):
+        parts = []
+        for d in texts:
+            m = min(len(d) - n + 1, starts)
+            if m > 0:
+                k = np.full(m, n, np.int64)
+                for j in range(n):
+                    k = k << 8 | d[j : j + m]
+                parts.append(k)
+        if parts:
+            k, c = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k), pa.array(c)], ["lang", "gram", "n"])
 
 
 @dataclass
@@ -90,7 +96,7 @@ class Model:
 
 def fit(sample: DataFrame) -> Model:
     """The model from a frame with lang and text; only n-gram counts that the bounded tree can use reach the driver."""
-    spark = sample.sparkSession
+    spark = bounded(sample)
     grams = written(sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if len(languages) > MOST_LANGUAGES:
@@ -152,6 +158,7 @@ _EVIDENCE = 64
 
 
 def _predict(spread):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spread.value
         for b in batches:
@@ -195,7 +202,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     Every whole text is scored. Without learned languages all is ``und``. Ties go to the first language by name. Columns
     keep their names and values; an empty table gives an empty result.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    spread = bounded(docs).sparkContext.broadcast(model)
     inner = [f"__wf_{i}" for i in range(len(docs.columns))]
     base = docs.toDF(*inner).withColumn("__wf_text", F.col(inner[docs.columns.index(text_col)]).cast("string"))
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, base.schema.fields, strict=False)) + ", __wf_lang string, __wf_score double, __wf_bits double"

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
+from weirflow.llm._shared import bounded
 
 # Characteristic sentences of public licences.
 TEMPLATES = {
@@ -146,6 +147,7 @@ def fit(n: int = TRAINING) -> Classifier:
 
 
 def _scan(spread):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = spread.value
         bits = np.zeros(1 << 20, bool)
@@ -187,7 +189,7 @@ def licence_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Every line of every whole text is classified. Null, empty and blank texts have no paragraphs. Rows are worked off where
     they lie, repeated ones each; other columns are ignored; an empty table gives an empty result.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(fit())
+    spread = bounded(docs).sparkContext.broadcast(fit())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(spread), "doc_id long, n_paragraphs long, found array<struct<paragraph:long,family:string,p:double>>")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import pieces, text_bytes, written
+from weirflow.llm._shared import bounded, pieces, text_bytes, written
 
 #: Text bytes of a chunk, about; a task's arrays take some 25 times as much.
 CHUNK_BYTES = 12 << 20
@@ -57,6 +57,7 @@ def _keys(tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _request(ranges: int):
+    @T.trimmed
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         tok, before, offs = _tokens(*T.strings(t.column("text")))
@@ -86,6 +87,7 @@ _ANSWER = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("types", pa.in
 
 
 def _reduce(ranges: int):
+    @T.trimmed
     def run(t: pa.Table) -> pa.Table:
         slot = t.column("slot")[0].as_py()
         keys = [np.cumsum(T.unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in t.column("keys")]
@@ -103,6 +105,7 @@ def _reduce(ranges: int):
     return run
 
 
+@T.trimmed
 def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
     """The corpus counts of a chunk's tokens and bigrams, in order; those of the EM fold's documents also within the fold."""
     tok, before, offs = _tokens(*T.strings(left.column("text")))
@@ -150,6 +153,7 @@ def _histogram(n: int, texts: int):
     """Counts of held-out tokens by context bucket and the steps of the bigram and unigram estimates."""
     steps = FINE * DEPTH + 1
 
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(BUCKETS * steps * steps, np.int64)
         for b in batches:
@@ -191,6 +195,7 @@ def em(cells: np.ndarray, n: np.ndarray, unknown: float) -> np.ndarray:
 
 
 def _score(lam: np.ndarray, n: int, types: int, texts: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -220,7 +225,7 @@ def interpolated_scores(docs: DataFrame, *, held_out: Column, em_fold: Column, i
     empty texts are one end token; null conditions count as false; repeated rows count each time. Other columns are
     ignored. An empty table gives an empty result; without training rows every token is unknown.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs)
     fold = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(em_fold, F.lit(False)), 2).otherwise(1).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), fold.alias("fold"))
     parts = pieces(text_bytes(rows), CHUNK_BYTES)

@@ -26,22 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import new_path, pieces, text_bytes, written
+from weirflow.llm._shared import bounded, new_path, pieces, text_bytes, written
 
 LENGTH, BATCH = 2048, 64
 #: Text bytes of a shard, about.
 SHARD_BYTES = 64 << 20
 #: Words whose ids a worker remembers, at some 40 bytes each; then it starts afresh.
-MOST_WORDS = 3_000_000
+MOST_WORDS = 1_500_000
 #: Texts are encoded word by word: cuts lie between a character that is no white space and a space or line feed, over which no
-#: pre-token of a byte-level BPE reaches. Texts with other white space go through the library whole.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Bytes that other white space has in it.
-_ODD = np.zeros(256, bool)
-_ODD[[9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: pre-token of a byte-level BPE reaches. UTF-8 of white space (and of what some engines take for it), by bytes.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
+_BLANK_TWO = [0xC285, 0xC2A0]
+_BLANK_THREE = [0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _PART = 4 << 20
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a space or line feed follows a character that is no white space; never in the first four bytes, whose past is unknown."""
+    blank = _BLANK[data]
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(_LEAD[data[:-2]]) if len(data) > 2 else np.zeros(0, np.int64)
+    if len(at):
+        two = data[at].astype(np.int64) << 8 | data[at + 1]
+        blank[at[np.isin(two, _BLANK_TWO)] + 1] = True
+        blank[at[np.isin(two << 8 | data[at + 2], _BLANK_THREE)] + 2] = True
+    out[1:] = ((data[1:] == 32) | (data[1:] == 10)) & ~blank[:-1]
+    out[:4] = False
+    return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library. The ids of words (with the spaces before them) are remembered by 64-bit hash, so each different word goes through the library once."""
 
@@ -70,44 +86,30 @@ class Encoder:
         """Ids of several texts, one after the other, and how many each has."""
         if not len(data):
             return self.flat[:0], np.zeros(len(offsets) - 1, np.int64)
-        if len(offsets) == 2 and len(data) > 2 * _PART:
-            return self._long(data)
-        whole = np.zeros(len(offsets) - 1, bool)
         if not self.by_word:
-            whole[:] = True
-        else:
-            odd = np.flatnonzero(_ODD[data])
-            for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
-                whole[k] = bool(_OTHER_SPACE.search(data[offsets[k] : offsets[k + 1]].tobytes().decode()))
-        ids, counts = self._words(data, offsets)
-        if whole.any():
-            at = np.concatenate([[0], np.cumsum(counts)])
-            parts = [ids[at[k] : at[k + 1]] for k in range(len(counts))]
-            for k in np.flatnonzero(whole).tolist():
-                parts[k] = self._library([data[offsets[k] : offsets[k + 1]].tobytes().decode()])[0]
-            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        return ids, counts
+            return self._library([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        return self._long(data) if len(offsets) == 2 and len(data) > 2 * _PART else self._words(data, offsets)
 
     def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One very long text, in parts."""
-        if not self.by_word or _OTHER_SPACE.search(data.tobytes().decode()):
-            ids = self._library([data.tobytes().decode()])[0]
-            return ids, np.array([len(ids)])
         at, out = 0, []
         while at < len(data):
-            to = min(len(data), at + _PART)
-            space = (data[to:] == 32) | (data[to:] == 10) if to < len(data) else np.zeros(0, bool)
-            after = np.flatnonzero(space[1:] & ~space[:-1])
-            to = to + int(after[0]) + 1 if len(after) else len(data)
+            to = at + _PART
+            while to < len(data):
+                after = np.flatnonzero(_cuts(data[to : to + _PART]))
+                if len(after):
+                    to += int(after[0])
+                    break
+                to += _PART - 4
+            to = min(to, len(data))
             out.append(self._words(data[at:to], np.array([0, to - at]))[0])
             at = to
         ids = np.concatenate(out)
         return ids, np.array([len(ids)])
 
     def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        space = (data == 32) | (data == 10)
-        cut = np.empty(len(data), bool)
-        cut[0], cut[1:] = True, space[1:] & ~space[:-1]
+        cut = _cuts(data)
+        cut[0] = True
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(data))
@@ -160,6 +162,7 @@ MANIFEST = "shard string, first_doc long, docs long, tokens long"
 
 
 def _write(folder: str, tokenizer: str, end_id: int, length: int, per_batch: int):
+    @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
@@ -180,7 +183,7 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int, per_batch: int
 
         sinks = []
         for b in batches:
-            for part in T.batches_of(b, "text", 2 << 20):
+            for part in T.batches_of(b, "text", T.SEGMENT):
                 if out is None:
                     sinks = [fs.open_output_stream(f"{base}/{shard}.arrow"), fs.open_output_stream(f"{base}/{shard}.docs.arrow")]
                     out, index = pa.ipc.new_file(sinks[0], schema), pa.ipc.new_file(sinks[1], _INDEX)
@@ -266,7 +269,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 0, length: in
     """
     if length % 8:
         raise ValueError("the length must be divisible by 8")
-    spark = docs.sparkSession
+    spark = bounded(docs)
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = max(pieces(text_bytes(rows), SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -282,6 +285,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 0, length: in
     return TokenFiles(folder, shards.repartition(max(1, min(len(out), 4 * spark.sparkContext.defaultParallelism)), "shard"))
 
 
+@T.trimmed
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
