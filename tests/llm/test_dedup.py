@@ -63,7 +63,9 @@ def test_ids_that_repeat_with_different_texts_tie_their_classes(spark):
     assert {(r[0], r[2]) for r in got(df, shingle=4)} == {(5, 1), (1, 1), (2, 1), (9, 9)}
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(dedup, "FEW_EDGES", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20] + [(7, 7)], "a long, b long")
     found = {r.node: r.component for r in dedup.components(edges).collect()}
     assert found == {i: (i - 1) // 20 * 20 + 1 for i in range(1, 61) if (i - 1) % 20}

@@ -31,6 +31,8 @@ from weirflow.llm._shared import bounded, forget, maybe_broadcast, written
 PERMS, BANDS = 128, 32
 #: Members and shingles of a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Edges (16 bytes each) that one task works on.
+FEW_EDGES = 200_000
 #: Ids (8 bytes each) that may be broadcast.
 MOST_IDS = 500_000
 
@@ -212,19 +214,26 @@ def _met_in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Alternate large-star and small-star until the edges (a, b) no longer change; returns (node, component), smallest id first, without the components' own smallest ids."""
+    """Alternate large-star and small-star until the edges (a, b) no longer change; returns (node, component), smallest id first, without the components' own smallest ids.
+
+    Up to ``FEW_EDGES`` edges, by count, a step is one task without a shuffle; more are dealt out.
+    """
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = state(now)
+
+    def together(e: DataFrame) -> DataFrame:
+        return e.coalesce(1) if seen[0] <= FEW_EDGES else e
+
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = together(large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
         before, now = now, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
         forget(before)
         then, seen = seen, state(now)
