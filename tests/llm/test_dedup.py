@@ -51,6 +51,20 @@ def test_large_families_in_small_blocks(family, monkeypatch):
     assert got(family, shingle=4) == want
 
 
+def test_a_link_from_a_member_that_is_not_the_smallest(spark):
+    base = [f"w{i}" for i in range(600)]
+
+    def edited(at, by):
+        return " ".join(by if i in at else w for i, w in enumerate(base))
+
+    light = [(i, edited({5 + 2 * i}, f"light{i}")) for i in range(40)]
+    rows = [*light, (500, " ".join(base)), *((600 + k, edited({100 + 38 * j + k for j in range(13)}, f"heavy{k}")) for k in range(8))]
+    want = brute(rows, 5, 80)
+    assert {c for _, _, c, _ in want} == {0}
+    assert {c for _, _, c, _ in brute([x for x in rows if x[0] != 500], 5, 80)} != {0}
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
 def test_edge_cases(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(odd, shingle=4) == brute(rows, 4, 80)

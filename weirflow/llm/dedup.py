@@ -7,8 +7,8 @@ alternating large-star and small-star steps.
 
 Buckets are not expanded into pairs. Each member is first held against the smallest member of its
 bucket. What remains are pairs of a bucket that the links so far leave in different components: within
-a bucket (in blocks, when it is large) those whose signatures agree are tied into families, of which
-only spanning edges are emitted; each family's sets then meet (in blocks again), all its pairs between
+a bucket (in blocks, when it is large) those whose signatures agree are tied into families, member by
+member, of which only spanning edges are emitted; each family's sets then meet (in blocks again), all its pairs between
 components are compared exactly, and again only spanning links are emitted. So no proposed link
 between components is lost, and rows grow with the number of members.
 
@@ -165,14 +165,14 @@ def _spanning(least: float, size: int, percent: int, exact: bool):
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, PERMS)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         one, two = blk == i, blk == j
-        # members of one component are one from the start; an edge makes two components one
-        own = np.unique(comp, return_inverse=True)[1]
+        # a link makes two components one, so members of one component are one from the start; a tie only unites its two members
+        own = np.unique(comp, return_inverse=True)[1] if exact else np.arange(len(rep))
         if exact:
             values, offs = shingle_sets(*T.strings(t.column("text")), size)
             every, ids = np.unique(values, return_inverse=True)
             mark, n = np.zeros(len(every), np.int32), np.diff(offs)
         for r in np.flatnonzero(one).tolist():
-            other = np.flatnonzero(two & (own != own[r]))
+            other = np.flatnonzero(two & (own != own[r]) & (comp != comp[r]))
             if i == j:
                 other = other[other > r]
             if len(other):
