@@ -48,3 +48,26 @@ def test_edge_cases(spark, odd, none):
     df = spark.createDataFrame([(1, lines), (2, LINES["mit"]), (2, LINES["mit"])], "doc_id long, text string")
     found = [r for r in L.licence_paragraphs(df).collect()]
     assert [(f.paragraph, f.family) for f in found[0].found] == [(3, "mit"), (4, "gpl")] and len(found) == 3
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_hard_wrapped_licences(spark):
+    texts = []
+    for family, text in WRAPPED.items():
+        comment = "\n".join(["/*", *(f" * {x}" for x in text.split("\n")), " */", "int main() {"])
+        narrow = re.sub(r"(\S+ \S+ \S+) ", r"\1\n", text.replace("\n", " "))
+        texts += [(family, 0, text), (family, 2, f"Some title\nand more of it\n\n{text}\nplain words follow here"), (family, 0, comment), (family, 0, narrow)]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string").repartition(2)
+    report = {r.doc_id: r for r in L.licence_report(df).collect()}
+    assert [report[i].families for i in range(len(texts))] == [f for f, _, _ in texts]
+    found = {r.doc_id: [(x.paragraph, x.family) for x in r.found if x.family != L.UNKNOWN] for r in L.licence_paragraphs(df).collect()}
+    assert [found[i] for i in range(len(texts))] == [[(k, f)] for f, k, _ in texts]
+    apart = WRAPPED["bsd"].replace("\n", "\n\n")
+    assert L.licence_report(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first().families == ""

@@ -1,11 +1,17 @@
 """Licence scan: a trained paragraph classifier.
 
-A paragraph is a line with a word in it. Sparse word 1- and 2-grams feed a multinomial logistic regression over
+A paragraph is a line with a word in it, or a passage of adjoining lines: hard-wrapped texts spread a sentence over
+several lines, which are also called together. Paragraphs are numbered by lines, a passage by its first one. Sparse word 1- and 2-grams feed a multinomial logistic regression over
 licence families and ``none``. It is fitted on the driver on ``TRAINING`` generated paragraphs: variations of
 each family's templates, and paragraphs without a licence, mixed with words of many shapes. N-grams outside its vocabulary carry no weight.
 A paragraph that looks like a licence is called by its likeliest family if the probability reaches a threshold,
 calibrated on held-out paragraphs whose family the fit has not seen, and if enough of one template's words
 stand in it; otherwise it is ``unknown``.
+
+A passage ends at a line without a word (comment markers are no words) and reaches ``REACH`` times the longest template's
+words beyond its first line. Those that can hold enough of a template, by counts, are called, the shortest first; a passage
+with a family counts unless that family is already called in it, and replaces ``unknown`` calls of its lines. ``unknown``
+itself comes from single lines only.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ STRANGE = ["Licensed under the Frobnitz Public Licence, version 7.", "This work
 # Sentences without a licence that share words with licences.
 PLAIN = ["The driver needs a license to drive the bus.", "The public library is open until version two of the plan is released.", "You may not use this door.", "The work is subject to change without notice.", "He was free to copy the file.", "She was granted permission to leave.", "The general said the public should be informed.", "Apache helicopters flew over the mit campus."]
 NONE, UNKNOWN = "none", "unknown"
-TRAINING, PRECISION, COVER = 3000, 0.98, 0.7
+TRAINING, PRECISION, COVER, REACH = 3000, 0.98, 0.7, 2
 
 
 def _grams(text: str) -> np.ndarray:
@@ -67,6 +73,10 @@ class Classifier:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def cover(self, family: str, grams: np.ndarray) -> float:
+        """The largest part of one of the family's templates that the n-grams hold."""
+        return max(np.isin(t, grams).mean() for f, t in self.templates if f == family)
+
     def call(self, grams: np.ndarray) -> tuple[str, float]:
         """The class of a paragraph and its probability; unknown has that of being a licence at all."""
         p = self.probabilities(grams)
@@ -75,7 +85,7 @@ class Classifier:
             return NONE, float(p[-1])
         best = int(p[:-1].argmax())
         sure = p[best] / licence
-        if sure >= self.threshold and any(f == self.classes[best] and np.isin(t, grams).mean() >= COVER for f, t in self.templates):
+        if sure >= self.threshold and self.cover(self.classes[best], grams) >= COVER:
             return self.classes[best], float(p[best])
         return UNKNOWN, licence
 
@@ -146,10 +156,73 @@ def fit(n: int = TRAINING) -> Classifier:
     return m
 
 
+class _Passages:
+    """Finds the families of passages of two and more lines."""
+
+    def __init__(self, m: Classifier):
+        self.m = m
+        texts = [s for _, ss in sorted(TEMPLATES.items()) for s in ss]
+        n_words = [T.words(*T.strings(pa.array([s])), T.ALNUM).hashes for s in texts]
+        self.reach = REACH * max(map(len, n_words))
+        self.grams = np.unique(np.concatenate([t for _, t in m.templates]))
+        self.held = np.stack([np.isin(self.grams, t) for _, t in m.templates], 1)
+        # what a passage needs of each template: n-grams, and of these 2-grams when it has all the words
+        self.least = COVER * np.array([len(t) for _, t in m.templates]) - 1e-9
+        self.least_two = self.least - np.array([len(np.unique(x)) for x in n_words])
+
+    def _counts(self, hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """For each range of positions and each template, how many n-grams in it are the template's."""
+        k = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+        hits = np.flatnonzero(self.grams[k] == hashes)
+        sums = np.zeros((len(hits) + 1, self.held.shape[1]), np.int32)
+        np.cumsum(self.held[k[hits]], axis=0, out=sums[1:])
+        return sums[np.searchsorted(hits, z)] - sums[np.searchsorted(hits, a)]
+
+    def find(self, words: np.ndarray, two: np.ndarray, at: np.ndarray, to: np.ndarray, joined: np.ndarray, called: dict[int, tuple[str, float]]) -> dict[int, list[tuple[str, float]]]:
+        """The calls of single lines, by line, with those of passages; ``joined`` says whether the next line belongs to the same passage."""
+        n = len(at)
+        ends = np.flatnonzero(~joined)
+        last = np.minimum(ends[np.searchsorted(ends, np.arange(n))], np.searchsorted(to, to + self.reach))
+        some = np.flatnonzero(last > np.arange(n))
+        if not len(some):
+            return {i: [c] for i, c in called.items()}
+        a, z = at[some], to[last[some]]
+        twos = self._counts(two, a, z - 1)
+        some = some[((twos >= self.least_two) & (twos + self._counts(words, a, z) >= self.least)).any(1)]
+
+        def grams(i: int, j: int) -> np.ndarray:
+            return np.unique(np.concatenate([words[at[i] : to[j]], two[at[i] : to[j] - 1]]))
+
+        lines: dict[str, set[int]] = {}
+        for i, (family, _) in called.items():
+            lines.setdefault(family, set()).add(i)
+        out = dict(called)
+        more: dict[int, list[tuple[str, float]]] = {}
+        pairs = [(j - i, i, j) for i in some.tolist() for j in range(i + 1, int(last[i]) + 1)]
+        for _, i, j in sorted(pairs):
+            g = grams(i, j)
+            family, p = self.m.call(g)
+            if family in (NONE, UNKNOWN) or not lines.get(family, set()).isdisjoint(range(i, j + 1)):
+                continue
+            # the rest of the sentence belongs to the passage
+            cover = self.m.cover(family, g)
+            while joined[j] and (c := self.m.cover(family, grams(i, j + 1))) > cover:
+                j, cover = j + 1, c
+            while i and joined[i - 1] and (c := self.m.cover(family, grams(i - 1, j))) > cover:
+                i, cover = i - 1, c
+            lines.setdefault(family, set()).update(range(i, j + 1))
+            for k in range(i, j + 1):
+                if out.get(k, ("", 0))[0] == UNKNOWN:
+                    del out[k]
+            more.setdefault(i, []).append((family, p))
+        return {i: [*([out[i]] if i in out else []), *more.get(i, [])] for i in sorted({*out, *more})}
+
+
 def _scan(spread):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = spread.value
+        passages = _Passages(m)
         bits = np.zeros(1 << 20, bool)
         bits[m.vocabulary >> np.uint64(44)] = True
         for whole in batches:
@@ -168,12 +241,17 @@ def _scan(spread):
                 run_ = np.concatenate([[0], np.cumsum(known)])
                 out: list[list] = [[] for _ in range(b.num_rows)]
                 docs = np.searchsorted(w.offsets, at, "right") - 1
+                called = {}
                 for i in np.flatnonzero(run_[to] - run_[at] >= 1).tolist():
                     a, z = int(at[i]), int(to[i])
                     family, p = m.call(np.unique(np.concatenate([w.hashes[a:z], two[a : z - 1]])))
                     if family != NONE:
-                        d = int(docs[i])
-                        out[d].append({"paragraph": int(i - np.searchsorted(docs, d)), "family": family, "p": p})
+                        called[i] = family, p
+                joined = np.zeros(len(at), bool)
+                joined[:-1] = (docs[1:] == docs[:-1]) & (np.diff(lines[w.starts[at]]) == 1)
+                for i, calls in passages.find(w.hashes, two, at, to, joined, called).items():
+                    d = int(docs[i])
+                    out[d] += [{"paragraph": int(i - np.searchsorted(docs, d)), "family": family, "p": p} for family, p in calls]
                 count = np.bincount(docs, minlength=b.num_rows) if len(docs) else np.zeros(b.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(out, _FOUND)], ["doc_id", "n_paragraphs", "found"])
 
@@ -186,7 +264,7 @@ _FOUND = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()),
 def licence_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_paragraphs and found (paragraph number, family or ``unknown``, probability) for each paragraph called a licence.
 
-    Every line of every whole text is classified. Null, empty and blank texts have no paragraphs. Rows are worked off where
+    Every line of every whole text is classified, and passages of lines that can hold a template. Null, empty and blank texts have no paragraphs. Rows are worked off where
     they lie, repeated ones each; other columns are ignored; an empty table gives an empty result.
     """
     spread = bounded(docs).sparkContext.broadcast(fit())
