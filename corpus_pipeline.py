@@ -27,13 +27,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the ids that stay; an id stays or goes as a whole. Rows that share an id stay if their texts are no near copies of each other.
+
+    Of one id's rows with equal texts the least by all columns stays, of its near copies the text with the least hash.
+    """
     found = written(dedup.near_duplicates(docs, shingle=5, percent=80), "components")
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
     kept = docs.join(maybe_broadcast(gone, dedup.MOST_IDS), "doc_id", "left_anti")
     again = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.limit(1).count():
         again = maybe_broadcast(again, dedup.MOST_IDS)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        one = written(one.select("row.*", F.xxhash64("doc_id", "text").alias("__wf_row")), "same-ids")
+        # near copies with other ids have gone, so links are between rows of one id
+        alone = dedup.near_duplicates(one.select("__wf_row", "text"), shingle=5, percent=80, id_col="__wf_row").where("kept").select(F.col("doc_id").alias("__wf_row"))
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one.join(alone, "__wf_row", "left_semi").select(*kept.columns))
     return kept.select(*docs.columns)
 
 

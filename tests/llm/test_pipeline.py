@@ -74,6 +74,18 @@ def test_stages_against_plain_versions(spark, docs, odd, tmp_path):
         at += len(x)
 
 
+def test_rows_that_share_an_id_stay_unless_near_copies(spark, docs):
+    a, b = ([f"{x}{i}" for i in range(80)] for x in "ab")
+    texts = [" ".join(a), " ".join([*a, "more"]), " ".join(b), " ".join(b), "", "", None]
+    rows = [(5, t, "en", f"src{i % 2}", i) for i, t in enumerate(texts)] + [(6, "something else entirely stands here", "en", "src0", 1)]
+    df = spark.createDataFrame(rows, docs.schema)
+    out = [tuple(r) for r in p.near_duplicates(spark, df, SF).collect()]
+    assert set(out) <= set(rows) and out.count(rows[-1]) == 1 and len(out) == 5
+    left = [r[1] for r in out if r[0] == 5]
+    assert sum(t in texts[:2] for t in left) == 1 and left.count(texts[2]) == 1 and left.count("") == 1 and left.count(None) == 1
+    assert sorted(out, key=repr) == sorted(map(tuple, p.near_duplicates(spark, df.repartition(5), SF).collect()), key=repr)
+
+
 def test_run_and_reruns_agree(spark):
     a = sorted(map(tuple, p.run(spark, SF).collect()))
     assert a and a == sorted(map(tuple, p.run(spark, SF).collect()))
