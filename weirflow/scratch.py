@@ -20,5 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark itself would use for it: one without a scheme lies on the cluster's default."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weirflow-{name}-{uuid.uuid4().hex}"
