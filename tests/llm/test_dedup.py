@@ -83,3 +83,31 @@ def test_components_of_a_chain(spark, monkeypatch, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20] + [(7, 7)], "a long, b long")
     found = {r.node: r.component for r in dedup.components(edges).collect()}
     assert found == {i: (i - 1) // 20 * 20 + 1 for i in range(1, 61) if (i - 1) % 20}
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_one_structure_are_different_words(spark, n):
+    rows = [(k, f"{thue_morse(n, k % 2)}") for k in range(2)] + [(2 + k, " ".join([thue_morse(n, k % 2)] * 30 + ["x", "y"])) for k in range(2)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4) == brute(rows, 4, 80)
+
+
+def test_more_ids_than_may_be_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(dedup, "MOST_IDS", 3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(docs, shingle=4) == brute(rows, 4, 80)
+
+
+def test_members_of_the_largest_component_are_copied_once_a_block_of_the_rest(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dedup, "BLOCK", 100)
+    members = spark.range(20_000).select(F.lit(7).alias("h"), F.col("id").alias("rep"), F.when(F.col("id") < 19_900, 0).otherwise(F.col("id")).alias("comp"))
+    out = dedup._met_in_blocks(members, "h", F.lit(0))
+    assert out.where("comp = 0").count() == 19_900
+    assert out.count() <= 19_900 + 100 * 200
+    pairs = out.groupBy("g").agg(F.collect_set("comp").alias("c")).where("size(c) = 1").count()
+    assert pairs <= 1

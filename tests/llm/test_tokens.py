@@ -44,6 +44,17 @@ def test_very_long_text_and_forgetting(enc, monkeypatch):
     assert run(small, texts) == [ids(enc, t) for t in texts]
 
 
+def test_words_that_share_a_hash(enc, monkeypatch):
+    tm = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+    assert run(enc, tm) == [ids(enc, t) for t in tm]
+    full = T.spans_hash
+    monkeypatch.setattr(T, "spans_hash", lambda *a: full(*a) & np.uint64(63))
+    small = tokens.Encoder(tokenizer_file())
+    texts = [f"word{i} other{i % 7}" for i in range(300)]
+    for k in range(0, 300, 20):
+        assert run(small, texts[k : k + 20]) == [ids(enc, t) for t in texts[k : k + 20]]
+
+
 def plain(enc, rows):
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

@@ -18,7 +18,6 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes handled at once; working arrays take about 40 times as much.
 SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def give_back() -> None:
@@ -55,24 +54,6 @@ def trimmed(run: Callable) -> Callable:
     return one if len(inspect.signature(run).parameters) == 1 else two
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_pow: np.ndarray | None = None
-_inv: np.ndarray | None = None
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if _pow is None or len(_pow) < n:
-        _pow, _inv = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-    return _pow, _inv
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -84,13 +65,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span, case kept."""
-    pw, inv = _tables(len(data) + 1)
+#: Bytes that must lie behind the last span, so that eight can be read from any place.
+_SPARE = np.zeros(8, np.uint8)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Eight-byte lanes of a span that are worked off span by span at once; longer spans' further lanes are laid out in one row.
+_LANES = 8
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place, as integers; the data is followed by zeros."""
+    full = np.concatenate([data, _SPARE])
+    return np.ndarray(len(data) + 1, "<u8", full, strides=(1,))
+
+
+def _lane(j: np.ndarray | int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * pw[: len(data)], out=h[1:])
-        return mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(U) * U(0xD1B54A32D192ED03))
+        return mix(np.asarray(j, U) * U(0xBF58476D1CE4E5B9) + U(seed))
+
+
+def _hashed(eights: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Lanes of eight bytes are each mixed with a key of their place, summed and mixed with the length: no structure of the bytes carries over."""
+    n = ends - starts
+    with np.errstate(over="ignore"):
+        h = mix((eights[starts] & _MASKS[np.minimum(n, 8)]) ^ _lane(0, seed))
+        some = np.flatnonzero(n > 8)
+        for j in range(1, _LANES):
+            if not len(some):
+                break
+            h[some] += mix((eights[starts[some] + 8 * j] & _MASKS[np.minimum(n[some] - 8 * j, 8)]) ^ _lane(j, seed))
+            some = some[n[some] > 8 * (j + 1)]
+        for i in some.tolist():
+            at = np.arange(starts[i] + 8 * _LANES, ends[i], 8)
+            h[i] += mix((eights[at] & _MASKS[np.minimum(ends[i] - at, 8)]) ^ _lane(np.arange(_LANES, _LANES + len(at)), seed)).sum(dtype=U)
+        return mix(h + n.astype(U) * U(0xD1B54A32D192ED03))
+
+
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = FIRST) -> np.ndarray:
+    """Hash of the bytes of each span, case kept."""
+    return _hashed(_eights(data), starts, ends, seed)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of its counterpart in ``other``."""
+    n, a, b = ends - starts, _eights(data), _eights(other)
+    same = n == other_ends - others
+    some = np.flatnonzero(same)
+    for j in range(_LANES):
+        if not len(some):
+            return same
+        mask = _MASKS[np.minimum(n[some] - 8 * j, 8)]
+        ok = (a[starts[some] + 8 * j] & mask) == (b[others[some] + 8 * j] & mask)
+        same[some[~ok]] = False
+        some = some[ok & (n[some] > 8 * (j + 1))]
+    for i in some.tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[others[i] : other_ends[i]])
+    return same
 
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -105,12 +135,13 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x41:0x5B] = ALNUM[0x80:] = True
 
 @dataclass
 class Words:
-    """Words of several texts: hashes of the lower-cased words, byte spans, and for each text the range of its words."""
+    """Words of several texts: hashes of the lower-cased words, byte spans, for each text the range of its words, and if asked for a second, independent hash."""
 
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     offsets: np.ndarray
+    second: np.ndarray | None = None
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +159,10 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED, second: bool = False) -> Words:
     """Words of texts that lie one after the other in ``data``. Long input is worked off in segments cut at separators."""
     n = len(data)
-    hs, ss, es = [], [], []
+    hs, gs, ss, es = [], [], [], []
     at = 0
     while at < n:
         end = min(n, at + SEGMENT)
@@ -163,19 +194,18 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> W
         after[-1] = False
         after[cuts[cuts > 0] - 1] = False
         e = np.flatnonzero(isw & ~after) + 1
-        pw, inv = _tables(len(d) + 1)
-        with np.errstate(over="ignore"):
-            h = np.zeros(len(d) + 1, U)
-            np.cumsum((_lower[d].astype(U) + U(1)) * pw[: len(d)], out=h[1:])
-            hs.append(mix((h[e] - h[s]) * inv[s] + (e - s).astype(U) * U(0xD1B54A32D192ED03)))
+        eights = _eights(_lower[d])
+        hs.append(_hashed(eights, s, e, FIRST))
+        if second:
+            gs.append(_hashed(eights, s, e, SECOND))
         ss.append(s + at)
         es.append(e + at)
         at = end
     if not hs:
         z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U), z, z, np.zeros(len(offsets), np.int64))
+        return Words(np.zeros(0, U), z, z, np.zeros(len(offsets), np.int64), np.zeros(0, U) if second else None)
     starts = np.concatenate(ss)
-    return Words(np.concatenate(hs), starts, np.concatenate(es), np.searchsorted(starts, offsets, "left"))
+    return Words(np.concatenate(hs), starts, np.concatenate(es), np.searchsorted(starts, offsets, "left"), np.concatenate(gs) if second else None)
 
 
 _MULT = [0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]

@@ -10,7 +10,9 @@ bucket. What remains are pairs of a bucket that the links so far leave in differ
 a bucket (in blocks, when it is large) those whose signatures agree are tied into families, member by
 member, of which only spanning edges are emitted; each family's sets then meet (in blocks again), all its pairs between
 components are compared exactly, and again only spanning links are emitted. So no proposed link
-between components is lost, and rows grow with the number of members.
+between components is lost. Members of a large family's largest component are copied once for each block of its
+other members, so rows grow with the members as long as most are in one component; a family of very many
+different components is compared in blocks squared, which is the work that it takes.
 
 Chance of missing a pair of similarity 0.8: (1 - 0.8**4)**32 < 1e-7; the signature filter cuts six
 standard deviations below the threshold.
@@ -41,18 +43,29 @@ _A = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text, one after the other, and their offsets. Fewer words than ``size`` give one shingle; none give none."""
-    w = T.words(data, offsets)
-    win = T.windows(w.hashes, size)
-    sets = []
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, second: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingles of each text, one after the other, and their offsets. Fewer words than ``size`` give one shingle; none give none.
+
+    With ``second`` also the shingles' hashes by an independent function, in the same order.
+    """
+    w = T.words(data, offsets, second=second)
+    win, more = T.windows(w.hashes, size), T.windows(w.second, size) if second else None
+    sets, others = [], []
     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
-        if b - a >= size:
-            sets.append(np.unique(win[a : b - size + 1]))
-        else:
+        if b - a < size:
             sets.append(T.windows(w.hashes[a:b], b - a) if b > a else win[:0])
+            if second:
+                others.append(T.windows(w.second[a:b], b - a) if b > a else win[:0])
+        elif second:
+            own, first = np.unique(win[a : b - size + 1], return_index=True)
+            sets.append(own)
+            others.append(more[a : b - size + 1][first])
+        else:
+            sets.append(np.unique(win[a : b - size + 1]))
     sizes = np.array([len(x) for x in sets], np.int64)
-    return (np.concatenate(sets) if sets else win[:0]), np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate(sets) if sets else win[:0]
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    return (flat, offs, np.concatenate(others) if others else flat[:0]) if second else (flat, offs)
 
 
 def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -73,7 +86,7 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.batches_of(whole, "text", 2 << 20):
-                values, offs = shingle_sets(*T.strings(b.column("text")), size)
+                values, offs, others = shingle_sets(*T.strings(b.column("text")), size, second=True)
                 n = np.diff(offs)
                 some = np.flatnonzero(n)
                 d1, d2, sigs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [b""] * len(n)
@@ -81,7 +94,7 @@ def _sketch(size: int):
                     at = offs[:-1][some]
                     with np.errstate(over="ignore"):
                         d1[some] = np.add.reduceat(T.mix(values + np.uint64(0x1234567)), at).view(np.int64)
-                        d2[some] = np.add.reduceat(T.mix(values ^ np.uint64(0xABCDEF0123)), at).view(np.int64)
+                        d2[some] = np.add.reduceat(T.mix(others ^ np.uint64(0xABCDEF0123)), at).view(np.int64)
                     sig = minima(values, np.append(at, offs[-1]))
                     for k, row in zip(some.tolist(), sig, strict=True):
                         sigs[k] = row.tobytes()
@@ -91,7 +104,7 @@ def _sketch(size: int):
 
 
 def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, set size, two sums that identify the set, and the signature (empty without words)."""
+    """For each row: id, set size, two sums over independent hashes of 64 bits that identify the set, and the signature (empty without words)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
@@ -128,12 +141,13 @@ def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.batches_of(whole, "text_a", 1 << 20):
-                xs, xo = shingle_sets(*T.strings(b.column("text_a")), size)
-                ys, yo = shingle_sets(*T.strings(b.column("text_b")), size)
+                xs, xo, xg = shingle_sets(*T.strings(b.column("text_a")), size, second=True)
+                ys, yo, yg = shingle_sets(*T.strings(b.column("text_b")), size, second=True)
                 keep = np.zeros(b.num_rows, bool)
                 for k in range(b.num_rows):
                     x, y = xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                    same = int((xg[xo[k] + i] == yg[yo[k] + j]).sum())  # by both hashes
                     keep[k] = 100 * same >= percent * (len(x) + len(y) - same) and len(x) and len(y)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
@@ -202,14 +216,35 @@ def _spanning(least: float, size: int, percent: int, exact: bool):
     return run
 
 
-def _met_in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
-    """Deals the members of each ``key`` into blocks, copies each to the pairs of blocks that its own is in, and sorts the pairs together."""
-    dealt = (
-        members.withColumn("nb", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
-        .withColumn("g", F.xxhash64(key, "i", "j")).drop("nb", "o", key)
-    )
+def _met_in_blocks(members: DataFrame, key: str, weight, more: DataFrame | None = None) -> DataFrame:
+    """Deals the members (rep, comp, and what the tasks need; ``more`` adds to that by rep) of each ``key`` into blocks, brings together every two blocks that hold members of different components, and sorts them by pair ``g``.
+
+    A key whose members all are in one component has no pairs. What exceeds a block is parted: members of the key's largest
+    component need not meet each other, so their blocks meet only those of the rest, and a member of the largest is copied
+    once for each block of the rest. ``weight``: shingles that a member brings with it.
+    """
+
+    def blocks(c, s):
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    parts = members.groupBy(key, "comp").agg(F.count("*").alias("c"), F.sum(weight).alias("s"))
+    parts = parts.groupBy(key).agg(F.max(F.struct("c", "s", "comp")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).where(F.col("c") > F.col("m.c"))
+    fits = blocks(F.col("c"), F.col("s")) == 1
+    parts = parts.select(
+        key,
+        F.when(~fits, F.col("m.comp")).alias("major"),
+        F.when(fits, 0).otherwise(blocks(F.col("m.c"), F.col("m.s"))).alias("nm"),
+        F.when(fits, 1).otherwise(blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"))).alias("nr"),
+    )
+    dealt = members.join(parts, key)
+    if more is not None:
+        dealt = dealt.join(more, "rep")
+    inner, h = F.coalesce(F.col("comp") == F.col("major"), F.lit(False)), F.xxhash64("rep")
+    dealt = dealt.withColumns({
+        "blk": F.when(inner, F.pmod(h, F.col("nm"))).otherwise(F.col("nm") + F.pmod(h, F.col("nr"))).cast("int"),
+        "o": F.explode(F.sequence(F.when(inner, F.col("nm")).otherwise(F.lit(0)), F.col("nm") + F.col("nr") - 1)),
+    })
+    dealt = dealt.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).withColumn("g", F.xxhash64(key, "i", "j")).drop("nm", "nr", "major", "o", key)
     return dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "rep")
 
 
@@ -257,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     known = sk.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sig").alias("sig")), "classes")
     bands = classes.select("rep", "sig").mapInArrow(_bands, "h long, rep long")
-    buckets = bands.groupBy("h").agg(F.min("rep").alias("c"), F.max("rep").alias("x"), F.count("*").alias("size")).where("c != x").drop("x")
+    buckets = bands.groupBy("h").agg(F.min("rep").alias("c"), F.max("rep").alias("x")).where("c != x").drop("x")
     multi = written(bands.join(buckets, "h"), "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -279,21 +314,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     tied = known.join(classes.drop("sig", "members"), ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a != b").select("a", "b")
     first = star.unionByName(tied)
     comp = written(components(first), "components")
-    placed = multi.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-    placed = written(placed.join(open_, "h"), "open")
+    placed = multi.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
     sigs = classes.select("rep", "sig", "n")
-    at = _met_in_blocks(placed.join(sigs, "rep"), "h", F.ceil(F.col("size") / BLOCK))
+    at = _met_in_blocks(placed, "h", F.lit(0), sigs.drop("n"))
     ties = written(at.mapInArrow(_spanning(least, shingle, percent, False), "a long, b long"), "ties")
     families = components(ties)
     families = written(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("rep", "family"), "families")
-    blocks = families.join(sigs.select("rep", "n"), "rep").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     ids = families.select(F.col("rep").alias("doc_id"))
     texts = raw.join(maybe_broadcast(ids, MOST_IDS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     comps = comp.withColumnRenamed("node", "rep")
-    members = families.join(blocks, "family").join(texts, "rep").join(sigs.drop("n"), "rep").join(comps, "rep", "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"), "sig", "text", "blocks")
-    rest = written(_met_in_blocks(members, "family", F.col("blocks")).mapInArrow(_spanning(least, shingle, percent, True), "a long, b long"), "rest")
-    forget(multi, placed, ties, families)
+    members = written(families.join(texts, "rep").join(sigs, "rep").join(comps, "rep", "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"), "sig", "text", "n"), "members")
+    rest = written(_met_in_blocks(members, "family", F.col("n")).drop("n").mapInArrow(_spanning(least, shingle, percent, True), "a long, b long"), "rest")
+    forget(multi, ties, families, members)
     if rest.limit(1).count():
         comp = written(components(first.unionByName(rest)), "components")
     forget(star, rest)

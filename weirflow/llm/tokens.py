@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
 from weirflow.llm._shared import bounded, new_path, pieces, text_bytes, written
+from weirflow.scratch import qualified
 
 LENGTH, BATCH = 2048, 64
 #: Text bytes of a shard, about.
 SHARD_BYTES = 64 << 20
-#: Words whose ids a worker remembers, at some 40 bytes each; then it starts afresh.
-MOST_WORDS = 1_500_000
+#: Words whose ids and bytes a worker remembers, at some 70 bytes each; then it starts afresh.
+MOST_WORDS = 1_000_000
 #: Texts are encoded word by word: cuts lie between a character that is no white space and a space or line feed, over which no
 #: pre-token of a byte-level BPE reaches. UTF-8 of white space (and of what some engines take for it), by bytes.
 _BLANK = np.zeros(256, bool)
@@ -58,8 +59,18 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    n = ends - starts
+    return data[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library. The ids of words (with the spaces before them) are remembered by 64-bit hash, so each different word goes through the library once."""
+    """Ids of whole texts by the tokenizers library. The ids of words (with the spaces before them) are remembered, so each different word goes through the library once.
+
+    Words are looked up by a 64-bit hash, and the bytes of every occurrence are held against those of the remembered word; texts
+    in which two words share a hash go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,7 +83,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.place, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        none = np.zeros(0, np.int64)
+        self.known, self.place, self.size, self.flat = np.zeros(0, np.uint64), none, none, np.zeros(0, self.dtype)
+        self.letters, self.start, self.stop = np.zeros(0, np.uint8), none, none
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, sizes = [], []
@@ -87,9 +100,12 @@ class Encoder:
         if not len(data):
             return self.flat[:0], np.zeros(len(offsets) - 1, np.int64)
         if not self.by_word:
-            return self._library([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return self._whole(data, offsets)
         return self._long(data) if len(offsets) == 2 and len(data) > 2 * _PART else self._words(data, offsets)
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._library([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+
     def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One very long text, in parts."""
         at, out = 0, []
@@ -122,11 +138,16 @@ class Encoder:
                 self._forget()
                 new[:] = True
             own = first[new]
+            letters, n = _gathered(data, s[own], e[own]), e[own] - s[own]
             ids, sizes = self._library([data[a:b].tobytes().decode() for a, b in zip(s[own].tolist(), e[own].tolist(), strict=True)])
             keys, place = np.concatenate([self.known, every[new]]), np.concatenate([self.place, len(self.flat) + np.cumsum(sizes) - sizes])
             order = np.argsort(keys, kind="stable")
             self.known, self.place, self.size, self.flat = keys[order], place[order], np.concatenate([self.size, sizes])[order], np.concatenate([self.flat, ids])
+            stop = len(self.letters) + np.cumsum(n)
+            self.start, self.stop, self.letters = np.concatenate([self.start, stop - n])[order], np.concatenate([self.stop, stop])[order], np.concatenate([self.letters, letters])
             at = np.searchsorted(self.known, every)
+        if not T.same_spans(data, s, e, self.letters, self.start[at][back], self.stop[at][back]).all():
+            return self._whole(data, offsets)
         size = self.size[at][back]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.place[at][back] - (end - size), size) + np.arange(end[-1])]
@@ -270,7 +291,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 0, length: in
     if length % 8:
         raise ValueError("the length must be divisible by 8")
     spark = bounded(docs)
-    folder = folder or new_path(spark, "tokens")
+    folder = qualified(spark, folder or new_path(spark, "tokens"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = max(pieces(text_bytes(rows), SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
