@@ -37,7 +37,7 @@ def test_update_keeps_the_model(il):
             update(il, bad)
 
     def plus(b):
-        return b.assign(l=b.l + 1)
+        return {"l": b["l"] + 1}
 
     assert rows(update_with(il, plus))[1] == (1, 11)
 

@@ -1,6 +1,7 @@
 """The master-join family: every transaction meets at most one master, chosen within its key, or none.
 
-Keys are null-safe. Both outputs come from one left join, so joined and missed together are the transactions.
+Keys are null-safe. Both outputs come from one left join, so joined and missed together are the transactions; a flow that
+reads both, or ``one_pass``, has it computed once.
 ``broadcast=True`` asks for the broadcast form, which is given while the masters' estimated size is bounded; skewed
 transaction keys are split by adaptive execution, as the join keeps all transactions on its left side.
 """
@@ -11,12 +12,15 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from weirflow.model import ModelError, broadcast_within, col, null_safe, pairs, same_model
+from weirflow.model import GroupKey, ModelError, broadcast_within, col, null_safe, pairs, same_model
 from weirflow.operators.record import labelled, routed
+from weirflow.operators.group import cogroup_stream
+from weirflow.operators.sets import of_one_pass
+from weirflow.rows import same_key
 
 M, T = "__wf_m", "__wf_t"
 
@@ -27,12 +31,16 @@ class Selection:
 
     ``cond`` (master, transaction) says which masters come into question, ``order`` which of them goes first; with them
     equi-joins become range and as-of joins. ``ranked``: instead of scanning a key's masters as one array, join and rank,
-    for keys with very many masters. ``fn`` (masters, transaction) picks in Python: the place of a master, or None.
+    for keys with very many masters. ``latest`` (a property of the master, one of the transaction): the master with the largest
+    value that is not above the transaction's, among equals the first by ``order``; masters and transactions are sorted
+    together in one shuffle, so any number of masters may share a key. ``fn`` (masters, transaction) picks in Python: the place
+    of a master, or None.
     """
 
     cond: Callable[[Column, Column], Column] | None = None
     order: Callable[[Column, Column], list[Column]] | None = None
     ranked: bool = False
+    latest: tuple[str, str] | None = None
     fn: Callable[[list[dict], dict], int | None] | None = None
 
 
@@ -55,6 +63,8 @@ def met(master: DataFrame, tx: DataFrame, key, *, order: Iterable[str | Column]
         return left.join(broadcast_within(right, broadcast), cond, "left").select(T, M)
     if select.fn is not None:
         return _picked(master, tx, keys, select.fn)
+    if select.latest is not None:
+        return _latest(master, tx, keys, select)
     can = select.cond or (lambda m, t: F.lit(True))
     rank = select.order or (lambda m, t: [])
     if select.ranked:
@@ -70,27 +80,36 @@ def met(master: DataFrame, tx: DataFrame, key, *, order: Iterable[str | Column]
     return both.select(T, best.alias(M))
 
 
+def _latest(master: DataFrame, tx: DataFrame, keys: list[tuple[str, str]], select: Selection) -> DataFrame:
+    """As-of selection: masters and transactions in one order, the last master carried on to each transaction."""
+    if select.cond is not None:
+        raise ModelError("a selection by the latest master takes no further condition")
+    at_m, at_t = select.latest
+    rows = {s: F.struct(*[col(c) for c in d.columns]) for s, d in ((M, master), (T, tx))}
+    kinds = {M: master, T: tx}
+
+    def side(s: str, by: list[str], at: str) -> DataFrame:
+        d = kinds[s]
+        none = {o: F.lit(None).cast(kinds[o].select(rows[o].alias("r")).schema["r"].dataType) for o in (M, T)}
+        return d.select(*[same_key(d, c).alias(f"__wf_k{i}") for i, c in enumerate(by)], col(at).alias("__wf_at"), F.lit(s == T).alias("__wf_tx"), *[(rows[o] if o == s else none[o]).alias(o) for o in (M, T)])
+
+    both = side(M, [m for _, m in keys], at_m).where(F.col("__wf_at").isNotNull()).unionByName(side(T, [t for t, _ in keys], at_t))
+    rank = [c.desc() for c in (select.order or (lambda m, t: []))(F.col(M), F.col(T))]
+    w = Window.partitionBy(*[F.col(f"__wf_k{i}") for i in range(len(keys))]).orderBy(F.col("__wf_at").asc_nulls_first(), "__wf_tx", *rank, F.col(M).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(M, F.last(M, ignorenulls=True).over(w)).where("__wf_tx").select(T, M)
+
+
 def _picked(master: DataFrame, tx: DataFrame, keys: list[tuple[str, str]], fn: Callable) -> DataFrame:
-    """Selection by a Python function: groups meet in pandas; one key's rows must fit in a task."""
-    tcols, mcols = tx.columns, master.columns
-    left = tx.select(*[col(c).alias(f"t{i}") for i, c in enumerate(tcols)], *[col(t).alias(f"k{i}") for i, (t, _) in enumerate(keys)])
-    right = master.select(*[col(c).alias(f"m{i}") for i, c in enumerate(mcols)], *[col(m).alias(f"k{i}") for i, (_, m) in enumerate(keys)])
-    schema = ", ".join([f"t{i} {f.dataType.simpleString()}" for i, f in enumerate(tx.schema)] + ["found boolean"] + [f"m{i} {f.dataType.simpleString()}" for i, f in enumerate(master.schema)])
-
-    def run(t: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        ms = [dict(zip(mcols, r, strict=True)) for r in m[[f"m{i}" for i in range(len(mcols))]].astype(object).itertuples(index=False, name=None)]
-        out = []
-        for r in t[[f"t{i}" for i in range(len(tcols))]].astype(object).itertuples(index=False, name=None):
-            at = fn(ms, dict(zip(tcols, r, strict=True)))
-            out.append((*r, at is not None, *([None] * len(mcols) if at is None else ms[at].values())))
-        return pd.DataFrame(out, columns=[*[f"t{i}" for i in range(len(tcols))], "found", *[f"m{i}" for i in range(len(mcols))]])
-
-    k = [f"k{i}" for i in range(len(keys))]
-    got = left.groupBy(*k).cogroup(right.groupBy(*k)).applyInPandas(run, schema)
-    return got.select(
-        F.struct(*[F.col(f"t{i}").alias(c) for i, c in enumerate(tcols)]).alias(T),
-        F.when(F.col("found"), F.struct(*[F.col(f"m{i}").alias(c) for i, c in enumerate(mcols)])).alias(M),
-    )
+    """Selection by a Python function: a task holds the masters of one key, and its transactions stream by."""
+    kinds = {s: d.select(F.struct(*[col(c) for c in d.columns]).alias("r")).schema["r"].dataType for s, d in ((M, master), (T, tx))}
+
+    def run(masters, txs):
+        for t in txs:
+            at = fn(masters, t)
+            yield "met", {T: t, M: None if at is None else masters[at]}
+
+    schema = StructType([StructField(T, kinds[T]), StructField(M, kinds[M])])
+    return cogroup_stream([(master, GroupKey(tuple(m for _, m in keys))), (tx, GroupKey(tuple(t for t, _ in keys)))], run, {"met": schema})["met"]
 
 
 def _columns(df: DataFrame, struct: str, names: list[str]) -> DataFrame:
@@ -120,7 +139,7 @@ def master_join(master: DataFrame, tx: DataFrame, key, mapping: Mapping[str, tup
         if c not in (master if s == "master" else tx).columns:
             raise ModelError(f"master_join: {d} comes from {s}.{c}, which is not there")
     joined = both.where(F.col(M).isNotNull()).select(*[F.col(side[s])[c].alias(d) for d, (s, c) in mapping.items()])
-    return Joined(joined, _columns(both.where(F.col(M).isNull()), T, tx.columns))
+    return Joined(*of_one_pass(both, joined, _columns(both.where(F.col(M).isNull()), T, tx.columns)))
 
 
 def master_join_update(master: DataFrame, tx: DataFrame, key, sets: Callable[[Column, Column], Mapping[str, Column]], **options) -> Updated:
@@ -131,7 +150,7 @@ def master_join_update(master: DataFrame, tx: DataFrame, key, sets: Callable[[Co
     if unknown:
         raise ModelError(f"master_join_update: no property {', '.join(unknown)}")
     updated = both.where(F.col(M).isNotNull()).select(*[(new[c] if c in new else F.col(T)[c]).alias(c) for c in tx.columns])
-    return Updated(same_model(updated, tx, "master_join_update"), _columns(both.where(F.col(M).isNull()), T, tx.columns))
+    return Updated(*of_one_pass(both, same_model(updated, tx, "master_join_update"), _columns(both.where(F.col(M).isNull()), T, tx.columns)))
 
 
 def master_check(master: DataFrame, tx: DataFrame, key, *, select: Selection | None = None, broadcast: bool | None = None, **options) -> Checked:
@@ -142,7 +161,7 @@ def master_check(master: DataFrame, tx: DataFrame, key, *, select: Selection | N
         cond = null_safe([tx[t] for t, _ in keys], [F.col(f"__wf_k{i}") for i in range(len(keys))])
         return Checked(tx.join(right, cond, "left_semi"), tx.join(right, cond, "left_anti"))
     both = met(master, tx, key, select=select, broadcast=broadcast, **options)
-    return Checked(*(_columns(both.where(c), T, tx.columns) for c in (F.col(M).isNotNull(), F.col(M).isNull())))
+    return Checked(*of_one_pass(both, *(_columns(both.where(c), T, tx.columns) for c in (F.col(M).isNotNull(), F.col(M).isNull()))))
 
 
 def master_branch(master: DataFrame, tx: DataFrame, key, label: Callable[[Column, Column], Column], labels: Iterable[str], **options) -> dict[str, DataFrame]:

@@ -6,12 +6,14 @@ import logging
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.model import Model, ModelError, col, same_model
+from weirflow.operators.sets import of_one_pass
+from weirflow.rows import arrow_schema, fan_out, records, tagged, tagged_schema
 
 
 def _reshape(df: DataFrame, model: Model, drop: bool, add: bool, what: str) -> DataFrame:
@@ -51,14 +53,20 @@ def update(df: DataFrame, sets: Mapping[str, Column]) -> DataFrame:
     return same_model(out, df, "update")
 
 
-def update_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Update by a function on Arrow-fed pandas batches, for code that expressions cannot say."""
+def update_with(df: DataFrame, fn: Callable[[dict], Mapping]) -> DataFrame:
+    """Update by a Python function on each record, for code that expressions cannot say: it returns the properties to set."""
+    schema = arrow_schema(df.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield fn(b)
+            new = [fn(r) for r in records(b)]
+            if odd := {k for x in new for k in x if k not in b.schema.names}:
+                raise ValueError(f"update: no property {', '.join(sorted(odd))}")
+            # properties that no record sets stay the batch's own
+            columns = [c if not any(n in x for x in new) else pa.array([x[n] if n in x else v for x, v in zip(new, c.to_pylist(), strict=True)], schema.field(n).type) for n, c in zip(b.schema.names, b.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 class Converted(NamedTuple):
@@ -84,21 +92,14 @@ def extract(df: DataFrame, outs: Mapping[str, Column]) -> dict[str, DataFrame]:
 
 
 def extract_with(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple[str, dict]]], outs: Mapping[str, Model]) -> dict[str, DataFrame]:
-    """Extract by a generator over records that yields (output, record). It runs once for all outputs if the tagged frame is persisted."""
-    names = list(outs)
-    schema = T.StructType([T.StructField("__wf_out", T.StringType())] + [T.StructField(f"{n}", m.schema) for n, m in outs.items()])
+    """Extract by a generator over a partition's records that yields (output, record). For all outputs in one pass see ``one_pass``."""
+    schema = tagged_schema(outs)
+    arrow = arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for out, record in fn(iter(b.to_dict("records"))):
-                if out not in names:
-                    raise ValueError(f"extract: no output {out}")
-                rows.append({"__wf_out": out, **{n: record if n == out else None for n in names}})
-            yield pd.DataFrame(rows, columns=["__wf_out", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tagged(fn(r for b in batches for r in records(b)), arrow)
 
-    tagged = df.mapInPandas(run, schema)
-    return {n: tagged.where(F.col("__wf_out") == n).select(F.col(f"`{n}`.*")) for n in names}
+    return fan_out(df.mapInArrow(run, schema), outs)
 
 
 def labelled(label: Column, labels: Iterable[str], what: str) -> Column:
@@ -112,7 +113,8 @@ def labelled(label: Column, labels: Iterable[str], what: str) -> Column:
 
 
 def routed(df: DataFrame, label: str, labels: Iterable[str], columns: list[str]) -> dict[str, DataFrame]:
-    return {x: df.where(F.col(label) == x).select(*[col(c) for c in columns]) for x in labels}
+    labels = list(labels)
+    return dict(zip(labels, of_one_pass(df, *[df.where(F.col(label) == x).select(*[col(c) for c in columns]) for x in labels]), strict=True))
 
 
 def branch(df: DataFrame, label: Column, labels: Iterable[str]) -> dict[str, DataFrame]:
@@ -140,11 +142,13 @@ def logging_op(df: DataFrame, message: Column, level: str = "INFO", logger: str
     """Passes records through and logs a message for each in the task that works on it; ERROR and WARN keep their level, others are info."""
     level = {"ERROR": "error", "WARN": "warning"}.get(level.upper(), "info")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = getattr(logging.getLogger(logger), level)
         for b in batches:
-            for m in b["__wf_message"]:
+            for m in b.column(len(columns)).to_pylist():
                 log(m)
-            yield b.drop(columns="__wf_message")
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], columns)
 
-    return df.withColumn("__wf_message", message.cast("string")).mapInPandas(run, df.schema)
+    return df.select(*[col(c) for c in columns], message.cast("string").alias("__wf_message")).mapInArrow(run, df.schema)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.model import Model, same_model
@@ -36,3 +40,32 @@ def duplicate(df: DataFrame, n: int) -> list[DataFrame]:
 
 def stop(df: DataFrame) -> None:
     """Discards a data set; being lazy it is never computed."""
+
+
+def of_one_pass(base: DataFrame, *frames: DataFrame) -> tuple[DataFrame, ...]:
+    """Notes that the frames are outputs of one frame, so that whoever reads several can have it computed once."""
+    for f in frames:
+        f._wf_base = base
+    return frames
+
+
+def bases(frames) -> list[DataFrame]:
+    """The frames that two or more of these come from."""
+    found: dict[int, list] = {}
+    for f in {id(f): f for f in frames}.values():
+        base = getattr(f, "_wf_base", None)
+        if base is not None:
+            found.setdefault(id(base), []).append(base)
+    return [x[0] for x in found.values() if len(x) > 1]
+
+
+@contextmanager
+def one_pass(outputs) -> Iterator:
+    """While in use, what an operator's outputs have in common is computed once: ``with one_pass(master_join(...)) as j: ...``. Kept in memory, or on disk beyond it."""
+    frames = list(outputs.values()) if isinstance(outputs, Mapping) else list(outputs)
+    held = [b.persist(StorageLevel.MEMORY_AND_DISK) for b in bases(frames)]
+    try:
+        yield outputs
+    finally:
+        for h in held:
+            h.unpersist()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.model import GroupKey, ModelError, broadcast_within, col, null_safe
 
@@ -18,6 +19,7 @@ MOST_ROWS = 1_000_000
 class View:
     source: DataFrame
     key: GroupKey
+    _sent: list[Broadcast] = field(default_factory=list, repr=False, compare=False)
 
     def attach(self, df: DataFrame, keys: list[Column], name: str) -> DataFrame:
         """Adds the sorted rows found for the keys as an array of structs; an absent key finds an empty array.
@@ -38,13 +40,16 @@ class View:
         return out.select(*[col(c) for c in df.columns], F.coalesce("__wf_found", none).alias(name))
 
     def table(self) -> Broadcast:
-        """For Python functions: a broadcast dictionary of key tuples to lists of rows; refuses more than ``MOST_ROWS`` rows."""
+        """For Python functions: a broadcast dictionary of key tuples to lists of rows; refuses more than ``MOST_ROWS`` rows. Sent once: a view that is kept from round to round keeps it."""
+        if self._sent:
+            return self._sent[0]
         if self.source.limit(MOST_ROWS + 1).count() > MOST_ROWS:
             raise ValueError(f"the view holds more than {MOST_ROWS} rows; attach() it instead")
         out: dict[tuple, list[dict]] = {}
         for r in self.source.orderBy(*self.key.ordering()).collect() if self.key.order else self.source.collect():
             out.setdefault(tuple(r[c] for c in self.key.by), []).append(r.asDict())
-        return self.source.sparkSession.sparkContext.broadcast(out)
+        self._sent.append(self.source.sparkSession.sparkContext.broadcast(out))
+        return self._sent[0]
 
 
 def view(df: DataFrame, *key: str | GroupKey) -> View:
@@ -54,8 +59,42 @@ def view(df: DataFrame, *key: str | GroupKey) -> View:
 def sorted_rows(df: DataFrame, key: GroupKey, name: str = "__wf_rows") -> DataFrame:
     """One row for each group: its key columns and its rows as an array of structs in the key's order."""
     row = F.struct(*[col(c) for c in df.columns])
-    g = df.groupBy(*key.groups()).agg(F.collect_list(row).alias(name))
-    return g.withColumn(name, in_order(F.col(name), key)).drop("__wf_all")
+    return df.groupBy(*key.groups()).agg(collected(row, df.schema, key).alias(name)).drop("__wf_all")
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _rank(x: Column, kind: T.DataType, up: bool) -> list[Column] | None:
+    """Columns in whose natural order values go up or down, null lowest in rank; None where there are none."""
+    if up:
+        return [x]
+    if isinstance(kind, T.DateType):
+        x, kind = F.unix_date(x), T.IntegerType()
+    if isinstance(kind, T.BooleanType):
+        return [x.isNull(), ~x]
+    if isinstance(kind, _WHOLE):
+        return [x.isNull(), F.bitwise_not(x)]
+    if isinstance(kind, T.DecimalType):
+        return [x.isNull(), -x]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [x.isNull(), ~F.isnan(x), -x]
+    return None
+
+
+def collected(row: Column, schema: T.StructType, key: GroupKey) -> Column:
+    """The aggregate that gathers row structs into an array in the key's order, null rows left out; rows equal in it go by all their columns, where these have an order.
+
+    The order is put before each row as values that sort by themselves; only where there are none (strings and times that go down)
+    are rows compared one by one.
+    """
+    if not key.order:
+        return F.collect_list(row)
+    ranks = [_rank(row[c], schema[c].dataType, up) for c, up in key.order]
+    if None in ranks or any(f.dataType.typeName() in ("map", "variant") for f in schema):
+        return in_order(F.collect_list(row), key)
+    named = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(x for r in ranks for x in r)]).alias("o")
+    return F.sort_array(F.collect_list(F.when(row.isNotNull(), F.struct(named, row.alias("r")))))["r"]
 
 
 def in_order(rows: Column, key: GroupKey) -> Column:
