@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.context import MissingArgument, RunContext
+from weirflow.context import MissingArgument, Report, RunContext
 from weirflow.model import Model
-from weirflow.operators import branch
+from weirflow.operators import branch, one_pass, update_with, view
 from weirflow.plans import Flow, Listener, Recompute, operator, operators, register, run_rounds
 from weirflow.plans.flow import Kind, NodeError
-from weirflow.sources import FlatOutput
+from weirflow.sources import FlatOutput, StagedOutput
 from weirflow.streaming import run_stream
 
 
@@ -140,3 +140,68 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["jobs_under_test:flow", "--rounds", str(tmp_path / "rounds.csv"), "--slots", "1"]) == 1
     assert main(["jobs_under_test:flow", "--rounds", str(tmp_path / "rounds.csv"), "--go-on"]) == 0
     assert {f.name[0] for f in (tmp_path / "out").glob("*.parquet")} == {"1", "7", "9"}
+
+
+def test_outputs_of_one_operator_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(r):
+        seen.add(1)
+        return {"id": r["id"]}
+
+    def labels(ctx, d):
+        return branch(update_with(d, count), F.when(F.col("id") < 3, "LOW").otherwise("HIGH"), ["LOW", "HIGH"])
+
+    flow = Flow().add("n", lambda ctx, s: s.range(10)).add("b", labels, "n").sink("low", "b.LOW", FlatOutput(str(tmp_path), "low-*.parquet")).sink("high", "b.HIGH", FlatOutput(str(tmp_path), "high-*.parquet"))
+    c = flow.run(spark)
+    assert seen.value == 10 and c.inputs() == {"n": 10}
+    with one_pass(labels(None, spark.range(10))) as out:
+        assert out["LOW"].count() + out["HIGH"].count() == 10 and seen.value == 20
+
+
+def test_errors_at_run_time_name_their_nodes(spark, tmp_path):
+    def fails(ctx, d):
+        return d.select(F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("id"))
+
+    flow = Flow().add("n", lambda ctx, s: s.range(5)).add("other", lambda ctx, s: s.range(5)).add("bad", fails, "n").sink("o", "bad", FlatOutput(str(tmp_path / "o"), "*.parquet")).sink("p", "other", StagedOutput(str(tmp_path / "p")))
+    with pytest.raises(NodeError, match="o <- n, bad: .*boom"):
+        flow.run(spark)
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_what_reads_an_output_is_always_built_again(spark, tmp_path):
+    base = str(tmp_path)
+
+    def back(ctx, s):
+        return s.read.schema("id BIGINT").parquet(f"{base}/{ctx['round']}-*.parquet")
+
+    flow = numbers(base).add("back", back, after=["out"]).add("sum", lambda ctx, d: d.agg(F.sum("id").alias("id")), "back").sink("sums", "sum", FlatOutput(base, "sum-${round}-*.parquet"))
+    assert flow.recompute()["sum"].kind is Kind.ALWAYS and flow.waves() == [["out"], ["sums"]]
+    flow.run(spark, RunContext({"round": "1"}))
+    assert spark.read.parquet(f"{base}/sum-1-*.parquet").first()[0] == 1045
+
+
+def test_report_counts_errors_of_tasks(spark):
+    report = Report(spark=spark)
+
+    def check(r):
+        if r["id"] > 6:
+            report.error("too large")
+        return {}
+
+    assert update_with(spark.range(10), check).collect() and report.errors == 3
+    own = Report()
+    own.error("x")
+    assert own.errors == 1
+
+
+def test_views_are_sent_once(spark, tmp_path):
+    sent = []
+
+    def use(ctx, v, d):
+        sent.append(v.table())
+        return d
+
+    flow = Flow().add("m", lambda ctx, s: view(s.range(5), "id")).add("n", lambda ctx, s: s.range(5)).add("use", use, "m", "n", recompute=Recompute.always()).sink("o", "use", FlatOutput(str(tmp_path), "${round}-*.parquet"))
+    assert run_rounds(flow, spark, [RunContext({"round": str(i)}) for i in range(3)], slots=1).status == 0
+    assert len(sent) == 3 and len({id(x) for x in sent}) == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weirflow.context import MissingArgument, RunContext
 from weirflow.functions import PathPattern
 from weirflow.model import Model
-from weirflow.sources import Counters, FlatOutput, GroupOutput, StagedOutput, delete_matching, read_direct, recover, write_outputs
+from weirflow.sources import Counters, FlatOutput, GroupOutput, StagedOutput, delete_matching, read_direct, read_staged, recover, write_outputs
 from weirflow.sources import outputs as O
 
 CTX = RunContext({"arg": "A", "d": "deep"})
@@ -90,8 +90,25 @@ def test_name_clashes_raise(spark, tmp_path):
 def test_staged_and_paths(spark, tmp_path):
     for i in (1, 2):
         write_outputs([("s", spark.range(i), StagedOutput(f"{tmp_path}/s{i}"))], CTX)
-    assert read_direct(spark, CTX, str(tmp_path), ["s1", "s2"], Model.of("id BIGINT")).count() == 3
-    assert read_direct(spark, CTX, str(tmp_path), "s*", Model.of("id BIGINT")).count() == 3
+    assert read_staged(spark, CTX, [f"{tmp_path}/s1", f"{tmp_path}/s2"], Model.of("id BIGINT")).count() == 3
+    assert read_direct(spark, CTX, str(tmp_path), "s*/*", Model.of("id BIGINT")).count() == 3
+
+
+def test_staged_takes_part_in_the_commit(spark, tmp_path):
+    base = str(tmp_path / "s")
+    c = Counters()
+    write_outputs([("s", spark.range(7).repartition(2), StagedOutput(base))], CTX, c)
+    assert c.outputs["s"]["records"] == 7 and c.outputs["s"]["files"] == 2 and c.outputs["s"]["bytes"] > 0
+    before = listing(base)
+    assert before and all(f.startswith("main/part-") for f in before)
+    bad = spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="boom"):
+        write_outputs([("s", spark.range(9), StagedOutput(base)), ("f", bad, FlatOutput(str(tmp_path / "f"), "x-*.parquet"))], CTX)
+    assert listing(base) == before and listing(tmp_path / "f") == []
+    write_outputs([("s", spark.range(3), StagedOutput(base))], CTX)
+    assert read_staged(spark, CTX, [base], Model.of("id BIGINT")).count() == 3
+    write_outputs([("s", spark.range(0), StagedOutput(base))], RunContext(stage=""))
+    assert listing(base) != [] and read_staged(spark, CTX, [base], Model.of("id BIGINT")).count() == 3
 
 
 def test_filter_and_columns_reach_the_scan(spark):
@@ -112,7 +129,13 @@ def test_filter_and_columns_reach_the_scan(spark):
         ("{d:0.##}", "-2.5"),
         ("{d:#.#}", "-2.5"),
         ("{dec:0.0}", "12.3"),
+        ("{i:'n'0 'x'}", "n1234567 x"),
+        ("{f:0%}", "150%"),
+        ("{d:0.0;(0.0)}", "(2.5)"),
+        ("{d:$0}", "-$2"),
         ("{date:yyyyMMdd}", "20000102"),
+        ("{date:yy-M-d}", "00-1-2"),
+        ("{at:h'h'm a EEE SSS}", "3h4 AM Sun 000"),
         ("{at:yyyy-MM-dd HH:mm:ss}", "2000-01-02 03:04:05"),
         ("${d}/{b}/{i}", "deep/1/1234567"),
         ("{n:yyyy}", "null"),
@@ -129,7 +152,7 @@ def test_random_segment(spark):
     assert got == {"r3", "r4", "r5"}
 
 
-@pytest.mark.parametrize("bad", ["{nope}", "{s:000}", "{i:0x}", "{date:QQ}", "[5..1]"])
+@pytest.mark.parametrize("bad", ["{nope}", "{s:000}", "{i:x}", "{i:0#0}", "{date:QQ}", "[5..1]"])
 def test_bad_segments(spark, bad):
     d = spark.createDataFrame([], "s STRING, i INT, date DATE")
     with pytest.raises(ValueError):

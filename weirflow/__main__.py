@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from weirflow.config import Settings
 from weirflow.context import RunContext
 from weirflow.plans import Flow, run_rounds
+from weirflow.plans.flow import installed_listeners
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -31,7 +32,13 @@ def main(argv: list[str] | None = None) -> int:
     found = getattr(importlib.import_module(module), name or "flow")
     flow = found if isinstance(found, Flow) else found()
     args = dict(x.split("=", 1) for x in a.arg)
-    spark = SparkSession.builder.appName(flow.name).getOrCreate()
+    conf: dict[str, str] = {}
+    for x in installed_listeners():
+        x.configure(conf)
+    builder = SparkSession.builder.appName(flow.name)
+    for k, v in conf.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     settings = Settings.of(spark)
     if a.verify or settings.verify:
         print(flow.explain(spark, RunContext(args)))

@@ -41,10 +41,22 @@ def variables(texts: Iterable[str]) -> set[str]:
 
 
 class Report:
-    """Messages of a run: ``error`` also marks the run as failed when it ends."""
+    """Messages of a run, from the driver or from tasks: ``error`` also marks the run as failed when it ends.
 
-    def __init__(self, name: str = "weirflow.report"):
-        self.log, self.errors = logging.getLogger(name), 0
+    With a session, Python functions that run in tasks may use the report too; what they count comes back with the task's end.
+    """
+
+    def __init__(self, name: str = "weirflow.report", spark=None):
+        self.name, self.count = name, spark.sparkContext.accumulator(0) if spark is not None else None
+        self.own = 0
+
+    @property
+    def log(self) -> logging.Logger:
+        return logging.getLogger(self.name)
+
+    @property
+    def errors(self) -> int:
+        return self.own + (self.count.value if self.count is not None else 0)
 
     def info(self, message: str) -> None:
         self.log.info(message)
@@ -53,5 +65,8 @@ class Report:
         self.log.warning(message)
 
     def error(self, message: str) -> None:
-        self.errors += 1
+        if self.count is not None:
+            self.count.add(1)
+        else:
+            self.own += 1
         self.log.error(message)

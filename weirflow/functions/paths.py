@@ -1,8 +1,8 @@
 """Output paths computed for each record.
 
 A pattern holds constants (with ``${arg}``), ``{property}``, ``{property:format}``, ``[min..max]`` (a seeded random
-integer) and ``*`` (the task attempt). Number formats take ``0 # , .``; date formats ``yyyy MM dd HH mm ss`` and
-literals. A null property reads ``null``.
+integer) and ``*`` (the task attempt). Number formats take ``0 # , .``, ``%``, text before and after, and a form for negative
+numbers after ``;``. Date formats take runs of ``y M d D H h k K m s S a E``, quoted text and signs. A null property reads ``null``.
 """
 
 from __future__ import annotations
@@ -19,15 +19,35 @@ from weirflow.model import Model, col
 
 _SEGMENT = re.compile(r"\{([^{}:]+)(?::([^{}]+))?\}|\[(-?\d+)\.\.(-?\d+)\]|(\*)")
 _NUMBER = re.compile(r"([#,]*[0,]*)(?:\.(0*)(#*))?")
-_DATE = re.compile(r"(?:yyyy|MM|dd|HH|mm|ss|[^A-Za-z'])+")
+_PARTS = re.compile(r"((?:'[^']*'|[^#0,.;'%])*)([#0,]*(?:\.[#0]*)?)(%?)((?:'[^']*'|[^#0,.;'%])*)")
+_DATE = re.compile(r"(?:y{1,6}|M{1,4}|d{1,2}|D{1,3}|H{1,2}|h{1,2}|k{1,2}|K{1,2}|m{1,2}|s{1,2}|S{1,9}|a|E{1,4}|'[^']*'|[^A-Za-z'])+")
 #: The first seed of random segments and the step to the next one.
 SEED, SEED_STEP = 0xCAFEBABE, 31
 
 
+def _text(literal: str) -> str:
+    return re.sub(r"'([^']*)'", lambda m: m[1] or "'", literal)
+
+
 def _number(value: Column, fmt: str) -> Column:
-    m = _NUMBER.fullmatch(fmt)
-    if not m or not fmt:
+    up, _, down = fmt.partition(";")
+    m, n = _PARTS.fullmatch(up), _PARTS.fullmatch(down)
+    if not m or not m[2] or not n:
         raise ValueError(f"number format not supported: {fmt}")
+    if m[3]:
+        value = value.cast(T.DecimalType(38, 12)) * 100
+    before, after = (_text(m[1]), m[3] + _text(m[4]))
+    low = (_text(n[1]), n[3] + _text(n[4])) if down else (f"-{before}", after)
+    size = _digits(F.abs(value.cast(T.DecimalType(38, 10))), m[2], fmt)
+    # what rounds to zero has no sign
+    less = (value < 0) & F.rlike(size, F.lit("[1-9]"))
+    return F.when(less, F.concat(F.lit(low[0]), size, F.lit(low[1]))).otherwise(F.concat(F.lit(before), size, F.lit(after)))
+
+
+def _digits(value: Column, fmt: str, whole_fmt: str) -> Column:
+    m = _NUMBER.fullmatch(fmt)
+    if not m:
+        raise ValueError(f"number format not supported: {whole_fmt}")
     whole, fixed, free = m[1], len(m[2] or ""), len(m[3] or "")
     least, grouped = whole.replace(",", "").count("0"), "," in whole
     d = F.bround(value.cast(T.DecimalType(38, 10)), fixed + free)
@@ -43,7 +63,7 @@ def _number(value: Column, fmt: str) -> Column:
         digits = F.concat(F.substring(digits, 1, fixed), F.regexp_replace(F.substring(digits, fixed + 1, max(free, 1)), "0+$", "")) if free else digits
         tail = F.when(F.length(digits) > 0, F.concat(F.lit("."), digits)).otherwise("")
     number = F.concat(head, tail)
-    return F.concat(F.when(d < 0, "-").otherwise(""), F.when(F.length(number) == 0, "0").otherwise(number))
+    return F.when(F.length(number) == 0, "0").otherwise(number)
 
 
 @dataclass(frozen=True)

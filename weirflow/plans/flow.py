@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.context import MissingArgument, RunContext, variables
 from weirflow.functions.paths import PathPattern
+from weirflow.operators.sets import bases
+from weirflow.operators.views import View
 from weirflow.sources.counters import Counters
 from weirflow.sources.outputs import StagedOutput, write_outputs
 
@@ -62,8 +64,9 @@ class Recompute:
 
 
 class Listener:
-    """Called at a run's and at rounds' turns; all methods may stay as they are."""
+    """Called at a run's and at rounds' turns; all methods may stay as they are. ``configure`` may change the settings of a session that is about to start."""
 
+    def configure(self, settings: dict[str, str]) -> None: ...
     def run_started(self, ctx: RunContext) -> None: ...
     def run_completed(self, ctx: RunContext, seconds: float, error: Exception | None) -> None: ...
     def executor_started(self) -> None: ...
@@ -85,6 +88,7 @@ class Node:
     inputs: tuple[str, ...]
     recompute: Recompute
     paths: tuple[str, ...]
+    after: tuple[str, ...] = ()
 
 
 class NodeError(RuntimeError):
@@ -99,13 +103,17 @@ class Flow:
     nodes: dict[str, Node] = field(default_factory=dict)
     sinks: dict[str, tuple[str, object]] = field(default_factory=dict)
 
-    def add(self, name: str, fn: Callable, *inputs: str, recompute: Recompute | None = None, paths: Iterable[str] = ()) -> Flow:
-        """``fn`` (ctx, *frames) returns a frame, a named tuple or a dict of frames. A source has no inputs and gets (ctx, session). ``paths``: texts whose ``${arg}`` the node needs."""
+    def add(self, name: str, fn: Callable, *inputs: str, recompute: Recompute | None = None, paths: Iterable[str] = (), after: Iterable[str] = ()) -> Flow:
+        """``fn`` (ctx, *frames) returns a frame, a view, a named tuple or a dict of frames. A source has no inputs and gets (ctx, session).
+
+        ``paths``: texts whose ``${arg}`` the node needs. ``after``: ports whose files the node reads; they are committed before it is built, and
+        it is built again in every round.
+        """
         if name in self.nodes or "." in name:
             raise ValueError(f"bad node name {name}")
         paths = tuple(paths)
         needed = variables(paths)
-        self.nodes[name] = Node(name, fn, inputs, recompute or (Recompute.parameter(*needed) if needed else Recompute.never()), paths)
+        self.nodes[name] = Node(name, fn, inputs, recompute or (Recompute.parameter(*needed) if needed else Recompute.never()), paths, tuple(after))
         return self
 
     def sink(self, port: str, source: str, output) -> Flow:
@@ -144,29 +152,71 @@ class Flow:
         return out
 
     def recompute(self) -> dict[str, Recompute]:
-        """Each node's own kind with those of all it reads."""
+        """Each node's own kind with those of all it reads. What reads the files of a sink (its node names the port in ``after``) is always built again."""
         out: dict[str, Recompute] = {}
         for n in self.order():
             kind = self.nodes[n].recompute
+            if self.nodes[n].after:
+                kind = Recompute.always()
             for x in self.nodes[n].inputs:
                 kind = kind | out[x.split(".")[0]]
             out[n] = kind
         return out
 
-    def build(self, spark: SparkSession, ctx: RunContext, memo: dict | None = None) -> dict[str, object]:
-        """The outputs of all needed nodes. ``memo`` keeps them by recompute key from round to round."""
+    def in_common(self, built: Mapping[str, object]) -> list[DataFrame]:
+        """What several outputs of one operator come from, where more than one of them is read."""
+        read = {x for n in self.order() for x in self.nodes[n].inputs} | {x for x, _ in self.sinks.values()}
+        return bases([f for x in sorted(read) if isinstance(f := self.pick(built, x), DataFrame)])
+
+    def above(self, ref: str) -> list[str]:
+        """The nodes that a reference needs, inputs first."""
+        out: list[str] = []
+
+        def visit(x: str) -> None:
+            name = x.split(".")[0]
+            for y in self.nodes[name].inputs:
+                visit(y)
+            if name not in out:
+                out.append(name)
+
+        visit(ref)
+        return out
+
+    def labelled(self, port: str, error: Exception) -> NodeError:
+        """The error of an output, with the nodes it may have come from; those whose Python code the trace names come alone."""
+        nodes, text = self.above(self.sinks[port][0]), str(error)
+        named = [n for n in nodes if getattr(self.nodes[n].fn, "__name__", "<lambda>") not in ("<lambda>", "fn") and f"in {self.nodes[n].fn.__name__}\n" in text or f"{n}:" in text]
+        return NodeError(f"{port} <- {', '.join(named or nodes)}: {error}")
+
+    def waves(self) -> list[list[str]]:
+        """Ports in turns: those that others come after go first."""
+        left, out, written = list(self.sinks), [], set()
+        while left:
+            now = [p for p in left if all(a in written for n in self.above(self.sinks[p][0]) for a in self.nodes[n].after)]
+            if not now:
+                raise ValueError(f"{', '.join(left)} wait for each other")
+            out.append(now)
+            written |= set(now)
+            left = [p for p in left if p not in now]
+        return out
+
+    def build(self, spark: SparkSession, ctx: RunContext, memo: dict | None = None, *, ports: Iterable[str] | None = None, out: dict | None = None, counters: Counters | None = None) -> dict[str, object]:
+        """The outputs of all needed nodes, of some ports if these are given. ``memo`` keeps them by recompute key from round to round, ``out`` has those that are built already. ``counters`` count what the sources give."""
         missing = sorted(self.required() - set(ctx.args))
         if missing:
             raise MissingArgument(", ".join(missing))
-        kinds, out = self.recompute(), {}
-        for n in self.order():
+        kinds, out = self.recompute(), {} if out is None else out
+        for n in self.order(ports):
+            if n in out:
+                continue
             node, key = self.nodes[n], (n, *kinds[n].key(ctx))
             if memo is not None and key in memo:
                 out[n] = memo[key]
                 continue
             args = [self.pick(out, x) for x in node.inputs]
             try:
-                out[n] = node.fn(ctx, *args) if args else node.fn(ctx, spark)
+                made = node.fn(ctx, *args) if args else node.fn(ctx, spark)
+                out[n] = counters.counted(made, n) if counters and not args and isinstance(made, DataFrame) else made
             except Exception as e:
                 raise NodeError(f"{n}: {e}") from e
             if memo is not None:
@@ -178,7 +228,7 @@ class Flow:
         name, _, output = ref.partition(".")
         found = built[name]
         if not output:
-            if not isinstance(found, DataFrame):
+            if not isinstance(found, (DataFrame, View)):
                 raise ValueError(f"{name} has several outputs; name one")
             return found
         return found[output] if isinstance(found, Mapping) else getattr(found, output)
@@ -200,11 +250,25 @@ class Flow:
         for x in listeners:
             x.run_started(ctx)
         held: list[DataFrame] = []
+        built: dict[str, object] = {}
+
+        def hold(df: DataFrame) -> None:
+            if not any(df is h for h in held):
+                held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+
         try:
-            built = self.build(spark, ctx)
-            for ref in keep if keep is not None else [r for r in self.shared() if self.nodes[r.split(".")[0]].inputs]:
-                held.append(self.pick(built, ref).persist(StorageLevel.MEMORY_AND_DISK))
-            write_outputs([(port, self.pick(built, x), o) for port, (x, o) in self.sinks.items()], ctx, counters)
+            for ports in self.waves():
+                self.build(spark, ctx, ports=ports, out=built, counters=counters)
+                read = {x for n in built for x in self.nodes[n].inputs} | {self.sinks[p][0] for p in ports}
+                for ref in keep if keep is not None else [r for r in self.shared() if r in read and self.nodes[r.split(".")[0]].inputs]:
+                    if isinstance(found := self.pick(built, ref), DataFrame):
+                        hold(found)
+                for base in bases([f for x in sorted(read) if isinstance(f := self.pick(built, x), DataFrame)]):
+                    hold(base)
+                try:
+                    write_outputs([(port, self.pick(built, self.sinks[port][0]), self.sinks[port][1]) for port in ports], ctx, counters)
+                except Exception as e:
+                    raise (self.labelled(e.port, e) if getattr(e, "port", None) in self.sinks else e) from e
         except Exception as e:
             error = e
             raise

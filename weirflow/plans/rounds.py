@@ -8,11 +8,11 @@ from collections.abc import Iterable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.context import RunContext
 from weirflow.plans.flow import Flow, Kind, Listener, installed_listeners
-from weirflow.sources.outputs import Prepared, StagedOutput, abort, commit, delete_matching, prepare
+from weirflow.sources.outputs import Prepared, StagedOutput, abort, base_of, commit, delete_matching, prepare
 
 
 @dataclass
@@ -34,9 +34,12 @@ def run_rounds(flow: Flow, spark: SparkSession, contexts: Iterable[RunContext],
     ``stop_on_fail`` the first failure starts no further round and commits nothing; without it the others go on and only they
     are committed.
     """
+    if len(flow.waves()) > 1:
+        raise ValueError("rounds commit all outputs as one, so no node can read them")
     waiting, out, transaction = list(contexts), RoundResult(), uuid.uuid4().hex
     listeners, lock, memo, kept = [*installed_listeners(), *listeners], threading.Lock(), {}, []
     prepared: list[Prepared] = []
+    bases: set[str] = set()
 
     def tell(what: str, *args) -> None:
         for x in listeners:
@@ -46,24 +49,32 @@ def run_rounds(flow: Flow, spark: SparkSession, contexts: Iterable[RunContext],
         tell("round_started", ctx)
         with lock:  # building is lazy, so it does not hold up other rounds' jobs
             built = flow.build(spark, ctx, memo)
+            kinds = flow.recompute()
             for ref in flow.shared():
-                if flow.recompute()[ref.split(".")[0]].kind is not Kind.ALWAYS and not flow.pick(built, ref).is_cached:
-                    kept.append(flow.pick(built, ref).persist())
+                found = flow.pick(built, ref)
+                if kinds[ref.split(".")[0]].kind is not Kind.ALWAYS and isinstance(found, DataFrame) and not found.is_cached:
+                    kept.append(found.persist())
+            for base in flow.in_common(built):
+                if not base.is_cached:
+                    kept.append(base.persist())
         mine = []
-        try:
-            for port, (x, o) in flow.sinks.items():
-                df = flow.pick(built, x)
-                if isinstance(o, StagedOutput):
-                    df.write.mode("overwrite").parquet(ctx.resolve(o.base))
-                else:
-                    with lock:
-                        delete_matching(ctx.resolve(o.base), [ctx.resolve(p) for p in o.delete])
-                    mine.append(prepare(df, o, ctx, f"{port}-{ctx.execution}", transaction))
-        except Exception:
-            abort(mine)
-            raise
+        for port, (x, o) in flow.sinks.items():
+            df = flow.pick(built, x)
+            base = base_of(df, o, ctx)
+            with lock:
+                bases.add(base)
+                if not isinstance(o, StagedOutput):
+                    delete_matching(base, [ctx.resolve(p) for p in o.delete])
+            try:
+                mine.append(prepare(df, o, ctx, f"{port}-{ctx.execution}", f"{transaction}/{ctx.execution}"))
+            except Exception as e:
+                abort(bases_of(mine, base), f"{transaction}/{ctx.execution}")
+                raise flow.labelled(port, e) from e
         return mine
 
+    def bases_of(mine: list[Prepared], base: str) -> set[str]:
+        return {base, *(p.base for p in mine)}
+
     tell("executor_started")
     stopped = False
     try:
@@ -89,7 +100,7 @@ def run_rounds(flow: Flow, spark: SparkSession, contexts: Iterable[RunContext],
                     tell("round_completed", c, error)
         out.remaining = waiting
         if out.failed and stop_on_fail:
-            abort(prepared)
+            abort(bases, transaction)
         else:
             commit(prepared, RunContext(flow=flow.name), transaction)
             out.committed = True

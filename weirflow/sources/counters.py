@@ -21,7 +21,7 @@ class Counters:
         self.outputs[port] = {"files": files, "bytes": size, "records": records}
 
     def inputs(self) -> dict[str, int]:
-        """Counts of the ports that have been read to the end; waits for them."""
+        """Counts of the ports that have been read to the end; waits for them. A port read several times counts once."""
         return {p: o.get["records"] for p, o in self._seen.items()}
 
     def summary(self) -> dict:

@@ -34,5 +34,5 @@ def read_direct(spark: SparkSession, ctx: RunContext, base: str, resource: str |
 
 
 def read_staged(spark: SparkSession, ctx: RunContext, paths: Iterable[str], model: Model, **options) -> DataFrame:
-    """Reads what an importer has staged as Parquet, from several paths."""
-    return read_direct(spark, ctx, "", paths, model, **options)
+    """Reads what has been staged as Parquet below several paths, whatever the stages' folders."""
+    return read_direct(spark, ctx, "", paths, model, **{**options, "options": {"recursiveFileLookup": "true", **(options.get("options") or {})}})

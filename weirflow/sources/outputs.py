@@ -3,7 +3,8 @@
 Tasks write files under ``<base>/_weirflow/<transaction>`` with names of their own attempt; the rows they return
 name the attempts that count. When every output has been prepared, the coordinator writes one mark with the list
 of moves beside them, moves the files to their places, and removes the mark. A mark that stays says that a commit
-was cut short: ``recover`` finishes it. Without a mark nothing is visible.
+was cut short: ``recover`` finishes it. Without a mark nothing is visible. Staged outputs take part in the same commit, in
+which the files of the last one give way. Paths lie where Spark itself would put them.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ import pyarrow.fs as pafs
 import pyarrow.orc as paorc
 import pyarrow.parquet as papq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weirflow.context import RunContext
 from weirflow.functions.paths import PathPattern
 from weirflow.model import GroupKey, Model
+from weirflow.scratch import qualified
 from weirflow.sources.counters import Counters
 
 HIDDEN = "_weirflow"
+#: Files of one base that a commit moves at once.
+MOVERS = 16
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -63,7 +67,7 @@ class GroupOutput:
 
 @dataclass(frozen=True)
 class StagedOutput:
-    """Parquet for an exporter to take, overwriting what was there."""
+    """Parquet for an exporter to take, in a folder below ``base`` named after the run's stage (``-`` without one), in place of what was there."""
 
     base: str
 
@@ -141,14 +145,33 @@ class Prepared:
     base: str
     folder: str
     moves: list[tuple[str, str]] = field(default_factory=list)
+    drops: list[str] = field(default_factory=list)
     records: int = 0
     size: int = 0
 
 
-def prepare(df: DataFrame, out: FlatOutput | GroupOutput, ctx: RunContext, port: str = "out", transaction: str | None = None) -> Prepared:
+def base_of(df: DataFrame, out, ctx: RunContext) -> str:
+    """An output's base, with its file system."""
+    return qualified(df.sparkSession, ctx.resolve(out.base)).rstrip("/")
+
+
+def _staged(df: DataFrame, base: str, folder: str, ctx: RunContext, port: str) -> Prepared:
+    """Spark writes the files aside; those that lie in the place now are noted, to give way in the commit."""
+    seen, place = Observation(), ctx.stage or "-"
+    df.observe(seen, F.count(F.lit(1)).alias("records")).write.parquet(folder)
+    fs, root = filesystem(folder)
+    new = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File and f.base_name.startswith("part-")]
+    now = f"{filesystem(base)[1]}/{place}"
+    old = fs.get_file_info(pafs.FileSelector(now)) if fs.get_file_info(now).type == pafs.FileType.Directory else []
+    return Prepared(port, base, folder, [(f.path, f"{place}/{f.base_name}") for f in new], [f.path for f in old if f.type == pafs.FileType.File], seen.get["records"], sum(f.size for f in new))
+
+
+def prepare(df: DataFrame, out: FlatOutput | GroupOutput | StagedOutput, ctx: RunContext, port: str = "out", transaction: str | None = None) -> Prepared:
     """Writes an output's files aside."""
-    base = ctx.resolve(out.base).rstrip("/")
+    base = base_of(df, out, ctx)
     folder = f"{base}/{HIDDEN}/{transaction or ctx.execution}/{uuid.uuid4().hex}"
+    if isinstance(out, StagedOutput):
+        return _staged(df, base, folder, ctx, port)
     pattern, model, columns = PathPattern(out.pattern), Model.of(df), df.columns
     rows = df.withColumn("__wf_path", pattern.column(ctx, model))
     key = GroupKey.of(*[o if o[0] in "+-" else f"+{o}" for o in out.order])
@@ -167,7 +190,7 @@ def prepare(df: DataFrame, out: FlatOutput | GroupOutput, ctx: RunContext, port:
     names = [m[1] for m in moves]
     if len(names) != len(set(names)):
         raise ValueError(f"{port}: two files of one name")
-    return Prepared(port, base, folder, moves, sum(r.records for r in found), sum(r["size"] for r in found))
+    return Prepared(port, base, folder, moves, [], sum(r.records for r in found), sum(r["size"] for r in found))
 
 
 def delete_matching(base: str, patterns: Iterable[str]) -> int:
@@ -197,11 +220,20 @@ def _finish(base: str, transaction: str) -> None:
     with fs.open_input_stream(mark) as f:
         info = json.loads(f.read())
     root = filesystem(base)[1]
-    for staged, path in info["moves"]:
-        if fs.get_file_info(staged).type == pafs.FileType.File:
-            target = f"{root}/{path}"
-            fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            fs.move(staged, target)
+
+    def gone(path: str) -> None:
+        if fs.get_file_info(path).type == pafs.FileType.File:
+            fs.delete_file(path)
+
+    def move(item: tuple[str, str]) -> None:
+        if fs.get_file_info(item[0]).type == pafs.FileType.File:
+            fs.move(item[0], f"{root}/{item[1]}")
+
+    for folder in {f"{root}/{path}".rsplit("/", 1)[0] for _, path in info["moves"]}:
+        fs.create_dir(folder, recursive=True)
+    with ThreadPoolExecutor(MOVERS) as pool:
+        list(pool.map(gone, info.get("drops", [])))
+        list(pool.map(move, info["moves"]))
     folder = f"{root}/{HIDDEN}/{transaction}"
     if fs.get_file_info(folder).type == pafs.FileType.Directory:
         fs.delete_dir(folder)
@@ -220,16 +252,17 @@ def commit(prepared: Sequence[Prepared], ctx: RunContext, transaction: str) -> N
     for base, own in by_base.items():
         fs, mark = filesystem(_mark(base, transaction))
         fs.create_dir(mark.rsplit("/", 1)[0], recursive=True)
-        info = {"user": ctx.user, "batch": ctx.batch, "flow": ctx.flow, "execution": ctx.execution, "args": dict(ctx.args), "bases": sorted(by_base), "moves": [m for p in own for m in p.moves]}
+        info = {"user": ctx.user, "batch": ctx.batch, "flow": ctx.flow, "execution": ctx.execution, "args": dict(ctx.args), "bases": sorted(by_base), "moves": [m for p in own for m in p.moves], "drops": [d for p in own for d in p.drops]}
         with fs.open_output_stream(mark) as f:
             f.write(json.dumps(info).encode())
     with ThreadPoolExecutor(max(1, min(8, len(by_base)))) as pool:
         list(pool.map(lambda b: _finish(b, transaction), by_base))
 
 
-def abort(prepared: Iterable[Prepared]) -> None:
-    for p in prepared:
-        fs, folder = filesystem(p.folder)
+def abort(bases: Iterable[str], transaction: str) -> None:
+    """Takes back all that the transaction has written aside, that of failed outputs too."""
+    for base in set(bases):
+        fs, folder = filesystem(f"{base}/{HIDDEN}/{transaction}")
         if fs.get_file_info(folder).type == pafs.FileType.Directory:
             fs.delete_dir(folder)
 
@@ -265,30 +298,27 @@ def write_outputs(outputs: Sequence[tuple[str, DataFrame, FlatOutput | GroupOutp
     transaction = uuid.uuid4().hex
     for _, df, out in outputs:
         if not isinstance(out, StagedOutput):
-            delete_matching(ctx.resolve(out.base), [ctx.resolve(p) for p in out.delete])
+            delete_matching(base_of(df, out, ctx), [ctx.resolve(p) for p in out.delete])
     done: list[Prepared] = []
-
-    def one(item):
-        port, df, out = item
-        if isinstance(out, StagedOutput):
-            df.write.mode("overwrite").parquet(ctx.resolve(out.base))
-            return None
-        return prepare(df, out, ctx, port, transaction)
-
     with ThreadPoolExecutor(max(1, min(8, len(outputs)))) as pool:
-        futures = [pool.submit(one, x) for x in outputs]
+        futures = [pool.submit(prepare, df, out, ctx, port, transaction) for port, df, out in outputs]
         failed = None
         for f, (port, _, _) in zip(futures, outputs, strict=True):
             try:
-                if (p := f.result()) is not None:
-                    done.append(p)
+                done.append(f.result())
             except Exception as e:  # the others are waited for, then all is taken back
                 e.add_note(f"in output {port}")
+                e.port = port
                 failed = failed or e
-    if failed:
-        abort(done)
-        raise failed
-    commit(done, ctx, transaction)
+    try:
+        if failed:
+            raise failed
+        commit(done, ctx, transaction)
+    except Exception:
+        marked = [p for p in done if filesystem(_mark(p.base, transaction))[0].get_file_info(filesystem(_mark(p.base, transaction))[1]).type == pafs.FileType.File]
+        if not marked:  # with a mark, ``recover`` finishes the commit
+            abort([base_of(df, out, ctx) for _, df, out in outputs], transaction)
+        raise
     if counters:
         for p in done:
             counters.wrote(p.port, len(p.moves), p.size, p.records)
