@@ -72,3 +72,24 @@ def test_fold_forms_agree(spark):
     assert strip(fold(d, key, plus)) == strip(fold(d, key, plus, partial=True))
     assert fold(d, GroupKey.of("+i"), plus).count() == 1
     assert fold(d.where("i < 0"), GroupKey.of("+i"), plus).count() == 0
+
+
+def test_partial_folds(spark):
+    rows = [(i % 3 if i else None, i % 7 if i % 11 else None, float(i % 5), f"s{i % 4}") for i in range(200)]
+    d = spark.createDataFrame(rows, "k INT, i INT, x DOUBLE, s STRING").repartition(5)
+    strip = lambda x: sorted((repr(tuple(r)) for r in x.collect()))
+    for merge in (
+        lambda a, r: {"i": a["i"] + r["i"], "x": F.greatest(r["x"], a["x"]), "s": F.least(a["s"], r["s"])},
+        lambda a, r: {"i": F.greatest(a["i"], r["i"]), "x": a["x"] + r["x"]},
+        lambda a, r: {"i": F.coalesce(a["i"], F.lit(0)) + F.coalesce(r["i"], F.lit(0))},
+    ):
+        cols = merge(F.col("a"), F.col("r")).keys()
+        one, two = (fold(d, GroupKey.of("k"), merge, partial=p).select("k", *cols) for p in (False, True))
+        assert strip(one) == strip(two)
+    plan = fold(d, GroupKey.of("k"), lambda a, r: {"i": a["i"] + r["i"], "x": F.greatest(a["x"], r["x"])}, partial=True)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "collect_list" not in plan
+    firsts = fold(d, GroupKey.of("=k", "-x", "+s"), lambda a, r: {"i": F.greatest(a["i"], r["i"])}, partial=True)
+    assert strip(firsts) == strip(fold(d, GroupKey.of("=k", "-x", "+s"), lambda a, r: {"i": F.greatest(a["i"], r["i"])}))
+    equal = spark.createDataFrame([(1, 2)] * 300, "k INT, n INT").repartition(3)
+    times = fold(equal, GroupKey.of("k"), lambda a, r: {"n": a["n"] * 1 + r["n"]}, partial=True)
+    assert [tuple(r) for r in times.collect()] == [(1, 600)]

@@ -163,3 +163,23 @@ def test_arguments():
     assert PathPattern("${a}/{b}/${c}-*").arguments == {"a", "c"}
     with pytest.raises(MissingArgument):
         RunContext().resolve("${x}")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_times_without_a_zone_keep_their_clock_in_every_format(spark, tmp_path, zone):
+    at = [dt.datetime(1969, 7, 20, 20, 17, 40), dt.datetime(2020, 2, 29, 1, 2, 3, 456789), dt.datetime(9999, 12, 31, 23, 59, 59), None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "i INT, at TIMESTAMP_NTZ").coalesce(1)
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for fmt in ("parquet", "orc", "csv"):
+            write_outputs([("o", d, FlatOutput(f"{tmp_path}/{fmt}", "x-*", fmt))], CTX)
+            back = read_direct(spark, CTX, f"{tmp_path}/{fmt}", "x-*", Model.of(d), fmt=fmt)
+            assert [r.at for r in back.orderBy("i").collect()] == at, fmt
+        early = spark.createDataFrame([(dt.datetime(1969, 7, 20, 20, 17, 40, 123456),)], "at TIMESTAMP_NTZ")
+        with pytest.raises(Exception, match="before 1970"):
+            write_outputs([("o", early, FlatOutput(f"{tmp_path}/orc", "y-*", "orc"))], CTX)
+        d.write.orc(f"{tmp_path}/own")
+        assert [r.at for r in read_direct(spark, CTX, str(tmp_path), "own", Model.of(d), fmt="orc").orderBy("i").collect()] == at
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)

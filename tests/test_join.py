@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.model import GroupKey
-from weirflow.operators import Selection, cogroup, group_sort, group_sort_with, group_stream, master_branch, master_check, master_join, master_join_update, view
+from weirflow.operators import Selection, cogroup, cogroup_stream, group_sort, group_sort_with, group_stream, master_branch, master_check, master_join, master_join_update, view
 from weirflow.operators.group import cogroup_with
 from weirflow.model import Model, ModelError
 
@@ -129,3 +129,28 @@ def test_views(spark, foo):
         with pytest.raises(ModelError):
             v.attach(d, bad, "found")
     assert v.table().value[(3,)][0]["foo"] == "foo3"
+
+
+def test_latest_master(spark):
+    m = spark.createDataFrame([(1, 10, "a"), (1, 10, "b"), (1, 20, "c"), (None, 5, "n"), (2, None, "never")], "k INT, at INT, v STRING")
+    t = spark.createDataFrame([(1, 9), (1, 10), (1, 15), (1, 25), (None, 6), (2, 100), (1, None), (3, 1)], "k INT, now INT")
+    j = master_join(m, t, "k", {"now": ("tx", "now"), "v": ("master", "v")}, select=Selection(latest=("at", "now"), order=lambda m, t: [m["v"]]))
+    assert sorted((r.now, r.v) for r in j.joined.collect()) == [(6, "n"), (10, "a"), (15, "a"), (25, "c")]
+    assert j.missed.count() == 4
+    same = Selection(cond=lambda m, t: m["at"] <= t["now"], order=lambda m, t: [-m["at"], m["v"]])
+    k = master_join(m, t, "k", {"now": ("tx", "now"), "v": ("master", "v")}, select=same)
+    assert sorted(map(tuple, j.joined.collect())) == sorted(map(tuple, k.joined.collect()))
+
+
+def test_streamed_cogroup_reads_long_groups_once(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k INT, v STRING")
+    b = spark.range(200_000).select((F.col("id") % 2 + 1).cast("int").alias("k"), "id")
+
+    def run(left, right):
+        first = next(right, None)
+        yield "o", {"v": left[0]["v"], "first": first and first["id"], "n": (first is not None) + sum(1 for _ in right)}
+
+    out = cogroup_stream([(a, GroupKey.of("k")), (b, GroupKey.of("=k", "-id"))], run, {"o": Model.of("v STRING, first BIGINT, n BIGINT")})["o"]
+    assert sorted(map(tuple, out.collect())) == [("x", 199_998, 100_000), ("y", 199_999, 100_000), ("z", None, 0)]
+    flipped = cogroup_stream([(b, GroupKey.of("=k", "-id")), (a, GroupKey.of("k"))], lambda x, y: run(y, x), {"o": Model.of("v STRING, first BIGINT, n BIGINT")}, streamed=0)["o"]
+    assert sorted(map(tuple, flipped.collect())) == sorted(map(tuple, out.collect()))

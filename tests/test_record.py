@@ -1,8 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.model import GroupKey, Model, ModelError
-from weirflow.operators import branch, confluent, convert, empty, extend, extract, extract_with, logging_op, project, restructure, split, update, update_with
+from weirflow.operators import Selection, branch, cogroup_with, confluent, convert, empty, extend, extract, extract_with, fold_with, group_stream, logging_op, master_join, project, restructure, split, update, update_with
 
 IL = Model.of("i INT, l BIGINT")
 
@@ -90,3 +92,29 @@ def test_group_key_notation():
 def test_strict_model():
     with pytest.raises(ModelError):
         Model.of("a ARRAY<INT>", strict=True)
+
+
+def test_python_forms_keep_every_value(spark):
+    big, end, nan = 9007199254740993, dt.datetime(9999, 12, 31), float("nan")
+    d = spark.createDataFrame([(1, big, nan, end), (2, None, None, None), (3, big + 2, 1.5, end), (4, 5, nan, None), (5, 6, None, end), (6, 7, -0.0, end), (7, 8, 0.0, end)], "i INT, l BIGINT, d DOUBLE, t TIMESTAMP_NTZ").coalesce(1)
+    text = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    want = text(d)
+    model = Model.of(d)
+    assert text(logging_op(d, F.lit("x"))) == want
+    assert text(update_with(d, lambda r: {})) == want and text(update_with(d, lambda r: {"l": r["l"], "d": r["d"], "t": r["t"]})) == want
+    assert text(extract_with(d, lambda rs: (("o", r) for r in rs), {"o": model})["o"]) == want
+    assert text(group_stream(d, GroupKey.of("i"), lambda rs: (("o", r) for r in rs), {"o": model})["o"]) == want
+    groups = group_stream(d, GroupKey.of("=d", "+i"), lambda rs: [("o", {"n": len(list(rs))})], {"o": Model.of("n INT")})["o"]
+    assert sorted(r.n for r in groups.collect()) == [1, 2, 2, 2]
+    assert text(fold_with(d, GroupKey.of("i"), lambda a, r: a)) == want and text(fold_with(d, GroupKey.of("i"), lambda a, r: a, partial=True)) == want
+    both = cogroup_with([(d, GroupKey.of("i")), (d, GroupKey.of("=i"))], lambda a, b: (("o", r) for r in a if repr(r) == repr(b[0])), {"o": model})["o"]
+    assert text(both) == want
+    met = master_join(d, d.withColumnRenamed("l", "m"), "i", {"l": ("master", "l"), "m": ("tx", "m")}, select=Selection(fn=lambda ms, t: 0 if ms else None)).joined
+    assert sorted(r.l for r in met.collect() if r.l) == [5, 6, 7, 8, big, big + 2] and all(r.l == r.m for r in met.collect())
+    keyed = master_join(d, d.select("d", F.col("i").alias("k")), "d", {"i": ("master", "i"), "k": ("tx", "k")}, select=Selection(fn=lambda ms, t: 0)).joined
+    assert keyed.count() == 7
+
+
+def test_update_with_rejects_unknown_properties(il):
+    with pytest.raises(Exception, match="no property x"):
+        update_with(il, lambda r: {"x": 1}).collect()

@@ -183,10 +183,8 @@ class Flow:
         return out
 
     def labelled(self, port: str, error: Exception) -> NodeError:
-        """The error of an output, with the nodes it may have come from; those whose Python code the trace names come alone."""
-        nodes, text = self.above(self.sinks[port][0]), str(error)
-        named = [n for n in nodes if getattr(self.nodes[n].fn, "__name__", "<lambda>") not in ("<lambda>", "fn") and f"in {self.nodes[n].fn.__name__}\n" in text or f"{n}:" in text]
-        return NodeError(f"{port} <- {', '.join(named or nodes)}: {error}")
+        """The error of an output, with the nodes on the way to it."""
+        return NodeError(f"{port} <- {', '.join(self.above(self.sinks[port][0]))}: {error}")
 
     def waves(self) -> list[list[str]]:
         """Ports in turns: those that others come after go first."""

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.context import RunContext
-from weirflow.functions import PathPattern, any_, bigger, count_, guarded, max_, min_, smaller, sum_
+from weirflow.functions import PathPattern, add, any_, bigger, copied, count_, guarded, inc, max_, min_, smaller, sum_, zero
 from weirflow.model import GroupKey, Model
-from weirflow.operators import Selection, branch, checkpoint, cogroup, confluent, convert, empty, extend, extract, fold, fold_with, group_sort, group_stream, keep, logging_op, master_branch, master_check, master_join, master_join_update, project, restructure, split, summarize, update, view
+from weirflow.operators import Selection, branch, checkpoint, cogroup, cogroup_stream, confluent, convert, duplicate, empty, extend, extract, extract_with, fold, fold_with, group_sort, group_stream, keep, logging_op, master_branch, master_check, master_join, master_join_update, one_pass, project, restructure, split, stop, summarize, update, update_with, view
 from weirflow.operators.group import cogroup_with
-from weirflow.plans import Flow, Recompute, run_rounds
+from weirflow.plans import Flow, Listener, Recompute, run_rounds
+from weirflow.plans.flow import NodeError
 from weirflow.scratch import new_path
+from weirflow.sources.outputs import filesystem
 from weirflow.sources import Counters, FlatOutput, GroupOutput, StagedOutput, read_direct, read_staged, write_outputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +88,68 @@ def staged_output(spark, sf_dir):
     return read_staged(spark, CTX, [path], Model.of(df))
 
 
+def _formats(spark, sf_dir, fmt: str) -> DataFrame:
+    base = new_path(spark, fmt)
+    df = _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ")
+    write_outputs([("out", df, FlatOutput(base, f"x-*.{fmt}", fmt))], CTX)
+    return read_direct(spark, CTX, base, f"x-*.{fmt}", Model.of(df), fmt=fmt)
+
+
+_FORMAT_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"
+
+
+@query(_FORMAT_SQL)
+def csv_output(spark, sf_dir):
+    return _formats(spark, sf_dir, "csv")
+
+
+@query(_FORMAT_SQL)
+def orc_output(spark, sf_dir):
+    return _formats(spark, sf_dir, "orc")
+
+
+@query("SELECT 'new' AS file, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'keep', count(*) FROM region")
+def output_setup(spark, sf_dir):
+    """What the delete patterns match is gone, all else stays."""
+    base, n, r = new_path(spark, "setup"), _t(spark, sf_dir, "nation", "n_name STRING"), _t(spark, sf_dir, "region", "r_name STRING")
+    write_outputs([("old", n, FlatOutput(base, "a/old-*.bin")), ("keep", r, FlatOutput(base, "a/keep-*.txt"))], CTX)
+    write_outputs([("new", n, FlatOutput(base, "a/new-*.bin", delete=("a/*.bin",)))], CTX)
+    got = spark.read.schema("n_name STRING").parquet(f"{base}/a").select(F.regexp_extract(F.input_file_name(), r"/a/([a-z]+)-[^/]*$", 1).alias("file"))
+    return got.groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'flat' AS port, count(*)::BIGINT AS records FROM orders UNION ALL SELECT 'group', count(*) FROM nation UNION ALL SELECT 'staged', count(*) FROM region UNION ALL SELECT 'total', (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)")
+def output_counters(spark, sf_dir):
+    base, c = new_path(spark, "counted"), Counters()
+    outs = [("flat", _t(spark, sf_dir, "orders", "o_orderkey BIGINT"), FlatOutput(base, "f-*.parquet")), ("group", _t(spark, sf_dir, "nation", "n_name STRING, n_regionkey INT"), GroupOutput(base, "g-{n_regionkey}.parquet")), ("staged", _t(spark, sf_dir, "region", "r_name STRING"), StagedOutput(f"{base}/s"))]
+    write_outputs(outs, CTX, c)
+    found = c.summary()
+    return spark.createDataFrame([(p, o["records"]) for p, o in found["outputs"].items()] + [("total", found["total"]["records"])], "port string, records long")
+
+
+@query("SELECT count(*)::BIGINT AS staged, 0::BIGINT AS flat, true AS failed FROM nation")
+def staged_all_or_nothing(spark, sf_dir):
+    """A staged output keeps what it had when an output beside it fails, and the failed one leaves no file."""
+    base, n = new_path(spark, "all-or-nothing"), _t(spark, sf_dir, "nation", "n_name STRING")
+    write_outputs([("staged", n, StagedOutput(f"{base}/s"))], CTX)
+    bad = n.select(F.when(F.col("n_name") != "", F.raise_error(F.lit("a bad record"))).otherwise(F.col("n_name")).alias("n_name"))
+    failed = False
+    try:
+        write_outputs([("staged", n.unionByName(n), StagedOutput(f"{base}/s")), ("flat", bad, FlatOutput(f"{base}/f", "x-*.parquet"))], CTX)
+    except Exception as e:
+        failed = "a bad record" in str(e)
+    staged = read_staged(spark, CTX, [f"{base}/s"], Model.of(n)).count()
+    return spark.createDataFrame([(staged, len(outputs_of(f"{base}/f")), failed)], "staged long, flat long, failed boolean")
+
+
+def outputs_of(base: str) -> list[str]:
+    """Files below a base."""
+    fs, root = filesystem(base)
+    if fs.get_file_info(root).type.name != "Directory":
+        return []
+    return [f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type.name == "File"]
+
+
 @query(
     "SELECT o_orderkey, 'orders/' || coalesce(nullif(o_orderpriority, '1-URGENT'), 'null') || '/' || strftime(o_orderdate, '%Y%m%d') || '-' || CASE WHEN o_custkey < 10000 THEN lpad(o_custkey::VARCHAR, 4, '0') ELSE o_custkey::VARCHAR END AS path FROM orders"
 )
@@ -170,6 +235,69 @@ def logged_records(spark, sf_dir):
     return logging_op(_t(spark, sf_dir, "region"), F.concat(F.lit("region "), "r_name"), "DEBUG")
 
 
+#: Values that a detour over floating numbers or nanoseconds would change.
+_WIDE = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 9007199254740993 END AS big, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS d,
+    CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '9999-12-31 23:59:59' ELSE o_orderdate END AS until FROM orders"""
+_WIDE_TEXT = "CASE WHEN d IS NULL THEN 'null' WHEN isnan(d) THEN 'nan' ELSE 'number' END"
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    k, o = F.col("o_orderkey"), _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ")
+    return o.select(
+        "o_orderkey",
+        F.when(k % 3 != 0, k + 9007199254740993).alias("big"),
+        F.when(k % 4 == 1, F.lit(float("nan"))).when(k % 4 != 0, F.col("o_totalprice")).alias("d"),
+        F.when(k % 5 == 0, F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")).otherwise(F.col("o_orderdate")).alias("until"),
+    )
+
+
+@query(f"SELECT o_orderkey, big, {_WIDE_TEXT} AS d, until FROM ({_WIDE})")
+def logged_wide(spark, sf_dir):
+    return logging_op(_wide(spark, sf_dir), F.col("big").cast("string"), "DEBUG").withColumn("d", F.expr(_WIDE_TEXT))
+
+
+@query(f"SELECT o_orderkey, big + 1 AS big, {_WIDE_TEXT} AS d, until FROM ({_WIDE})")
+def update_python(spark, sf_dir):
+    return update_with(_wide(spark, sf_dir), lambda r: {} if r["big"] is None else {"big": r["big"] + 1}).withColumn("d", F.expr(_WIDE_TEXT))
+
+
+@query(f"SELECT 'kept' AS output, o_orderkey AS k, big AS v, until FROM ({_WIDE}) WHERE big IS NOT NULL UNION ALL SELECT 'digit', o_orderkey, unnest(range(o_orderkey % 3)), until FROM ({_WIDE})")
+def extract_python(spark, sf_dir):
+    def run(records):
+        for r in records:
+            if r["big"] is not None:
+                yield "kept", {"k": r["o_orderkey"], "v": r["big"], "until": r["until"]}
+            for i in range(r["o_orderkey"] % 3):
+                yield "digit", {"k": r["o_orderkey"], "v": i, "until": r["until"]}
+
+    model = Model.of("k BIGINT, v BIGINT, until TIMESTAMP_NTZ")
+    return confluent(*[d.select(F.lit(n).alias("output"), "k", "v", "until") for n, d in extract_with(_wide(spark, sf_dir), run, {"kept": model, "digit": model}).items()])
+
+
+@query("SELECT 'a' AS edge, r_name FROM region UNION ALL SELECT 'b', r_name FROM region")
+def duplicated_edge(spark, sf_dir):
+    a, b = duplicate(_t(spark, sf_dir, "region", "r_name STRING"), 2)
+    return confluent(a.select(F.lit("a").alias("edge"), "r_name"), b.select(F.lit("b").alias("edge"), "r_name"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def stopped_branch(spark, sf_dir):
+    """The output that is stopped is never computed: its rows would raise."""
+    c = _t(spark, sf_dir, "customer", "c_custkey BIGINT, c_acctbal DOUBLE")
+    out = branch(c, F.when(F.col("c_acctbal") < 0, "DEBT").otherwise("GOOD"), ["DEBT", "GOOD"])
+    stop(out["GOOD"].select(F.raise_error(F.lit("computed"))))
+    return out["DEBT"].select("c_custkey")
+
+
+@query("SELECT o_orderkey, 'late' AS output FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' UNION ALL SELECT o_orderkey, 'early' FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'")
+def branch_in_one_pass(spark, sf_dir):
+    """Both outputs are written from one computation of the branch."""
+    base, o = new_path(spark, "one-pass"), _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ")
+    with one_pass(branch(o, F.when(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), "late").otherwise("early"), ["late", "early"])) as out:
+        write_outputs([(n, d.select("o_orderkey", F.lit(n).alias("output")), FlatOutput(base, f"{n}-*.parquet")) for n, d in out.items()], CTX)
+    return spark.read.schema("o_orderkey BIGINT, output STRING").parquet(base)
+
+
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05")
 def filter_records(spark, sf_dir):
     return keep(_t(spark, sf_dir, "lineitem"), (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05)).select("l_orderkey", "l_partkey")
@@ -217,30 +345,34 @@ def master_selection_default(spark, sf_dir):
     return master_join(m, _t(spark, sf_dir, "customer"), {"c_custkey": "o_custkey"}, {"c_custkey": ("tx", "c_custkey"), "o_orderkey": ("master", "o_orderkey")}, order=[-F.col("o_totalprice"), "o_orderkey"]).joined
 
 
-_AS_OF = """SELECT event_id, coalesce((SELECT max(struct_pack(d := o_orderdate, k := o_orderkey)).k FROM orders WHERE o_custkey = (user_id % {n}) + 1 AND o_orderdate <= moment), -1) AS o_orderkey
-    FROM (SELECT event_id, user_id, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (event_id % 1500)::INT AS moment FROM events)"""
+_AS_OF = """SELECT event_id, coalesce((SELECT max(struct_pack(d := o_orderdate, k := o_orderkey)).k FROM orders WHERE o_custkey % 1500 = cust AND o_orderdate <= moment), -1) AS o_orderkey
+    FROM (SELECT event_id, event_id % 1500 AS cust, TIMESTAMP '1992-01-01' + INTERVAL 1 DAY * (event_id * 7 % 2500)::INT AS moment FROM events)"""
 
 
-def _events(spark, sf_dir) -> DataFrame:
-    e = _t(spark, sf_dir, "events", "event_id BIGINT, user_id BIGINT")
-    return e.select("event_id", (F.col("user_id") % 100 + 1).alias("cust"), F.expr("timestamp_ntz'1995-01-01' + make_dt_interval(cast(event_id % 1500 as int))").alias("at"))
+def _as_of(spark, sf_dir, select: Selection) -> DataFrame:
+    e = _t(spark, sf_dir, "events", "event_id BIGINT").select("event_id", (F.col("event_id") % 1500).alias("cust"), F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(cast(event_id * 7 % 2500 as int))").alias("at"))
+    m = _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ").withColumn("cust", F.col("o_custkey") % 1500)
+    j = master_join(m, e, "cust", {"event_id": ("tx", "event_id"), "o_orderkey": ("master", "o_orderkey")}, select=select)
+    return j.joined.unionByName(j.missed.select("event_id", F.lit(-1).cast("long").alias("o_orderkey")))
 
 
-def _as_of(spark, sf_dir, ranked: bool) -> DataFrame:
-    s = Selection(cond=lambda m, t: m["o_orderdate"] <= t["at"], order=lambda m, t: [-F.unix_micros(m["o_orderdate"].cast("timestamp")), -m["o_orderkey"]], ranked=ranked)
-    m = _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ")
-    j = master_join(m, _events(spark, sf_dir), {"cust": "o_custkey"}, {"event_id": ("tx", "event_id"), "o_orderkey": ("master", "o_orderkey")}, select=s)
-    return j.joined.unionByName(j.missed.select("event_id", F.lit(-1).cast("long").alias("o_orderkey")))
+def _not_later(**options) -> Selection:
+    return Selection(cond=lambda m, t: m["o_orderdate"] <= t["at"], order=lambda m, t: [-F.unix_micros(m["o_orderdate"].cast("timestamp")), -m["o_orderkey"]], **options)
 
 
-@query(_AS_OF.format(n=100))
+@query(_AS_OF)
 def master_selection_as_of(spark, sf_dir):
-    return _as_of(spark, sf_dir, False)
+    return _as_of(spark, sf_dir, Selection(latest=("o_orderdate", "at"), order=lambda m, t: [-m["o_orderkey"]]))
+
+
+@query(_AS_OF)
+def master_selection_scanned(spark, sf_dir):
+    return _as_of(spark, sf_dir, _not_later())
 
 
-@query(_AS_OF.format(n=100))
+@query(_AS_OF)
 def master_selection_ranked(spark, sf_dir):
-    return _as_of(spark, sf_dir, True)
+    return _as_of(spark, sf_dir, _not_later(ranked=True))
 
 
 @query("""SELECT s_suppkey, n_name FROM supplier LEFT JOIN (SELECT n_regionkey, min(n_name) FILTER (n_nationkey % 2 = 0) AS n_name FROM nation GROUP BY 1) ON n_regionkey = s_nationkey % 5 WHERE n_name IS NOT NULL""")
@@ -368,6 +500,20 @@ def group_stream_sessions(spark, sf_dir):
     return group_stream(e, GroupKey.of("=user_id", "+us", "+event_id"), run, {"s": Model.of("user_id BIGINT, session BIGINT, n BIGINT")})["s"]
 
 
+@query(f"SELECT CASE WHEN d IS NULL THEN 'null' WHEN isnan(d) THEN 'nan' ELSE 'number' END AS k, count(*)::BIGINT AS n, max(big) AS big, max(until) AS until FROM ({_WIDE}) WHERE o_orderkey % 4 < 2 GROUP BY 1")
+def group_stream_nan(spark, sf_dir):
+    def run(rows):
+        n, big, until = 0, [], []
+        for r in rows:
+            n, k = n + 1, "null" if r["d"] is None else "nan" if r["d"] != r["d"] else "number"
+            big.append(r["big"])
+            until.append(r["until"])
+        yield "g", {"k": k, "n": n, "big": max(x for x in big if x is not None), "until": max(until)}
+
+    w = _wide(spark, sf_dir).where("o_orderkey % 4 < 2")
+    return group_stream(w, GroupKey.of("=d", "+o_orderkey"), run, {"g": Model.of("k STRING, n BIGINT, big BIGINT, until TIMESTAMP_NTZ")})["g"]
+
+
 _COGROUP_SQL = """SELECT coalesce(k, j) AS k, coalesce(o, 0)::BIGINT AS orders, coalesce(n, 0)::BIGINT AS lines, coalesce(first, -1) AS first FROM
     (SELECT o_orderkey AS k, count(*) AS o FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN
     (SELECT l_orderkey AS j, count(*) AS n, arg_max(l_partkey, l_quantity * 1000000 - l_partkey) AS first FROM lineitem GROUP BY 1) ON k = j"""
@@ -395,6 +541,23 @@ def cogroup_python(spark, sf_dir):
     return cogroup_with(_orders_lines(spark, sf_dir), run, {"out": Model.of("k BIGINT, orders BIGINT, lines BIGINT, first BIGINT")})["out"]
 
 
+@query("""SELECT o_orderstatus AS s, o AS orders, n::BIGINT AS lines, keys FROM (SELECT o_orderstatus, count(*)::BIGINT AS o FROM orders GROUP BY 1)
+    JOIN (SELECT l_linestatus, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY 1) ON o_orderstatus = l_linestatus""")
+def cogroup_streamed(spark, sf_dir):
+    """Two keys hold all lines; the lines stream by, the orders' list is what a task holds."""
+
+    def run(orders, lines):
+        n = keys = 0
+        for r in lines:
+            n, keys = n + 1, keys + r["l_orderkey"]
+        if orders and n:
+            yield "out", {"s": orders[0]["o_orderstatus"], "orders": sum(o["n"] for o in orders), "lines": n, "keys": keys}
+
+    o = summarize(_t(spark, sf_dir, "orders", "o_orderstatus STRING"), ["o_orderstatus"], {"n": count_()})
+    lines = _t(spark, sf_dir, "lineitem", "l_linestatus STRING, l_orderkey BIGINT")
+    return cogroup_stream([(o, GroupKey.of("o_orderstatus")), (lines, GroupKey.of("l_linestatus"))], run, {"out": Model.of("s STRING, orders BIGINT, lines BIGINT, keys BIGINT")})["out"]
+
+
 @query("""SELECT coalesce(k, -1) AS k, (SELECT count(*) FROM nation WHERE n_nationkey = k)::BIGINT AS nations, (SELECT count(*) FROM customer WHERE nullif(c_nationkey, 3) IS NOT DISTINCT FROM k)::BIGINT AS customers,
     (SELECT count(*) FROM supplier WHERE s_nationkey = k)::BIGINT AS suppliers
     FROM (SELECT n_nationkey AS k FROM nation UNION SELECT nullif(c_nationkey, 3) FROM customer UNION SELECT s_nationkey FROM supplier)""")
@@ -470,6 +633,45 @@ def fold_partial(spark, sf_dir):
     return fold(d, GroupKey.of("l_returnflag"), lambda a, x: {"q": a["q"] + x["q"], "top": F.greatest(a["top"], x["top"])}, partial=True)
 
 
+@query("SELECT l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS q, string_agg(DISTINCT l_linestatus, '' ORDER BY l_linestatus) AS seen FROM lineitem GROUP BY 1")
+def fold_partial_python(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.col("l_linestatus").alias("seen"))
+    return fold_with(d, GroupKey.of("l_returnflag"), lambda a, x: {**a, "q": a["q"] + x["q"], "seen": "".join(sorted({*a["seen"], *x["seen"]}))}, partial=True)
+
+
+@query("SELECT l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS q, bit_or(1 << l_linenumber::INT)::BIGINT AS lines FROM lineitem GROUP BY 1")
+def fold_partial_pieces(spark, sf_dir):
+    """A merge that no built-in aggregate says, in pieces of each group."""
+    d = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.expr("shiftleft(1L, cast(l_linenumber as int))").alias("lines"))
+    return fold(d, GroupKey.of("l_returnflag"), lambda a, x: {"q": a["q"] + x["q"], "lines": a["lines"].bitwiseOR(x["lines"])}, partial=True)
+
+
+@query("SELECT 'sum' AS folding, true AS raised UNION ALL SELECT 'max', true UNION ALL SELECT 'min', true UNION ALL SELECT 'count', false UNION ALL SELECT 'any', false UNION ALL SELECT 'guarded', true")
+def null_checks(spark, sf_dir):
+    """A null among the values raises an error that names the property."""
+    c = _t(spark, sf_dir, "customer", "c_custkey BIGINT, c_nationkey INT").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("n"))
+    found = []
+    for name, f in (("sum", sum_), ("max", max_), ("min", min_), ("count", count_), ("any", any_)):
+        found.append((name, lambda f=f: summarize(c, [], {"x": f("n")}, "totals")))
+    found.append(("guarded", lambda: c.select(guarded(F.col("n"), "totals.n").alias("x"))))
+    out = []
+    for name, make in found:
+        try:
+            make().write.format("noop").mode("overwrite").save()
+            out.append((name, False))
+        except Exception as e:
+            out.append((name, "totals.n must not be null" in str(e)))
+    return spark.createDataFrame(out, "folding string, raised boolean")
+
+
+@query("SELECT c_custkey, nullif(c_nationkey, 3) AS copied, 0::BIGINT AS zero, c_custkey + 1 AS inc, 100 + c_nationkey::BIGINT AS added, 100 + nullif(c_nationkey, 3)::BIGINT AS unsafe, 0.5::DOUBLE + c_acctbal AS widened FROM customer")
+def value_sums(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer", "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE")
+    n, maybe, kind = F.col("c_nationkey"), F.nullif("c_nationkey", F.lit(3)), c.schema["c_nationkey"].dataType
+    hundred = zero(kind) + 100
+    return c.select("c_custkey", copied(maybe).alias("copied"), zero(kind).alias("zero"), inc(F.col("c_custkey")).alias("inc"), add(hundred, n, kind, "c_nationkey").alias("added"), add(hundred, maybe, kind).alias("unsafe"), add(F.lit(0.5), F.col("c_acctbal"), c.schema["c_acctbal"].dataType).alias("widened"))
+
+
 @query("SELECT o_orderkey, greatest(o_custkey, o_orderkey) AS hi, least(o_custkey, o_orderkey) AS lo, o_custkey AS same FROM orders")
 def value_helpers(spark, sf_dir):
     o = _t(spark, sf_dir, "orders", "o_orderkey BIGINT, o_custkey BIGINT")
@@ -509,6 +711,102 @@ def rounds_run(spark, sf_dir):
     return spark.read.schema("segment string, cents long, n long").parquet(f"{base}/sums")
 
 
+class _Notes(Listener):
+    def __init__(self):
+        self.seen: list[str] = []
+
+    def run_started(self, ctx):
+        self.seen.append("run started")
+
+    def run_completed(self, ctx, seconds, error):
+        self.seen.append("run failed" if error else "run completed")
+
+    def executor_started(self):
+        self.seen.append("executor started")
+
+    def executor_stopped(self):
+        self.seen.append("executor stopped")
+
+    def round_started(self, ctx):
+        self.seen.append(f"round {ctx['segment']} started")
+
+    def round_completed(self, ctx, error):
+        self.seen.append(f"round {ctx['segment']} {'failed' if error else 'completed'}")
+
+
+_NOTES = ["run started", "run completed", "executor started", "round BUILDING started", "round BUILDING completed", "round MACHINERY started", "round MACHINERY completed", "executor stopped"]
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS i, '{x}' AS note" for i, x in enumerate(_NOTES)))
+def listeners_called(spark, sf_dir):
+    base, notes = new_path(spark, "notes"), _Notes()
+    _flow(spark, sf_dir, f"{base}/run").run(spark, RunContext({"segment": "BUILDING"}), listeners=[notes])
+    run_rounds(_flow(spark, sf_dir, f"{base}/rounds"), spark, [RunContext({"segment": s}) for s in ("BUILDING", "MACHINERY")], slots=1, listeners=[notes])
+    return spark.createDataFrame(list(enumerate(notes.seen)), "i long, note string")
+
+
+def _failing(spark, sf_dir, base: str, stop_on_fail: bool):
+    flow = _flow(spark, sf_dir, base)
+
+    def check(ctx, d):
+        return d.select("segment", F.when(F.col("segment") == "MACHINERY", F.raise_error(F.lit("a bad segment"))).otherwise(F.col("cents")).alias("cents"), "n")
+
+    flow.add("checked", check, "sum").sink("sums", "checked", FlatOutput(base, "sums/${segment}-*.parquet"))
+    return run_rounds(flow, spark, [RunContext({"segment": s}) for s in ("BUILDING", "MACHINERY", "AUTOMOBILE")], slots=1, stop_on_fail=stop_on_fail)
+
+
+@query(_FLOW_SQL.format("'BUILDING', 'AUTOMOBILE'"))
+def rounds_go_on(spark, sf_dir):
+    """The second round fails; the others are committed."""
+    base = new_path(spark, "go-on")
+    _failing(spark, sf_dir, base, False)
+    return spark.read.schema("segment string, cents long, n long").parquet(f"{base}/sums")
+
+
+@query("SELECT 1::BIGINT AS succeeded, 1::BIGINT AS failed, 1::BIGINT AS remaining, false AS committed, 0::BIGINT AS files")
+def rounds_stop_on_fail(spark, sf_dir):
+    """The second round fails: no third one starts, and nothing is committed."""
+    base = new_path(spark, "stop")
+    r = _failing(spark, sf_dir, base, True)
+    return spark.createDataFrame([(len(r.succeeded), len(r.failed), len(r.remaining), r.committed, len(outputs_of(base)))], "succeeded long, failed long, remaining long, committed boolean, files long")
+
+
+@query("SELECT 'sums <- customer, masters, orders, join, cents, sum, checked' AS label, true AS found")
+def error_labels(spark, sf_dir):
+    """An error of a task names the output and the nodes on the way to it."""
+    base = new_path(spark, "labels")
+    flow = _flow(spark, sf_dir, base).add("checked", lambda ctx, d: d.withColumn("n", F.when(F.col("n") > 0, F.raise_error(F.lit("a bad count"))).otherwise(F.col("n"))), "sum").sink("sums", "checked", FlatOutput(base, "x-*.parquet"))
+    label, found = "", False
+    try:
+        flow.run(spark, RunContext({"segment": "BUILDING"}))
+    except NodeError as e:
+        label, found = str(e).split(":")[0], "a bad count" in str(e)
+    return spark.createDataFrame([(label, found)], "label string, found boolean")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey % 3 < 2")
+def rounds_view(spark, sf_dir):
+    """A view that every round looks rows up in is sent to the tasks once."""
+    base = new_path(spark, "views")
+
+    def named(ctx, v, d):
+        table, r = v.table(), int(ctx["r"])
+        model = Model.of("s_suppkey BIGINT, n_name STRING")
+
+        def run(records):
+            for x in records:
+                if x["s_nationkey"] % 3 == r:
+                    for n in table.value.get((x["s_nationkey"],), []):
+                        yield "out", {"s_suppkey": x["s_suppkey"], "n_name": n["n_name"]}
+
+        return extract_with(d, run, {"out": model})["out"]
+
+    flow = Flow().add("nations", lambda ctx, s: view(_t(s, sf_dir, "nation"), "n_nationkey")).add("suppliers", lambda ctx, s: _t(s, sf_dir, "supplier", "s_suppkey BIGINT, s_nationkey INT"))
+    flow.add("named", named, "nations", "suppliers", recompute=Recompute.parameter("r")).sink("out", "named", FlatOutput(base, "r${r}-*.parquet"))
+    run_rounds(flow, spark, [RunContext({"r": str(r)}) for r in range(2)], slots=2)
+    return spark.read.schema("s_suppkey BIGINT, n_name STRING").parquet(base)
+
+
 @query("SELECT c_mktsegment AS segment, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, max(o_orderdate) AS last, count(*)::BIGINT AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def flagship(spark, sf_dir):
     """Orders meet their customers, and each segment is summed up."""

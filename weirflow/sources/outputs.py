@@ -94,6 +94,11 @@ class _Files:
         if self.fmt == "parquet":
             self.writer.write_batch(batch)
         elif self.fmt == "orc":
+            for c, f in zip(batch.columns, batch.schema, strict=True):
+                if pa.types.is_timestamp(f.type):
+                    at = c.cast(pa.timestamp("us", f.type.tz)).cast(pa.int64()).drop_null().to_numpy()
+                    if ((at < 0) & (at % 1_000_000 != 0)).any():
+                        raise ValueError(f"{f.name}: Spark cannot read fractions of seconds before 1970 from an ORC file of Arrow's writer")
             self.writer.write(pa.Table.from_batches([batch]))
         else:
             self.writer.write(batch)
