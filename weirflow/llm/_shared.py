@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.scratch import new_path, shared_dir
+from weirflow.scratch import new_path, qualified, shared_dir
+
+__all__ = ["CHUNK_BYTES", "apart", "bounded", "filesystem", "forget", "id_crc32", "maybe_broadcast", "new_path", "picked", "pieces", "place", "qualified", "renamed", "shared_dir", "text_bytes", "written"]
+
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with its columns named c0, c1, ... by place, so that no name of theirs can clash with one of ours; and these names."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*inner), inner
+
+
+def picked(docs: DataFrame, **columns: str) -> DataFrame:
+    """Columns under other names; of several with one name the first."""
+    base, inner = renamed(docs)
+    return base.select(*[F.col(inner[place(docs, n)]).alias(a) for a, n in columns.items()])
+
+
+def place(docs: DataFrame, name: str) -> int:
+    if name not in docs.columns:
+        raise ValueError(f"no column {name} among {', '.join(docs.columns)}")
+    return docs.columns.index(name)
+
+
+def apart(columns: Iterable[str], reserved: Iterable[str]) -> list[str]:
+    """The columns' names, where those that equal a reserved one (or, by then, another) get underscores behind."""
+    taken, out = {r.lower() for r in reserved}, []
+    for c in columns:
+        while c.lower() in taken:
+            c += "_"
+        out.append(c)
+    return out
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path that ``qualified`` has named."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
-__all__ = ["CHUNK_BYTES", "bounded", "forget", "id_crc32", "maybe_broadcast", "new_path", "pieces", "shared_dir", "text_bytes", "written"]
 
 #: Text bytes that one in-memory chunk of documents aims at.
 CHUNK_BYTES = 16 << 20

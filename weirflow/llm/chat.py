@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded
+from weirflow.llm._shared import bounded, picked
 
 REPLY = "assistant"
 END = "</s>"
@@ -101,7 +101,7 @@ def training_examples(turns: DataFrame, *, conv_col: str = "conv_id", turn_col:
     turns. Rows sort by turn (null first), role and text, so ties and repeated rows keep one order. Null roles and texts are
     empty; rows with a null conv_id are one conversation. Other columns are ignored; an empty table gives no examples.
     """
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     n = int(bounded(turns).conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_expand, "conv_id long, example long, text string, loss_start long, loss_end long, last boolean")

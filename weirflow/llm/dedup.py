@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, forget, maybe_broadcast, written
+from weirflow.llm._shared import bounded, forget, maybe_broadcast, picked, written
 
 PERMS, BANDS = 128, 32
 #: Members and shingles of a block; two blocks meet in a task.
@@ -105,7 +105,7 @@ def _sketch(size: int):
 
 def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, set size, two sums over independent hashes of 64 bits that identify the set, and the signature (empty without words)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sig binary")
+    return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
 @T.trimmed
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     ignored. An empty table gives an empty result.
     """
     bounded(docs)
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    raw = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sk = written(sketches(raw, shingle), "sketches")
     least = percent / 100 - 6 * float(np.sqrt(percent / 100 * (1 - percent / 100) / PERMS))
     known = sk.where("n > 0 and doc_id is not null")

@@ -11,7 +11,6 @@ succeeded, so files of lost or repeated tasks are never read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, new_path, pieces, text_bytes, written
-from weirflow.scratch import qualified
+from weirflow.llm._shared import bounded, filesystem, new_path, picked, pieces, qualified, text_bytes, written
 
 LENGTH, BATCH = 2048, 64
 #: Text bytes of a shard, about.
@@ -164,12 +162,6 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def _pair(ids: np.ndarray, length: int) -> list[pa.Array]:
     """Ids and mask of sequences; the last one is padded."""
     n = -(-len(ids) // length) * length
@@ -185,7 +177,7 @@ MANIFEST = "shard string, first_doc long, docs long, tokens long"
 def _write(folder: str, tokenizer: str, end_id: int, length: int, per_batch: int):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         enc = _encoder(tokenizer)
         kind = pa.from_numpy_dtype(enc.dtype)
@@ -236,7 +228,7 @@ class Shard:
     name: str
 
     def __post_init__(self):
-        self.fs, base = _fs(self.folder)
+        self.fs, base = filesystem(self.folder)
         self.base = f"{base}/{self.name}"
         if isinstance(self.fs, pafs.LocalFileSystem):
             self.file = pa.ipc.open_file(pa.memory_map(f"{self.base}.arrow"))
@@ -292,7 +284,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int = 0, length: in
         raise ValueError("the length must be divisible by 8")
     spark = bounded(docs)
     folder = qualified(spark, folder or new_path(spark, "tokens"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = max(pieces(text_bytes(rows), SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = written(rows.mapInArrow(_write(folder, tokenizer, end_id, length, per_batch), MANIFEST), "manifest")
