@@ -1,209 +1,251 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has statistics in one common tree of variable-order byte contexts (up to ``ORDER`` bytes). The
-code length of a byte comes from the longest context that the tree holds and in which the language has seen
-anything, escaping (method C: distinct followers over total plus distinct) to shorter ones and at last to
-256 equal bytes. Statistics are frozen, so the whole code length of a text is a sum of table entries; the
-language with the shortest code wins.
-
-Fitted on a bounded sample: whole documents of about ``SAMPLE_DOCS`` per language, taken by a hash of the id.
-The tree is bounded by ``MOST_NODES`` contexts, and so is its broadcast.
+Each language has a tree of its own of variable-order byte contexts (up to ``ORDER`` bytes). The code length of a byte
+comes from the longest context that the language's tree holds, escaping (method C: distinct followers over total plus
+distinct) to shorter ones and at last to 256 equal bytes. Statistics are frozen, so the whole code length of a text is a
+sum of table entries; the language with the shortest code wins.
+
+A language is fitted in one task, on a bounded sample of whole documents: the first ``SAMPLE_DOCS`` by a hash of the id, as far
+as they hold ``SAMPLE_BYTES`` together (the first one always). All contexts that occur ``LEAST`` times there are kept. Languages are
+any number: models up to ``MOST_BYTES`` are broadcast; beyond, tasks read each language's from the shared folder, for some
+megabytes of text at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, written
+from weirflow.llm._shared import apart, bounded, filesystem, picked, place, qualified, renamed, written
 
 ORDER = 3
-SAMPLE_DOCS = 600
-MOST_NODES = 6_000
-#: Languages with more statistics than this table allows are refused, not dropped.
-MOST_LANGUAGES = 200
+SAMPLE_DOCS, SAMPLE_BYTES = 600, 2 << 20
+#: Occurrences in the sample from which a context is kept; what followed a context once says little.
+LEAST = 2
+#: Bytes of all languages' models up to which they are broadcast, and of tables that a worker keeps.
+MOST_BYTES, MOST_KEPT = 64 << 20, 384 << 20
+#: Text bytes that are scored at once.
+BATCH = 4 << 20
 _LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
-@T.trimmed
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all byte strings of 1 to ORDER + 1 bytes by language: the tree's counts."""
-    for whole in batches:
-        for b in T.batches_of(whole, "text", 4 << 20):
-            data, offsets = T.strings(b.column("text"))
-            lang = b.column("lang").to_pylist()
-            for name in sorted(set(lang)):
-                own = [data[offsets[i] : offsets[i + 1]] for i, x in enumerate(lang) if x == name]
-                # a text longer than a segment is counted in pieces, each with the next bytes that its last strings reach into
-                for piece in ([d] for d in own if len(d) > T.SEGMENT):
-                    for at in range(0, len(piece[0]), T.SEGMENT):
-                        yield from _counted(name, [piece[0][at : at + T.SEGMENT + ORDER]], T.SEGMENT)
-                yield from _counted(name, [d for d in own if len(d) <= T.SEGMENT], T.SEGMENT)
-
-
-def _counted(name: str, texts: list[np.ndarray], starts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the strings that begin in the first ``starts`` bytes of each text."""
-    for n in range(1, ORDER + 2):
-        parts = []
-        for d in texts:
-            m = min(len(d) - n + 1, starts)
-            if m > 0:
-                k = np.full(m, n, np.int64)
-                for j in range(n):
-                    k = k << 8 | d[j : j + m]
-                parts.append(k)
-        if parts:
-            k, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k), pa.array(c)], ["lang", "gram", "n"])
+def counts(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of context bytes from 0 to ORDER: kept contexts (as integers), followed by which byte, how often; sorted by both."""
+    data = np.concatenate([*texts, np.zeros(0, np.uint8)]).astype(np.int64)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    left = np.repeat(ends, [len(t) for t in texts]) - np.arange(len(data))  # bytes from here to the text's end
+    out, key = [], np.zeros(len(data), np.int64)
+    for n in range(ORDER + 1):
+        at = left > n  # a context of n bytes starts here and has a follower
+        follower = np.append(data[n:], np.zeros(n, np.int64))[: len(data)]
+        gram, times = np.unique(key[at] << 8 | follower[at], return_counts=True)
+        context = gram >> 8
+        if n:
+            every, total = np.unique(context, return_inverse=True)
+            total = np.bincount(total, times, len(every))
+            own = total[np.searchsorted(every, context)] >= LEAST
+            gram, times, context = gram[own], times[own], context[own]
+        out.append((context, gram & 255, times))
+        key = key << 8 | follower
+    return out
 
 
 @dataclass
-class Model:
-    """child: node and byte class to the node of the longer context, or -1; bits: for each language, code length by node and byte class."""
+class Language:
+    """One tree: classes of bytes; longer: node and class of the byte before its context to the longer context's node, or the place behind all nodes; bits: code length by node and class."""
 
-    languages: list[str]
     classes: np.ndarray
-    child: np.ndarray
+    longer: np.ndarray
     bits: np.ndarray
 
-    def lengths(self, d: np.ndarray) -> np.ndarray:
-        """Bits of one text in each language."""
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(d), T.SEGMENT):
-            lo = max(0, at - ORDER)
-            c = self.classes[d[lo : at + T.SEGMENT]]
-            node, level = np.zeros(len(c), np.int32), np.zeros(len(c), np.int32)
-            for k in range(1, ORDER + 1):
-                longer = np.full(len(c), -1, np.int32)
-                if len(c) > 1:
-                    longer[1:] = np.where(level[:-1] >= 0, self.child[level[:-1], c[:-1]], -1)
-                    longer[: min(k, len(c))] = -1
-                level = longer
-                node = np.where(longer >= 0, longer, node)
-            own = slice(at - lo, None)
-            for i, table in enumerate(self.bits):
-                total[i] += float(table[node[own], c[own]].sum(dtype=np.float64))
-        return total
+    @classmethod
+    def of(cls, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Language:
+        classes = np.zeros(256, np.int64)
+        seen = np.unique(found[0][1])
+        classes[seen] = np.arange(1, len(seen) + 1)  # class 0: bytes never seen
+        width = len(seen) + 1
+        contexts = [np.unique(c) for c, _, _ in found]
+        contexts[0] = np.zeros(1, np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+        nodes = int(starts[-1])
+        longer = np.full((int(starts[ORDER]) + 1, width), nodes, np.int32)
+        tables = []
+        for n, (context, byte, times) in enumerate(found):
+            own = contexts[n]
+            if n:
+                short = np.searchsorted(contexts[n - 1], own & ((1 << 8 * (n - 1)) - 1))  # without the oldest byte
+                longer[starts[n - 1] + short, classes[own >> 8 * (n - 1)]] = starts[n] + np.arange(len(own))
+            count = np.zeros((len(own), width))
+            if len(own):
+                count[np.searchsorted(own, context), classes[byte]] = times
+            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+            low = tables[-1][short] if n else np.full((1, width), 1 / 256)
+            p = np.where(count > 0, count / np.maximum(total + kinds, 1), kinds / np.maximum(total + kinds, 1) * low)
+            tables.append(np.where(total > 0, p, low))
+        return cls(classes, longer, -np.log2(np.concatenate(tables)).astype(np.float32))
+
+    @property
+    def size(self) -> int:
+        return self.longer.nbytes + self.bits.nbytes
+
+    def lengths(self, d: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """Bits of each byte; ``since``: how many bytes of its text lie before it."""
+        c = self.classes[d]
+        nodes = len(self.bits)
+        level, best = np.zeros(len(c), np.int32), np.zeros(len(c), np.int32)
+        last = len(self.longer) - 1
+        for k in range(1, ORDER + 1):
+            if len(c) <= k:
+                break
+            # the place behind all nodes leads nowhere
+            up = self.longer[np.minimum(level[k:], last), c[:-k]]
+            up[since[k:] < k] = nodes
+            level = np.concatenate([np.full(k, nodes, np.int32), up])
+            best = np.where(level < nodes, level, best)
+        return self.bits[best, c]
+
+
+def _packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
+    blobs = [T.packed(x) for context, byte, times in found for x in (np.diff(context, prepend=0), byte.astype(np.uint8), times.astype(np.uint32))]
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def _unpacked(raw: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    at, parts = 0, []
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        parts.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return [(np.cumsum(T.unpacked(a, np.int64)), T.unpacked(b, np.uint8).astype(np.int64), T.unpacked(c, np.uint32).astype(np.float64)) for a, b, c in zip(parts[::3], parts[1::3], parts[2::3], strict=True)]
+
+
+@T.trimmed
+def _fit(t: pa.Table) -> pa.Table:
+    data, offsets = T.strings(t.column("text"))
+    found = counts([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+    return pa.table({"lang": pa.array([t.column("lang")[0].as_py()], pa.string()), "tree": pa.array([_packed(found)], pa.binary())})
+
+
+_tables: dict[tuple[str, str], Language] = {}
+
+
+@dataclass
+class Model:
+    """Languages by name; their counts lie in the table at ``path``, and in ``trees`` if they are small together."""
+
+    languages: list[str]
+    path: str = ""
+    trees: dict[str, bytes] | Broadcast = field(default_factory=dict)
+
+    def table(self, name: str) -> Language:
+        key = (self.path, name)
+        if key not in _tables:
+            trees = self.trees.value if isinstance(self.trees, Broadcast) else self.trees
+            raw = trees.get(name)
+            if raw is None:
+                fs, base = filesystem(self.path)
+                raw = pads.dataset(base, filesystem=fs, format="parquet").to_table(filter=pads.field("lang") == name).column("tree")[0].as_py()
+            found = Language.of(_unpacked(raw))
+            while _tables and sum(x.size for x in _tables.values()) + found.size > MOST_KEPT:
+                del _tables[next(iter(_tables))]
+            _tables[key] = found
+        return _tables[key]
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each text (a row) in each language."""
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        for i, name in enumerate(self.languages):
+            table = self.table(name)
+            for at in range(0, len(data), T.SEGMENT):
+                to, lo = min(at + T.SEGMENT, len(data)), max(0, at - ORDER)
+                first = np.searchsorted(offsets, np.arange(lo, to), "right") - 1
+                bits = table.lengths(data[lo:to], np.arange(lo, to) - offsets[first])[at - lo :]
+                out[:, i] += np.bincount(first[at - lo :], bits, len(out))
+        return out
 
 
 def fit(sample: DataFrame) -> Model:
-    """The model from a frame with lang and text; only n-gram counts that the bounded tree can use reach the driver."""
+    """The model from a frame with lang and text, one task for each language. Names reach the driver, and the trees' counts up to ``MOST_BYTES``."""
     spark = bounded(sample)
-    grams = written(sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model's tables are bounded to {MOST_LANGUAGES}")
-    total = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    # contexts: the most frequent strings of up to ORDER bytes; a prefix is never rarer, so with ties by length and value the set is closed under prefixes
-    nodes = [r.gram for r in total.where(F.col("gram") < _first(ORDER + 1)).orderBy(F.desc("n"), "gram").limit(MOST_NODES).collect()]
-    place = {0: 0} | {g: i for i, g in enumerate(nodes, 1)}
-    frame = spark.createDataFrame([(g, i) for g, i in ((_key(b""), 0), *((g, i) for g, i in place.items() if g))], "context long, node int")
-    context = F.expr(f"case {' '.join(f'when gram >= {_first(n)} and gram < {_first(n) + (1 << 8 * n)} then ' + (f'((gram - {_first(n)}) div 256) + {_first(n - 1)}' if n > 1 else '0') for n in range(1, ORDER + 2))} end")
-    rows = grams.select("lang", (F.col("gram") % 256).cast("int").alias("byte"), "n", context.alias("context")).join(F.broadcast(frame), "context").select("lang", "node", "byte", "n").toPandas()  # at most languages * MOST_NODES * 256 rows
-    seen = np.zeros(256, bool)
-    seen[rows["byte"].unique()] = True
-    classes = np.zeros(256, np.int32)
-    classes[seen] = np.arange(1, seen.sum() + 1)
-    width = int(seen.sum()) + 1  # class 0: bytes never seen
-    child = np.full((len(place), width), -1, np.int32)
-    parent = np.zeros(len(place), np.int32)
-    for g, i in place.items():
-        if g:
-            n = _size(g)
-            raw = g - _first(n)
-            longer, start = raw >> 8, raw & 255
-            up = place[longer + _first(n - 1) if n > 1 else 0]
-            child[up, classes[start]] = i
-            # the next shorter context drops the first byte
-            short = raw & ((1 << 8 * (n - 1)) - 1)
-            parent[i] = place.get(short + _first(n - 1) if n > 1 else 0, -1)
-    order = sorted(range(len(place)), key=lambda i: 0 if i == 0 else _size(nodes[i - 1]))
-    bits = np.empty((len(languages), len(place), width), np.float32)
-    for k, name in enumerate(languages):
-        own = rows[rows["lang"] == name]
-        count = np.zeros((len(place), width), np.float64)
-        count[own["node"].to_numpy(), classes[own["byte"].to_numpy()]] = own["n"].to_numpy()
-        p = np.full((len(place), width), 1 / 256)
-        for i in order:
-            up = p[max(parent[i], 0)] if i else np.full(width, 1 / 256)
-            n, kinds = count[i].sum(), (count[i] > 0).sum()
-            p[i] = up if not n else np.where(count[i] > 0, count[i] / (n + kinds), kinds / (n + kinds) * up)
-        bits[k] = -np.log2(p)
-    return Model(languages, classes, child, bits)
-
-
-def _first(n: int) -> int:
-    """Smallest key of a string of n bytes; keys are the length before the bytes."""
-    return n << 8 * n
-
-
-def _key(raw: bytes) -> int:
-    return int.from_bytes(raw, "big") + _first(len(raw)) if raw else 0
-
-
-def _size(gram: int) -> int:
-    return next(n for n in range(1, ORDER + 2) if _first(n) <= gram < _first(n) + (1 << 8 * n))
+    trees = written(sample.where("lang is not null and text is not null").groupBy("lang").applyInArrow(_fit, "lang string, tree binary"), "trees")
+    names = sorted((r.lang, r.n) for r in trees.select("lang", F.length("tree").alias("n")).collect())
+    model = Model([n for n, _ in names], qualified(spark, trees._wf_path))
+    if sum(n for _, n in names) <= MOST_BYTES:
+        model.trees = {r.lang: bytes(r.tree) for r in trees.collect()}
+    return model
 
 
 #: Evidence counts as that of so many bytes at most, so that scores of long texts stay apart from 1.
 _EVIDENCE = 64
 
 
-def _predict(spread):
+def _predict(model: Model):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = spread.value
-        for b in batches:
-            data, offsets = T.strings(b.column("__wf_text"))
-            lang, score, rate = [], [], []
-            for i, text in enumerate(b.column("__wf_text")):
-                d = data[offsets[i] : offsets[i + 1]]
-                bits = model.lengths(d) if len(d) and model.languages else None
-                if bits is None or not _LETTER.search(text.as_py()):
-                    lang.append(UND)
-                    score.append(0.0)
-                    rate.append(float(bits.min() / len(d)) if bits is not None else None)
-                    continue
-                best = int(bits.argmin())
-                odds = 2.0 ** -np.minimum((bits - bits[best]) * min(1.0, _EVIDENCE / len(d)), 1000)
-                lang.append(model.languages[best])
-                score.append(float(1 / odds.sum()))
-                rate.append(float(bits[best] / len(d)))
-            cols = [c for c in b.schema.names if c != "__wf_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*cols, "__wf_lang", "__wf_score", "__wf_bits"])
+        for whole in batches:
+            for b in T.batches_of(whole, "text", BATCH):
+                data, offsets = T.strings(b.column("text"))
+                size = np.diff(offsets)
+                read = size > 0 if model.languages else np.zeros(len(size), bool)
+                letter = np.array([bool(n and _LETTER.search(x.as_py())) for n, x in zip(size.tolist(), b.column("text"), strict=True)], bool) & read
+                lang, score, rate = np.full(len(size), UND, object), np.zeros(len(size)), np.full(len(size), np.nan)
+                if read.any():
+                    bits = model.lengths(data, offsets)
+                    best = bits.argmin(1)
+                    least = bits[np.arange(len(size)), best]
+                    rate[read] = least[read] / size[read]
+                    weight = np.minimum(1.0, _EVIDENCE / np.maximum(size, 1))
+                    odds = (2.0 ** -np.minimum((bits - least[:, None]) * weight[:, None], 1000)).sum(1)
+                    score[letter] = 1 / odds[letter]
+                    lang[letter] = np.array(model.languages, object)[best[letter]]
+                cols = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate, mask=~read)], [*cols, *FOUND])
 
     return run
 
 
-def training_sample(docs: DataFrame, train: Column, *, per_language: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Whole texts and labels of about ``per_language`` training documents for each language, chosen by a hash of the id."""
-    rows = docs.where(train).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(share) > MOST_LANGUAGES:
-        raise ValueError(f"{len(share)} languages; the model's tables are bounded to {MOST_LANGUAGES}")
-    u = (F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).cast("double")
-    keep = F.lit(False)
-    for name, part in share.items():
-        keep = keep | ((F.col("lang") == name) & (u < part))
-    return rows.where(keep).select("lang", "text")
+def training_sample(docs: DataFrame, train: Column, *, per_language: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Whole texts and labels of at most ``per_language`` training documents of each language, the first by a hash of id and text, as far as they hold ``most_bytes`` together."""
+    rows = picked(docs.where(train), lang=lang_col, text=text_col, id=id_col).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("id", "text").alias("h"))
+    rows = rows.where("lang is not null and text is not null")
+    # a first sieve by the same hash, of twice the documents, keeps most texts where they lie
+    share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    wide = {k: 2 * per_language / n for k, n in share.items() if n > 4 * per_language}
+    if wide:
+        u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+        limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in wide.items() for x in kv]), F.col("lang"))
+        rows = rows.where(u < F.coalesce(limit, F.lit(1.0)))
+    rows = rows.withColumn("order", F.pmod("h", F.lit(1 << 30)))
+    w = Window.partitionBy("lang").orderBy("order", "h", "text")
+    rows = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_language)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where((F.col("i") == 1) | (F.col("before") + F.octet_length("text") <= most_bytes)).select("lang", "text")
+
+
+#: Columns that ``identify`` adds.
+FOUND = ("__wf_lang", "__wf_score", "__wf_bits")
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The documents with ``__wf_lang`` (a learned language; ``und`` if the text is null or has no letter), ``__wf_score`` (0 to 1; 0 for und) and ``__wf_bits`` (bits a byte in the best language; null for empty texts).
 
-    Every whole text is scored. Without learned languages all is ``und``. Ties go to the first language by name. Columns
-    keep their names and values; an empty table gives an empty result.
+    Every whole text is scored. Without learned languages all is ``und``. Ties go to the first language by name. Columns keep
+    their values; one that has the name of an added column gets an underscore behind its own. An empty table gives an empty result.
     """
-    spread = bounded(docs).sparkContext.broadcast(model)
-    inner = [f"__wf_{i}" for i in range(len(docs.columns))]
-    base = docs.toDF(*inner).withColumn("__wf_text", F.col(inner[docs.columns.index(text_col)]).cast("string"))
+    spark = bounded(docs)
+    base, inner = renamed(docs)
+    base = base.withColumn("text", F.col(inner[place(docs, text_col)]).cast("string"))
+    if model.trees and not isinstance(model.trees, Broadcast):
+        model = Model(model.languages, model.path, spark.sparkContext.broadcast(model.trees))
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, base.schema.fields, strict=False)) + ", __wf_lang string, __wf_score double, __wf_bits double"
-    return base.mapInArrow(_predict(spread), schema).toDF(*docs.columns, "__wf_lang", "__wf_score", "__wf_bits")
+    return base.mapInArrow(_predict(model), schema).toDF(*apart(docs.columns, FOUND), *FOUND)
