@@ -1,9 +1,13 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import lower
+from weirflow.llm import _text as T
 from weirflow.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -33,7 +37,7 @@ def brute(rows, items, size):
 
 
 def got(df, bench, **options):
-    r = decontam.report(decontam.contamination(df, bench, **options))
+    r = decontam.report(df, bench, **options)
     return sorted(map(tuple, r.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=repr)
 
 
@@ -83,3 +87,37 @@ def test_decisions_take_effect(planted):
             assert len(out[i].text) < len(r.text) and out[i].n_chars == len(out[i].text)
     again = {r[0]: r for r in got(decontam.decontaminate(df, bench), bench)}
     assert all(r[2] == 0 for r in again.values())
+
+
+def test_windows_that_share_a_hash(planted, monkeypatch):
+    df, bench = planted
+    rows = [r for r in df.collect() if r.doc_id > 4900 or r.doc_id < 60]
+    want = brute([(r.doc_id, r.text) for r in rows], [(r.item_id, r.text) for r in bench.collect()], 8)
+    full = T.windows
+    monkeypatch.setattr(T, "windows", lambda h, n: full(h, n) & np.uint64(0xFFF000000000003F))
+    table = decontam.Ngrams([(str(r.item_id), r.text) for r in bench.collect() if r.item_id is not None and r.text is not None], 8)
+    assert any((np.diff(w[0]) == 0).any() for w in table.windows.values())
+    batch = pa.record_batch([pa.array([r.doc_id for r in rows]), pa.array([r.text for r in rows])], names=["c0", "text"])
+    (out,) = decontam._scan(lambda: iter([table]), ["c0"], 1 << 30)(iter([batch]))
+    got = sorted(((r["c0"], r["n_words"], sum(s["words"] for s in r["spans"]), len(r["items"])) for r in out.to_pylist()), key=repr)
+    assert got == [w[:4] for w in want]
+
+
+def test_tables_are_compact():
+    import pickle
+
+    r = random.Random(8)
+    words = [f"word{i}" for i in range(5000)]
+    items = [(str(i), " ".join(r.choice(words) for _ in range(200))) for i in range(1500)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontam.Ngrams(items, 8))) < 6 * size + (1 << 20)
+
+
+def test_clashing_names(spark, planted):
+    _, bench = planted
+    df = spark.createDataFrame([(1, "tiny words", 5, 6, "x")], "doc_id long, text string, `__wf_items` int, n_words int, `a.b` string")
+    assert decontam.contamination(df, bench).columns == ["doc_id", "text", "__wf_items_", "n_words", "a.b", *decontam.FOUND]
+    out = decontam.report(df, bench)
+    assert out.columns == ["doc_id", "text", "__wf_items", "n_words_", "a.b", *decontam.REPORTED] and tuple(out.first())[2:8] == (5, 6, "x", 2, 2, 1)
+    left = decontam.decontaminate(df, bench)
+    assert left.columns == df.columns and tuple(left.first()) == (1, "", 5, 6, "x")

@@ -125,6 +125,13 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _lower[data]
+
+
 #: Words are runs of anything but ASCII white space.
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False

@@ -1,13 +1,15 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
-Benchmark windows are hashed into a sorted table that is broadcast while it is within ``MOST_BYTES`` of
-benchmark text; a larger benchmark is worked off in slices by item, one scan of the documents each, and the
-hits are merged. Documents are scanned where they lie, without a shuffle; each hit is verified word by word.
+Benchmark windows are hashed into sorted arrays. Up to ``MOST_BYTES`` of benchmark text (whose arrays take some four times as
+much) they are one table, which is broadcast; a larger benchmark is cut into tables of that size, which lie as files in the
+shared folder and which each task reads one after the other for every ``CHUNK`` of text. Documents are scanned once, where they
+lie, without a shuffle; each hit is verified word by word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,163 +17,216 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, pieces, text_bytes, written
+from weirflow.llm._shared import apart, bounded, filesystem, new_path, picked, pieces, place, qualified, renamed, text_bytes
 
-MOST_BYTES = 16 << 20
+MOST_BYTES = 8 << 20
+#: Text bytes that are held against the tables at once; with several tables more, as each is read anew.
+CHUNK, LONG_CHUNK = 4 << 20, 32 << 20
 _BITS = 22
 
 
-def _normal(data: np.ndarray, w: T.Words, at: int, size: int) -> bytes:
-    return b" ".join(data[s:e].tobytes() for s, e in zip(w.starts[at : at + size].tolist(), w.ends[at : at + size].tolist(), strict=True)).lower()
-
-
 class Ngrams:
-    """Windows of the items by their number of words: sorted hashes, a bit table before them, and the items of each window's words."""
+    """Windows of the items by their number of words: sorted hashes, a bit table before them, where each window stands in the items' text, and its items."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.items: dict[bytes, list[str]] = {}
-        hashes: dict[int, set[int]] = {}
         data, offsets = T.strings(pa.array([x[1] for x in items], pa.large_string()))
         w = T.words(data, offsets, T.ALNUM)
-        for (item, _), a, b in zip(items, w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
-            n = min(size, b - a)
-            if n:
-                own = T.windows(w.hashes[a:b], n)
-                hashes.setdefault(n, set()).update(own.tolist())
-                for k in range(len(own)):
-                    at = self.items.setdefault(_normal(data, w, a + k, n), [])
-                    if item not in at:
-                        at.append(item)
-        self.sorted = {n: np.sort(np.array(list(x), np.uint64)) for n, x in hashes.items()}
-        self.bits = {}
-        for n, x in self.sorted.items():
-            self.bits[n] = np.zeros(1 << _BITS, bool)
-            self.bits[n][x >> np.uint64(64 - _BITS)] = True
-
-    def hits(self, data: np.ndarray, w: T.Words) -> list[tuple[int, int, list[str]]]:
-        """First word, length and items of every occurrence; it may lie across two texts."""
-        out = []
-        for n, known in self.sorted.items():
-            h = T.windows(w.hashes, n)
-            at = np.flatnonzero(self.bits[n][h >> np.uint64(64 - _BITS)])
-            at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-            for k in at.tolist():
-                if items := self.items.get(_normal(data, w, k, n)):
-                    out.append((k, n, items))
+        self.names = sorted({x[0] for x in items})
+        number = {x: i for i, x in enumerate(self.names)}
+        own = np.array([number[x[0]] for x in items], np.int32)
+        self.data, self.starts, self.ends = T.lowered(data), w.starts.astype(np.int32), w.ends.astype(np.int32)
+        count = np.diff(w.offsets)
+        self.windows = {}
+        for n in np.unique(np.minimum(count[count > 0], size)).tolist():
+            some = np.flatnonzero(np.minimum(count, size) == n)
+            each = count[some] - n + 1
+            at = np.repeat(w.offsets[:-1][some] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            item, h = np.repeat(own[some], each), T.windows(w.hashes, n)[at]
+            order = np.lexsort((item, h))
+            at, item, h = at[order].astype(np.int32), item[order], h[order]
+            # one entry for each text of a window; a window that shares its hash with another text would be a further entry of that hash
+            new = np.append(True, h[1:] != h[:-1])
+            if len(at) > 1:
+                new[1:] |= ~self.same(at[1:], at[:-1], n)
+            first = np.flatnonzero(new)
+            bits = np.zeros(1 << _BITS, bool)
+            bits[h >> np.uint64(64 - _BITS)] = True
+            self.windows[n] = (h[first], np.packbits(bits), at[first], np.append(first, len(h)), item)
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether the windows of n words at places ``a`` read as those at ``b``."""
+        out = np.ones(len(a), bool)
+        for k in range(n):
+            out &= T.same_spans(self.data, self.starts[a + k], self.ends[a + k], self.data, self.starts[b + k], self.ends[b + k])
         return out
 
-
-def _scan(spread, columns: list[str]):
+    def hits(self, low: np.ndarray, w: T.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each number of words: first words of all occurrences (which may lie across two texts), and which window it is. ``low``: the texts' bytes in lower case."""
+        for n, (known, bits, at, _, _) in self.windows.items():
+            h = T.windows(w.hashes, n)
+            found = np.flatnonzero(np.unpackbits(bits).view(bool)[h >> np.uint64(64 - _BITS)])
+            entry = np.searchsorted(known, h[found], "left")
+            while len(found):
+                ok = entry < len(known)
+                found, entry = found[ok], entry[ok]
+                ok = known[entry] == h[found]
+                found, entry = found[ok], entry[ok]
+                same = np.ones(len(found), bool)
+                for k in range(n):
+                    same &= T.same_spans(low, w.starts[found + k], w.ends[found + k], self.data, self.starts[at[entry] + k], self.ends[at[entry] + k])
+                yield n, found[same], entry[same]
+                found, entry = found[~same], entry[~same] + 1
+
+    def items(self, n: int, entries: np.ndarray) -> np.ndarray:
+        """Names of the items that hold any of these windows."""
+        _, _, _, cuts, item = self.windows[n]
+        return np.unique(np.concatenate([item[a:b] for a, b in zip(cuts[entries].tolist(), cuts[entries + 1].tolist(), strict=True)]))
+
+
+def _scan(tables: Callable[[], Iterator[Ngrams]], columns: list[str], chunk: int):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: Ngrams = spread.value
-        for whole in batches:
-            for b in T.batches_of(whole, "__wf_text"):
-                data, offsets = T.strings(b.column("__wf_text"))
-                w = T.words(data, offsets, T.ALNUM)
-                marked = np.zeros(len(w.hashes) + 1, bool)
-                items: list[set[str]] = [set() for _ in range(b.num_rows)]
-                for k, n, found in table.hits(data, w):
-                    doc = int(np.searchsorted(w.offsets, k, "right")) - 1
-                    if k + n <= w.offsets[doc + 1]:
-                        marked[k : k + n] = True
-                        items[doc].update(found)
-                spans = []
-                for doc in range(b.num_rows):
-                    own = []
-                    if items[doc]:
-                        a, z = int(w.offsets[doc]), int(w.offsets[doc + 1])
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], marked[a:z].astype(np.int8), [0]])))
-                        base = int(offsets[doc])
-                        for x, y in edge.reshape(-1, 2).tolist():
-                            s = len(data[base : w.starts[a + x]].tobytes().decode())
-                            own.append({"word": x, "words": y - x, "start": s, "end": s + len(data[w.starts[a + x] : w.ends[a + y - 1]].tobytes().decode())})
-                    spans.append(own)
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in columns), pa.array(np.diff(w.offsets)), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    [*columns, "__wf_n_words", "__wf_spans", "__wf_items"],
-                )
+        for b in _gathered(batches, chunk):
+            data, offsets = T.strings(b.column("text"))
+            w, low = T.words(data, offsets, T.ALNUM), T.lowered(data)
+            marked = np.zeros(len(w.hashes) + 1, np.int32)
+            items: list[set[str]] = [set() for _ in range(b.num_rows)]
+            for table in tables():
+                for n, at, entry in table.hits(low, w):
+                    doc = np.searchsorted(w.offsets, at, "right") - 1
+                    own = at + n <= w.offsets[doc + 1]
+                    at, entry, doc = at[own], entry[own], doc[own]
+                    if not len(doc):
+                        continue
+                    np.add.at(marked, at, 1)
+                    np.add.at(marked, at + n, -1)
+                    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+                    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+                        items[doc[a]].update(table.names[i] for i in table.items(n, np.unique(entry[a:z])).tolist())
+            hit = np.cumsum(marked)[:-1] > 0
+            spans = []
+            for doc in range(b.num_rows):
+                own = []
+                if items[doc]:
+                    a, z = int(w.offsets[doc]), int(w.offsets[doc + 1])
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:z].astype(np.int8), [0]])))
+                    base, s = int(offsets[doc]), 0
+                    for x, y in edge.reshape(-1, 2).tolist():
+                        s += len(data[base : w.starts[a + x]].tobytes().decode())
+                        base = int(w.ends[a + y - 1])
+                        e = s + len(data[w.starts[a + x] : base].tobytes().decode())
+                        own.append({"word": x, "words": y - x, "start": s, "end": e})
+                        s = e
+                spans.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in columns), pa.array(np.diff(w.offsets)), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                [*columns, "n_words", "spans", "items"],
+            )
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_DDL = "__wf_n_words long, __wf_spans array<struct<word:long,words:long,start:long,end:long>>, __wf_items array<string>"
+def _gathered(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``chunk`` text bytes, from smaller or larger ones."""
+    held, size = [], 0
 
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, most_bytes: int = MOST_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents with three more columns: ``__wf_n_words``, ``__wf_spans`` (merged hit runs: first word, words, code points from start to end) and ``__wf_items`` (sorted ids of items with occurring windows).
+    for whole in batches:
+        for b in T.batches_of(whole, "text", chunk):
+            own = b.column("text").nbytes
+            if held and size + own > chunk:
+                yield joined()
+                held, size = [], 0
+            held.append(b)
+            size += own
+    if held:
+        yield joined()
 
-    A window is ``size`` consecutive words of an item, or all of a shorter item. Null and empty texts have no words; items
-    without words or with a null id are no items; rows that repeat an item id are one item. Documents keep their columns,
-    whatever their names. An empty table on either side gives no hits.
-    """
+
+_SPANS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_DDL = "n_words long, spans array<struct<word:long,words:long,start:long,end:long>>, items array<string>"
+#: Columns that ``contamination`` adds.
+FOUND = ("__wf_n_words", "__wf_spans", "__wf_items")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, most_bytes: int = MOST_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, list[str]]:
+    """The documents with columns c0, c1, ... by place, n_words, spans and items."""
     spark = bounded(docs)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    items = picked(benchmark, item=item_col, text=item_text).select(F.col("item").cast("string"), F.col("text").cast("string")).where("item is not null and text is not null")
     slices = pieces(text_bytes(items), most_bytes)
-    mine = [c for c in docs.columns]
-    inner = [f"__wf_{i}" for i in range(len(mine))]
-    base = docs.toDF(*inner).withColumn("__wf_text", F.col(inner[mine.index(text_col)]).cast("string"))
+    base, inner = renamed(docs)
+    base = base.withColumn("text", F.col(inner[place(docs, text_col)]).cast("string"))
 
-    def scan(k: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()  # bounded by most_bytes a slice
-        spread = spark.sparkContext.broadcast(Ngrams([(r.item, r.text) for r in own], size))
-        schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, base.schema.fields, strict=False)) + ", " + _DDL
-        return base.mapInArrow(_scan(spread, inner), schema)
+    def table(k: int) -> Ngrams:
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k) if slices > 1 else items
+        return Ngrams([(r.item, r.text) for r in own.collect()], size)  # about most_bytes
 
     if slices == 1:
-        return scan(0).toDF(*mine, "__wf_n_words", "__wf_spans", "__wf_items")
-    key = F.xxhash64(*inner).alias("__wf_key")
-    hits = written(scan(0).select(key, "__wf_spans", "__wf_items").where("size(__wf_items) > 0"), "hits")
-    for k in range(1, slices):
-        hits = hits.unionByName(written(scan(k).select(key, "__wf_spans", "__wf_items").where("size(__wf_items) > 0"), "hits"))
-    # runs of several slices are merged by their first words
-    per = hits.dropDuplicates().groupBy("__wf_key").agg(F.array_sort(F.flatten(F.collect_list("__wf_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__wf_items")))).alias("i"))
-    joined = (
-        "aggregate(s, cast(array() as array<struct<word:bigint,words:bigint,start:bigint,end:bigint>>), (a, x) -> case when size(a) > 0 and x.word <= element_at(a, -1).word + element_at(a, -1).words "
-        "then concat(slice(a, 1, size(a) - 1), array(named_struct('word', element_at(a, -1).word, 'words', greatest(element_at(a, -1).word + element_at(a, -1).words, x.word + x.words) - element_at(a, -1).word, "
-        "'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) else concat(a, array(x)) end)"
-    )
-    per = per.select("__wf_key", F.expr(joined).alias("__wf_spans"), F.col("i").alias("__wf_items"))
-    plain = spark.sparkContext.broadcast(Ngrams([], size))
+        spread = spark.sparkContext.broadcast(table(0))
+        tables = lambda: iter([spread.value])
+    else:
+        folder = qualified(spark, new_path(spark, "ngrams"))
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        for k in range(slices):
+            with fs.open_output_stream(f"{path}/{k}") as f:
+                f.write(pickle.dumps(table(k)))
+
+        def tables() -> Iterator[Ngrams]:
+            fs, path = filesystem(folder)
+            for k in range(slices):
+                with fs.open_input_file(f"{path}/{k}") as f:
+                    yield pickle.loads(f.read())
+
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, base.schema.fields, strict=False)) + ", " + _DDL
-    counted = base.mapInArrow(_scan(plain, inner), schema).drop("__wf_spans", "__wf_items").withColumn("__wf_key", F.xxhash64(*inner))
-    out = counted.join(per, "__wf_key", "left").select(*inner, "__wf_n_words", F.coalesce("__wf_spans", F.expr("cast(array() as array<struct<word:bigint,words:bigint,start:bigint,end:bigint>>)")), F.coalesce("__wf_items", F.expr("cast(array() as array<string>)")))
-    return out.toDF(*mine, "__wf_n_words", "__wf_spans", "__wf_items")
+    return base.mapInArrow(_scan(tables, inner, CHUNK if slices == 1 else LONG_CHUNK), schema), inner
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents with three more columns: ``__wf_n_words``, ``__wf_spans`` (merged hit runs: first word, words, code points from start to end) and ``__wf_items`` (sorted ids of items with occurring windows).
+
+    A window is ``size`` consecutive words of an item, or all of a shorter item. Null and empty texts have no words; items
+    without words or with a null id are no items; rows that repeat an item id are one item. Columns of the documents stay; one that
+    has the name of an added column gets an underscore behind its own. An empty table on either side gives no hits.
+    """
+    found, _ = _found(docs, benchmark, **options)
+    return found.toDF(*apart(docs.columns, FOUND), *FOUND)
 
 
-def report(found: DataFrame, *, least_items: int = 2) -> DataFrame:
-    """The result of ``contamination`` with n_words, n_hit, n_items, items_sha256 and contaminated in place of its working columns."""
+#: Columns that ``report`` adds.
+REPORTED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, *, least_items: int = 2, **options) -> DataFrame:
+    """The documents with n_words, n_hit, n_items, items_sha256 and contaminated; a column of theirs that has such a name gets an underscore behind its own."""
+    found, inner = _found(docs, benchmark, **options)
     return found.select(
-        *[F.col(f"`{c}`") for c in found.columns if not c.startswith("__wf_")],
-        F.col("__wf_n_words").alias("n_words"),
-        F.coalesce(F.expr("aggregate(__wf_spans, 0L, (a, x) -> a + x.words)"), F.lit(0)).cast("long").alias("n_hit"),
-        F.size("__wf_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__wf_items"), 256).alias("items_sha256"),
-        (F.size("__wf_items") >= least_items).alias("contaminated"),
-    )
+        *inner,
+        "n_words",
+        F.coalesce(F.expr("aggregate(spans, 0L, (a, x) -> a + x.words)"), F.lit(0)).cast("long"),
+        F.size("items").cast("long"),
+        F.sha2(F.concat_ws(",", "items"), 256),
+        F.size("items") >= least_items,
+    ).toDF(*apart(docs.columns, REPORTED), *REPORTED)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, least_items: int = 2, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_items: int = 2, text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
     """Documents that hit ``least_items`` items or more go; from others the hit words are cut out. ``chars_col`` is set to the new length of a changed text.
 
     Documents without hits pass unchanged, null texts included; edge cases as in ``contamination``.
     """
-    found = contamination(docs, benchmark, size=size, text_col=text_col)
-    t = f"`{text_col}`"
+    found, inner = _found(docs, benchmark, text_col=text_col, **options)
+    t = inner[place(docs, text_col)]
     cut = F.expr(
-        f"concat_ws('', transform(sequence(0, size(__wf_spans)), i -> case when i = 0 then substring({t}, 1, cast(__wf_spans[0].start as int)) "
-        f"when i = size(__wf_spans) then substring({t}, cast(__wf_spans[i - 1].end + 1 as int)) "
-        f"else substring({t}, cast(__wf_spans[i - 1].end + 1 as int), cast(__wf_spans[i].start - __wf_spans[i - 1].end as int)) end))"
+        f"concat_ws('', transform(sequence(0, size(spans)), i -> case when i = 0 then substring({t}, 1, cast(spans[0].start as int)) "
+        f"when i = size(spans) then substring({t}, cast(spans[i - 1].end + 1 as int)) "
+        f"else substring({t}, cast(spans[i - 1].end + 1 as int), cast(spans[i].start - spans[i - 1].end as int)) end))"
     )
-    text = F.when(F.size("__wf_spans") > 0, cut).otherwise(F.col(t))
-    kept = found.where(F.size("__wf_items") < least_items)
-    cols = []
-    for c in docs.columns:
-        if c == text_col:
-            cols.append(text.alias(c))
-        elif c == chars_col:
-            cols.append(F.when(F.size("__wf_spans") > 0, F.length(text)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return kept.select(*cols)
+    text = F.when(F.size("spans") > 0, cut).otherwise(F.col(t))
+    new = {t: text}
+    if chars_col is not None:
+        n = inner[place(docs, chars_col)]
+        new[n] = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(n)).cast(found.schema[n].dataType)
+    return found.where(F.size("items") < least_items).select(*[new.get(c, F.col(c)).alias(c) for c in inner]).toDF(*docs.columns)
