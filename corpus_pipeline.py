@@ -1,6 +1,7 @@
 """From documents to token files in five stages; each takes and returns frames, written as Parquet in between.
 
-1. language ID: documents without a letter go, and those that no learned language explains better than raw bytes
+1. language ID: documents without a letter go, and those that raw bytes explain better than any learned language; sure
+   predictions become the label of the others
 2. near duplicates: one document of each group stays
 3. decontamination: documents that hit two or more benchmark items go; from others the hit passages are cut
 4. mixing: documents are repeated or left out so that sources meet their target weights
@@ -13,17 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontam, dedup, langid, mixing, tokens
-from weirflow.llm._shared import maybe_broadcast, new_path, written
+from weirflow.llm._shared import maybe_broadcast, new_path, place, renamed, written
 from weirflow.llm.queries import tokenizer_file
 
-RAW_BITS = 8.0
+#: Bits of a raw byte; how many bits in all a text's shortest code must exceed its raw bytes by to be in no learned language; and the score from which a prediction replaces a label.
+RAW_BITS, MARGIN, SURE = 8.0, 64, 0.99
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Readable documents. Their ``lang`` becomes the predicted one where it is null, and where the prediction is sure (a score of ``SURE`` or more)."""
     model = langid.fit(langid.training_sample(docs, F.lit(True)))
-    found = langid.identify(docs, model)
-    known = F.col("__wf_lang") != langid.UND if model.languages else F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
-    return found.where(known & F.coalesce(F.col("__wf_bits") <= RAW_BITS, F.lit(True))).select(*docs.columns)
+    _, inner = renamed(docs)
+    found = langid.identify(docs, model).toDF(*inner, "lang", "score", "bits")
+    text, label = F.col(inner[place(docs, "text")]), inner[place(docs, "lang")]
+    known = F.col("lang") != langid.UND if model.languages else F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
+    kept = found.where(known & F.coalesce((F.col("bits") - RAW_BITS) * F.octet_length(text.cast("string")) <= MARGIN, F.lit(True)))
+    if model.languages:
+        kept = kept.withColumn(label, F.when(F.col(label).isNull() | (F.col("score") >= SURE), F.col("lang")).otherwise(F.col(label)))
+    return kept.select(*inner).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of one id's rows with equal texts the least by all columns stays, of its near copies the text with the least hash.
     """
+    base, inner = renamed(docs)
+    i, t = inner[place(docs, "doc_id")], inner[place(docs, "text")]
     found = written(dedup.near_duplicates(docs, shingle=5, percent=80), "components")
-    gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.join(maybe_broadcast(gone, dedup.MOST_IDS), "doc_id", "left_anti")
-    again = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias(i)).distinct(), "gone")
+    kept = base.join(maybe_broadcast(gone, dedup.MOST_IDS), i, "left_anti").select(*inner)
+    again = written(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(i)).count().where("count > 1").select(i), "again")
     if again.limit(1).count():
         again = maybe_broadcast(again, dedup.MOST_IDS)
-        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
-        one = written(one.select("row.*", F.xxhash64("doc_id", "text").alias("__wf_row")), "same-ids")
+        one = kept.join(again, i, "left_semi").groupBy(i, t).agg(F.min(F.struct(*inner)).alias("row"))
+        one = written(one.select("row.*", F.xxhash64(i, t).alias("key")), "same-ids")
         # near copies with other ids have gone, so links are between rows of one id
-        alone = dedup.near_duplicates(one.select("__wf_row", "text"), shingle=5, percent=80, id_col="__wf_row").where("kept").select(F.col("doc_id").alias("__wf_row"))
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(one.join(alone, "__wf_row", "left_semi").select(*kept.columns))
-    return kept.select(*docs.columns)
+        alone = dedup.near_duplicates(one.select("key", t), shingle=5, percent=80, id_col="key", text_col=t).where("kept").select(F.col("doc_id").alias("key"))
+        kept = kept.join(again, i, "left_anti").select(*inner).unionByName(one.join(alone, "key", "left_semi").select(*inner))
+    return kept.toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
