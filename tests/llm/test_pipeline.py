@@ -35,13 +35,15 @@ def stages(spark, docs, tmp_path):
 
 
 def test_stages_against_plain_versions(spark, docs, odd, tmp_path):
-    odd = odd.select(*docs.columns)
+    start = docs.select("*", F.lit("x").alias("a.b"), F.lit(1).alias("__wf_lang"), F.lit(2).alias("rep"), F.lit(3).alias("c0"))
+    odd = odd.select(*docs.columns, "`a.b`", F.lit(1).alias("__wf_lang"), F.col("rep"), F.lit(3).alias("c0"))
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     some = [r.text for r in bench.limit(3).collect()]
     more = spark.createDataFrame([(8001, f"{some[0]} and {some[1]}", "en", "src3", 1), (8002, "before it " + some[2] + " after it", "en", "src3", 1), (8003, "￾￾" * 60 + "中文字" * 80, "en", "src3", 1)], docs.schema)
-    start = docs.unionByName(odd).unionByName(more)
+    start = start.unionByName(odd).unionByName(more.select("*", F.lit("x").alias("a.b"), F.lit(1).alias("__wf_lang"), F.lit(2).alias("rep"), F.lit(3).alias("c0")))
     one, two, three, four, five = stages(spark, start, tmp_path)
-    assert all(x.columns == docs.columns for x in (one, two, three, four))
+    assert all(x.columns == start.columns for x in (one, two, three, four))
+    assert all(r["a.b"] == "x" and r["__wf_lang"] == 1 and r.c0 == 3 for r in four.collect())
     ids = lambda df: sorted(r[0] if r[0] is not None else -1 for r in df.select("doc_id").collect())
 
     kept = ids(one)
@@ -96,6 +98,15 @@ def test_empty_input(spark, docs, tmp_path):
     assert [x.count() for x in out] == [0] * 5
 
 
+def test_sure_predictions_become_the_label(spark, docs):
+    labels = {r.doc_id: r.lang for r in docs.collect()}
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 40 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 40 == 1, F.lit("fr")).otherwise(F.col("lang")))
+    got = {r.doc_id: r.lang for r in p.language(spark, wrong, SF).collect()}
+    some = [i for i in got if i % 40 < 2]
+    assert some and sum(got[i] == labels[i] for i in some) / len(some) > 0.9
+    assert all(got[i] == labels[i] for i in got if i % 40 > 1)
+
+
 def test_without_labels_nothing_readable_goes(spark, docs):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert p.language(spark, bare, SF).count() == docs.where(F.rlike("text", F.lit(r"\p{L}"))).count()
