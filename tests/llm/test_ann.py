@@ -78,5 +78,59 @@ def test_ties_between_different_vectors(spark):
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(2).normal(size=(500, 6))
     t = ann.grow(x, 20)
-    assert sorted(t.visits(x[0])) == list(range(t.leaves)) and set(t.place(x)) <= set(range(t.leaves))
-    assert next(t.visits(t.centres[np.flatnonzero(t.leaf == 3)[0]] * 10)) is not None
+    for reach in (0.0, 1.0):
+        leaves, keys = zip(*t.visits(x[0], reach), strict=True)
+        assert sorted(leaves) == list(range(t.leaves)) and list(keys) == sorted(keys, reverse=True)
+    assert set(t.place(x)) <= set(range(t.leaves))
+
+
+def test_grafted_trees_visit_and_place_alike():
+    x = np.random.default_rng(2).normal(size=(2000, 6))
+    t = ann.grow(x, 400)
+    leaf = t.place(x)
+    subs = {i: ann.grow(x[leaf == i], 30) for i in range(0, t.leaves, 2)}
+    g = t.grafted(subs)
+    assert g.leaves == t.leaves + sum(s.leaves - 1 for s in subs.values())
+    assert sorted(i for i, _ in g.visits(x[0])) == list(range(g.leaves))
+    deep = g.place(x)
+    for i in range(t.leaves):
+        own = deep[leaf == i]
+        assert len(set(own)) == (subs[i].leaves if i in subs else 1) and own.max() - own.min() < len(set(own))
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(60, 24)) * 3
+    return [(i, [float(np.float32(v)) for v in centres[r.integers(60)] + r.normal(size=24)]) for i in range(6000)]
+
+
+def test_few_leaves_are_visited_and_unseen_queries_are_found(spark, clustered, monkeypatch):
+    """Recall on all queries, of which the calibration has seen a tenth, with a tree from a sample whose leaves are split in tasks."""
+    monkeypatch.setattr(ann, "LEAF", 32)
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 500 * 8 * 24)
+    monkeypatch.setattr(ann, "CALIBRATION", 30)
+    monkeypatch.setattr(ann, "SPLIT", 2)
+    monkeypatch.setattr(ann, "CELL", 256)
+    seen = {}
+    full = ann.Search.calibrated
+
+    def spy(self, q, truth, recall):
+        out = full(self, q, truth, recall)
+        seen.update(search=out, trees=out.tree.leaves)
+        return out
+
+    monkeypatch.setattr(ann.Search, "calibrated", spy)
+    df = spark.createDataFrame(clustered, "vec_id long, embedding array<float>").repartition(4)
+    assert compare(df, clustered) >= 0.9
+    search, x = seen["search"], np.array([v for _, v in clustered])
+    assert search.tree.leaves > 120  # the sample alone makes fewer
+    q = x[::20]
+    visited = [sum(search.sizes[i] for i in search.leaves(v, n, 42)) / len(x) for v, n in zip(q, search.need(q).tolist(), strict=True)]
+    assert np.mean(visited) < 0.25
+
+
+def test_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], "x", 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, `a.b` string, v int, c0 int")
+    assert ann.nearest(df, asks(), k=3).count() == 9

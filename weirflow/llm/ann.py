@@ -1,20 +1,25 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on at most ``SAMPLE`` distinct vectors; every vector is then placed in a leaf. A query walks
-the tree best bin first: a priority queue holds the children passed on the way, by inner product with their
-centres, and yields leaf after leaf. How many leaves to visit is calibrated: ``CALIBRATION`` queries are held
-against all vectors, and visits are widened until their mean recall reaches the target.
+The tree is fitted on a sample of distinct vectors (``SAMPLE_BYTES`` of them); a leaf that turns out to hold more than ``SPLIT`` times
+``LEAF`` vectors is split further by a tree of its own, fitted in a task on at most ``SUB`` of its vectors, so leaves grow in number with
+the table, up to ``MOST_NODES`` centres. Every vector is then placed in a leaf. A query walks the tree best bin first: a priority
+queue holds the children passed on the way, by an estimate of the best inner product in them (the centre's, plus ``reach`` times
+the radius), and yields leaf after leaf. Each query stops by itself, where the estimates fall behind what it may still need: a
+threshold from its best matches in a small sample, less a slack. ``reach`` and slack are calibrated: ``CALIBRATION`` queries
+are held against all vectors, and the slack is widened until their recall reaches the target.
 
 Equal vectors are one class, so a vector that fills a third of the table is searched once; its smallest ids
-stand for it, which are all that a result can show. Leaves and their queries meet in cells of bounded size on
-both sides, and each cell returns at most k neighbours for each of its queries.
+stand for it, which are all that a result can show. Neighbouring leaves make groups of about ``CELL`` vectors; groups and the queries
+that visit any of their leaves meet in cells of bounded size on both sides, where a query sees the leaves that it visits, and each
+cell returns at most k neighbours for each of its queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +27,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, written
+from weirflow.llm._shared import bounded, forget, place, renamed, written
 
-SAMPLE, CALIBRATION = 20_000, 200
-LEAF, BRANCH, STEPS = 512, 8, 8
+SAMPLE_BYTES, CALIBRATION, GAUGE = 32 << 20, 200, 4096
+LEAF, BRANCH, STEPS, SPLIT, SUB = 512, 8, 8, 4, 8192
+#: Centres of the whole tree; beyond, leaves hold more.
+MOST_NODES = 250_000
 CELL = 4096
+REACHES = (0.0, 0.5, 1.0)
 
 
 @dataclass
 class Tree:
-    """centres: one row for each node; children: of each node; leaf: number of a leaf or -1."""
+    """centres, radii: one row for each node (root mean square of the distances); children: of each node; leaf: number of a leaf or -1, in the order of a walk."""
 
     centres: np.ndarray
+    radii: np.ndarray
     children: list[list[int]]
-    leaf: np.ndarray
+    leaf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    @property
-    def leaves(self) -> int:
-        return int(self.leaf.max()) + 1
+    def __post_init__(self):
+        self.leaf = np.full(len(self.centres), -1)
+        todo, n = [0], 0
+        while todo:
+            at = todo.pop()
+            if self.children[at]:
+                todo.extend(reversed(self.children[at]))
+            else:
+                self.leaf[at], n = n, n + 1
+        self.leaves = n
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: down the nearest centres."""
@@ -56,45 +72,61 @@ class Tree:
             todo.extend((int(k), rows[best == i]) for i, k in enumerate(kids) if (best == i).any())
         return self.leaf[node]
 
-    def visits(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves in best-bin-first order."""
-        score = self.centres @ q
-        heap = [(0.0, 0)]
+    def visits(self, q: np.ndarray, reach: float = 0.0) -> Iterator[tuple[int, float]]:
+        """Leaves in best-bin-first order with their estimates, which do not rise."""
+        score = self.centres @ q + reach * np.linalg.norm(q) * self.radii
+        heap = [(-np.inf, 0)]
         while heap:
-            at = heapq.heappop(heap)[1]
+            key, at = heapq.heappop(heap)
             if self.children[at]:
                 for k in self.children[at]:
-                    heapq.heappush(heap, (-score[k], k))
+                    heapq.heappush(heap, (max(-score[k], key), k))
             else:
-                yield int(self.leaf[at])
+                yield int(self.leaf[at]), -key
+
+    def grafted(self, trees: dict[int, Tree]) -> Tree:
+        """The tree with others in place of some leaves."""
+        centres, radii, children = [self.centres], [self.radii], [list(c) for c in self.children]
+        n = len(self.centres)
+        for at in np.flatnonzero(self.leaf >= 0).tolist():
+            t = trees.get(int(self.leaf[at]))
+            if t is not None and t.leaves > 1:
+                # its root is the leaf's node, its other nodes come behind all
+                children[at] = [n + k - 1 for k in t.children[0]]
+                children += [[n + k - 1 for k in c] for c in t.children[1:]]
+                centres.append(t.centres[1:])
+                radii.append(t.radii[1:])
+                n += len(t.centres) - 1
+        return Tree(np.concatenate(centres), np.concatenate(radii), children)
 
 
 def grow(x: np.ndarray, least: int, seed: int = 3) -> Tree:
     """Splits by k-means until a node has at most ``least`` vectors."""
     rng = np.random.default_rng(seed)
-    centres, children, leaf, n = [x.mean(0)], [[]], [-1], 0
+    spread = lambda own, c: float(np.sqrt(((own - c) ** 2).sum(1).mean()))
+    centres, children = [x.mean(0)], [[]]
+    radii = [spread(x, centres[0])]
     todo = [(0, np.arange(len(x)))]
     while todo:
         at, rows = todo.pop()
         own = x[rows]
         k = min(BRANCH, -(-len(rows) // least))
-        if k > 1:
-            c = own[rng.choice(len(own), k, replace=False)]
-            for _ in range(STEPS):
-                near = ((c * c).sum(1) - 2 * own @ c.T).argmin(1)
-                c = np.stack([own[near == i].mean(0) if (near == i).any() else c[i] for i in range(k)])
+        if k <= 1:
+            continue
+        c = own[rng.choice(len(own), k, replace=False)]
+        for _ in range(STEPS):
             near = ((c * c).sum(1) - 2 * own @ c.T).argmin(1)
-            parts = [i for i in range(k) if (near == i).any()]
-            if len(parts) > 1:
-                for i in parts:
-                    children[at].append(len(centres))
-                    todo.append((len(centres), rows[near == i]))
-                    centres.append(c[i])
-                    children.append([])
-                    leaf.append(-1)
-                continue
-        leaf[at], n = n, n + 1
-    return Tree(np.stack(centres), children, np.array(leaf))
+            c = np.stack([own[near == i].mean(0) if (near == i).any() else c[i] for i in range(k)])
+        near = ((c * c).sum(1) - 2 * own @ c.T).argmin(1)
+        parts = [i for i in range(k) if (near == i).any()]
+        if len(parts) > 1:
+            for i in parts:
+                children[at].append(len(centres))
+                todo.append((len(centres), rows[near == i]))
+                centres.append(c[i])
+                radii.append(spread(own[near == i], c[i]))
+                children.append([])
+    return Tree(np.stack(centres), np.array(radii), children)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -107,7 +139,7 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         v = b.column("v")
         offs, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), pa.array([flat[a:z].tobytes() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], ["rep", "low", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), pa.array([flat[a:z].tobytes() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary()), b.column("asks")], ["rep", "low", "v", "asks"])
 
 
 def _place(spread, dim: int):
@@ -120,21 +152,76 @@ def _place(spread, dim: int):
     return run
 
 
-def _visit(spread, dim: int, most: int, sizes: np.ndarray, least: int):
+def _grow_in(dim: int, sizes: dict[int, int]):
+    """A tree for the sample of one leaf."""
+
+    @T.trimmed
+    def run(t: pa.Table) -> pa.Table:
+        leaf, x = t.column("leaf")[0].as_py(), _matrix(t.column("v"), dim)
+        tree = grow(x, max(8, len(x) * LEAF // max(sizes[leaf], LEAF)))
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return run
+
+
+@dataclass
+class Search:
+    """What a query needs: the tree, the leaves' sizes and groups, a few vectors to gauge its threshold by, reach and slack."""
+
+    tree: Tree
+    sizes: np.ndarray
+    group: np.ndarray
+    gauge: np.ndarray
+    rank: int
+    reach: float = 0.0
+    slack: float = np.inf
+
+    def need(self, q: np.ndarray) -> np.ndarray:
+        """The score that each query's k-th match is expected to have, by its matches among a few vectors."""
+        score = q @ self.gauge.T
+        return -np.partition(-score, self.rank - 1, axis=1)[:, self.rank - 1]
+
+    def leaves(self, q: np.ndarray, need: float, least: int) -> list[int]:
+        own, held, low = [], 0, need - self.slack * float(np.linalg.norm(q))
+        for leaf, key in self.tree.visits(q, self.reach):
+            if key < low and held >= least:
+                break
+            own.append(leaf)
+            held += int(self.sizes[leaf])
+        return own
+
+    def calibrated(self, q: np.ndarray, truth: dict[int, list[int]], recall: float) -> Search:
+        """The reach, of a few, by which the calibration queries see the fewest vectors at the target recall, and its slack. ``truth``: the leaves of each query's neighbours."""
+        best, need, size = (np.inf, 0.0, np.inf), self.need(q), np.linalg.norm(q, axis=1)
+        for reach in REACHES:
+            keys = [dict(self.tree.visits(x, reach)) for x in q]
+            behind = np.sort([(need[i] - keys[i][leaf]) / size[i] for i, own in truth.items() for leaf in own])
+            slack = float(behind[min(len(behind) - 1, int(np.ceil(recall * len(behind))) - 1)]) if len(behind) else np.inf
+            cost = sum(sum(int(self.sizes[leaf]) for leaf, key in keys[i].items() if key >= need[i] - slack * size[i]) for i in range(len(q)))
+            best = min(best, (cost, reach, slack))
+        self.reach, self.slack = best[1], best[2] + 1e-12
+        return self
+
+
+def _visit(spread, dim: int, least: int):
+    """Each query once for each group that it visits leaves of."""
+
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = spread.value
+        search: Search = spread.value
         for b in batches:
-            out = []
-            for q in _matrix(b.column("v"), dim):
-                own, held = [], 0
-                for leaf in tree.visits(q):
-                    own.append(leaf)
-                    held += int(sizes[leaf])
-                    if len(own) >= most and held >= least:
-                        break
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("low"), b.column("v"), pa.array(out, pa.list_(pa.int64()))], ["rep", "low", "v", "leaves"])
+            q = _matrix(b.column("v"), dim)
+            if not len(q):
+                continue
+            rows, groups, leaves = [], [], []
+            for i, need in enumerate(search.need(q).tolist()):
+                own = np.array(search.leaves(q[i], need, least))
+                for g in np.unique(search.group[own]).tolist():
+                    rows.append(i)
+                    groups.append(g)
+                    leaves.append(own[search.group[own] == g].tolist())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(at), b.column("v").take(at), pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["rep", "v", "g", "leaves"])
 
     return run
 
@@ -156,13 +243,28 @@ def _meet(dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], _NEAR)})
+        order = np.argsort(right.column("leaf").to_numpy(), kind="stable")
+        right = right.take(pa.array(order))
         ids, low, v = right.column("rep").to_numpy(), right.column("low").to_numpy(), _matrix(right.column("v"), dim)
-        near = []
+        own, where = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
+        near, kept = [], []
         q = _matrix(left.column("v"), dim)
+        leaves = left.column("leaves").combine_chunks()
+        offs, flat = leaves.offsets.to_numpy(), leaves.values.to_numpy()
         for at in range(0, len(q), 256):
-            score = q[at : at + 256] @ v.T
-            near.extend([{"far": float(-row[i]), "low": int(low[i]), "rep": int(ids[i])} for i in best.tolist()] for row, best in zip(score, _best(score, low, k), strict=True))
-        return pa.table({"q": left.column("rep").combine_chunks(), "near": pa.array(near, _NEAR)})
+            to = min(at + 256, len(q))
+            asked = np.zeros((to - at, len(own) + 1), bool)
+            mine = flat[offs[at] : offs[to]]
+            spot = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+            spot = np.where(own[spot] == mine, spot, len(own))  # leaves that lie in another block
+            asked[np.repeat(np.arange(to - at), np.diff(offs[at : to + 1])), spot] = True
+            score = np.where(asked[:, where], q[at:to] @ v.T, -np.inf)
+            for i, (row, best) in enumerate(zip(score, _best(score, low, k), strict=True)):
+                best = best[row[best] > -np.inf].tolist()
+                if best:
+                    kept.append(at + i)
+                    near.append([{"far": float(-row[j]), "low": int(low[j]), "rep": int(ids[j])} for j in best])
+        return pa.table({"q": left.column("rep").combine_chunks().take(pa.array(kept, pa.int64())), "near": pa.array(near, _NEAR)})
 
     return run
 
@@ -197,7 +299,8 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     are ignored; an empty table gives an empty result.
     """
     spark = bounded(vectors)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
+    base, inner = renamed(vectors.select("*", F.coalesce(query, F.lit(False))))
+    rows = base.select(F.col(inner[place(vectors, id_col)]).cast("long").alias("vec_id"), F.col(inner[place(vectors, vector_col)]).cast("array<double>").alias("v"), F.col(inner[-1]).alias("asks"))
     rows = rows.where("vec_id is not null and v is not null").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     rows = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(7), "v")})
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -208,19 +311,37 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     rows = rows.where(F.size("v") == dim)
     classes = rows.groupBy("h", "g").agg(F.min("vec_id").alias("low"), F.max("asks").alias("asks"), F.first("v").alias("v"))
     # a class is named by its hash, as an id may repeat with other vectors; its smallest id decides ties between classes
-    classes = written(classes.select("asks", F.xxhash64("h", "g").alias("rep"), "low", "v"), "classes")
-    raw = written(classes.select("rep", "low", "v").mapInArrow(_raw, "rep long, low long, v binary"), "vectors")
-    sample = raw.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+    raw = written(classes.select(F.xxhash64("h", "g").alias("rep"), "low", "v", "asks").mapInArrow(_raw, "rep long, low long, v binary, asks boolean"), "vectors")
+    sample = raw.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(CALIBRATION, SAMPLE_BYTES // (8 * dim))).toPandas()
     x = np.frombuffer(b"".join(sample["v"]), np.float64).reshape(-1, dim)
     total = raw.count()
     tree = grow(x, max(8, len(x) * LEAF // max(total, LEAF)))
-    spread = spark.sparkContext.broadcast(tree)
-    placed = written(raw.mapInArrow(_place(spread, dim), "rep long, low long, v binary, leaf long"), "placed")
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # one row a leaf
-        sizes[r["leaf"]] = r["count"]
 
-    asking = classes.where("asks").select("rep").join(raw, "rep")
+    def placed_by(tree: Tree) -> tuple[DataFrame, np.ndarray]:
+        spread = spark.sparkContext.broadcast(tree)
+        placed = written(raw.select("rep", "low", "v").mapInArrow(_place(spread, dim), "rep long, low long, v binary, leaf long"), "placed")
+        sizes = np.zeros(tree.leaves, np.int64)
+        for r in placed.groupBy("leaf").count().collect():  # one row a leaf
+            sizes[r["leaf"]] = r["count"]
+        return placed, sizes
+
+    placed, sizes = placed_by(tree)
+    large = {int(i): int(sizes[i]) for i in np.argsort(-sizes, kind="stable").tolist() if sizes[i] > SPLIT * LEAF}
+    room, split = MOST_NODES - len(tree.centres), {}
+    for i, n in large.items():
+        room -= 2 * n // LEAF
+        if room < 0:
+            break
+        split[i] = n
+    if split:
+        some = placed.join(F.broadcast(spark.createDataFrame([(i,) for i in split], "leaf long")), "leaf").select("leaf", "v", F.xxhash64("rep").alias("o"), "rep")
+        some = some.withColumn("i", F.row_number().over(Window.partitionBy("leaf").orderBy("o", "rep"))).where(F.col("i") <= SUB).select("leaf", "v")
+        grown = written(some.groupBy("leaf").applyInArrow(_grow_in(dim, split), "leaf long, tree binary"), "trees")
+        tree = tree.grafted({r.leaf: pickle.loads(r.tree) for r in grown.collect()})
+        forget(placed, grown)
+        placed, sizes = placed_by(tree)
+
+    asking = raw.where("asks").select("rep", "low", "v")
     few = asking.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(CALIBRATION).toPandas()
     if not len(few):
         return spark.createDataFrame([], schema)
@@ -228,20 +349,25 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     held = spark.sparkContext.broadcast((few["rep"].to_numpy(), q))
     truth = placed.mapInArrow(_brute(held, dim, k + 1), "q long, rep long, score double, leaf long")
     truth = truth.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("i") <= k + 1).where("q != rep").select("q", "leaf").collect()
-    place = {int(r): {leaf: i for i, leaf in enumerate(tree.visits(v))} for r, v in zip(few["rep"], q, strict=True)}
-    needed = np.sort([place[r.q][r.leaf] + 1 for r in truth]) if truth else np.array([1])
-    visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
-
-    asked = written(asking.mapInArrow(_visit(spread, dim, visits, sizes, 2 * k + 2), "rep long, low long, v binary, leaves array<long>"), "visits")
-    waiting = np.zeros(tree.leaves, np.int64)
-    for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # one row a leaf
-        waiting[r["leaf"]] = r["count"]
-    blocks = spark.createDataFrame([(i, int(-(-s // CELL)) or 1, int(-(-w // CELL)) or 1) for i, (s, w) in enumerate(zip(sizes.tolist(), waiting.tolist(), strict=True))], "leaf long, nv int, nq int")
-    blocks = F.broadcast(blocks)  # one row a leaf, at most SAMPLE / 8
-
-    one = _cells(asked.select("rep", "low", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf"), "nq", "nv", "qb", "vb")
-    two = _cells(placed.join(blocks, "leaf"), "nv", "nq", "vb", "qb")
-    key = ("leaf", "qb", "vb")
+    number = {int(r): i for i, r in enumerate(few["rep"])}
+    leaves: dict[int, list[int]] = {}
+    for r in truth:
+        leaves.setdefault(number[r.q], []).append(r.leaf)
+    gauge = x[: min(len(x), GAUGE)]
+    search = Search(tree, sizes, np.cumsum(sizes) // CELL, gauge, max(1, min(len(gauge), round((k + 1) * len(gauge) / max(total, 1)))))
+    spread = spark.sparkContext.broadcast(search.calibrated(q, leaves, recall))
+
+    asked = written(asking.mapInArrow(_visit(spread, dim, 2 * k + 2), "rep long, v binary, g long, leaves array<long>"), "visits")
+    held_by: dict[int, int] = {}
+    for g, n in zip(search.group.tolist(), sizes.tolist(), strict=True):
+        held_by[g] = held_by.get(g, 0) + n
+    waiting = {r["g"]: r["count"] for r in asked.groupBy("g").count().collect()}  # one row a group
+    blocks = F.broadcast(spark.createDataFrame([(g, -(-n // (2 * CELL)) or 1, -(-waiting.get(g, 0) // CELL) or 1) for g, n in held_by.items()], "g long, nv int, nq int"))
+    groups = F.broadcast(spark.createDataFrame(list(enumerate(search.group.tolist())), "leaf long, g long"))  # one row a leaf, at most MOST_NODES
+
+    one = _cells(asked.join(blocks, "g"), "nq", "nv", "qb", "vb").select("g", "qb", "vb", "rep", "v", "leaves")
+    two = _cells(placed.join(groups, "leaf").join(blocks, "g"), "nv", "nq", "vb", "qb").select("g", "qb", "vb", "rep", "low", "v", "leaf")
+    key = ("g", "qb", "vb")
     met = one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(_meet(dim, k + 1), "q long, near array<struct<far:double,low:long,rep:long>>")
     best = met.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))  # at most k + 1 for each cell visited
 
@@ -257,6 +383,5 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
 
 
 def _cells(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
-    """Deals rows to their side's blocks of a leaf, and copies them to the other side's blocks."""
-    df = df.withColumn(own_block, F.pmod(F.xxhash64("rep", F.lit(2)), F.col(own)).cast("int")).withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    return df.select("leaf", "qb", "vb", "rep", "low", "v")
+    """Deals rows to their side's blocks of a group, and copies them to the other side's blocks."""
+    return df.withColumn(own_block, F.pmod(F.xxhash64("rep", F.lit(2)), F.col(own)).cast("int")).withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
