@@ -4,9 +4,9 @@ The tree is fitted on a sample of distinct vectors (``SAMPLE_BYTES`` of them); a
 ``LEAF`` vectors is split further by a tree of its own, fitted in a task on at most ``SUB`` of its vectors, so leaves grow in number with
 the table, up to ``MOST_NODES`` centres. Every vector is then placed in a leaf. A query walks the tree best bin first: a priority
 queue holds the children passed on the way, by an estimate of the best inner product in them (the centre's, plus ``reach`` times
-the radius), and yields leaf after leaf. Each query stops by itself, where the estimates fall behind what it may still need: a
-threshold from its best matches in a small sample, less a slack. ``reach`` and slack are calibrated: ``CALIBRATION`` queries
-are held against all vectors, and the slack is widened until their recall reaches the target.
+the radius), and yields leaf after leaf. After the first few leaves each query stops by itself, where the estimates fall behind what
+it may still need: a threshold from its best matches in a small sample, less a slack. Reach, first visits and slack are calibrated:
+``CALIBRATION`` queries are held against all vectors, and the slack is widened until their recall reaches the target.
 
 Equal vectors are one class, so a vector that fills a third of the table is searched once; its smallest ids
 stand for it, which are all that a result can show. Neighbouring leaves make groups of about ``CELL`` vectors; groups and the queries
@@ -30,11 +30,16 @@ from weirflow.llm import _text as T
 from weirflow.llm._shared import bounded, forget, place, renamed, written
 
 SAMPLE_BYTES, CALIBRATION, GAUGE = 32 << 20, 200, 4096
+#: Matches in the gauge that a threshold rests on at least; fewer would hang on single near copies.
+RANK = 16
 LEAF, BRANCH, STEPS, SPLIT, SUB = 512, 8, 8, 4, 8192
 #: Centres of the whole tree; beyond, leaves hold more.
 MOST_NODES = 250_000
 CELL = 4096
-REACHES = (0.0, 0.5, 1.0)
+#: What calibration tries: parts of the radius, and shares of the leaves that every query visits.
+REACHES, FIRST = (0.0, 0.5, 1.0), (0.0, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85)
+#: Recall below which a query is left behind, and the share of such queries that a rule may have.
+LOW, FEW_LOW = 0.8, 0.02
 
 
 @dataclass
@@ -174,32 +179,50 @@ class Search:
     gauge: np.ndarray
     rank: int
     reach: float = 0.0
+    first: int = 0
     slack: float = np.inf
 
     def need(self, q: np.ndarray) -> np.ndarray:
-        """The score that each query's k-th match is expected to have, by its matches among a few vectors."""
-        score = q @ self.gauge.T
-        return -np.partition(-score, self.rank - 1, axis=1)[:, self.rank - 1]
+        """The score that each query's k-th match is expected to have, by its matches among a few vectors, itself left out."""
+        score, own = q @ self.gauge.T, (q * q).sum(1)[:, None]
+        score[own + (self.gauge * self.gauge).sum(1) - 2 * score < 1e-9 * own] = -np.inf
+        best = -np.partition(-score, self.rank - 1, axis=1)[:, self.rank - 1]
+        return np.where(np.isfinite(best), best, 0.0)
 
     def leaves(self, q: np.ndarray, need: float, least: int) -> list[int]:
         own, held, low = [], 0, need - self.slack * float(np.linalg.norm(q))
         for leaf, key in self.tree.visits(q, self.reach):
-            if key < low and held >= least:
+            if key < low and held >= least and len(own) >= self.first:
                 break
             own.append(leaf)
             held += int(self.sizes[leaf])
         return own
 
     def calibrated(self, q: np.ndarray, truth: dict[int, list[int]], recall: float) -> Search:
-        """The reach, of a few, by which the calibration queries see the fewest vectors at the target recall, and its slack. ``truth``: the leaves of each query's neighbours."""
-        best, need, size = (np.inf, 0.0, np.inf), self.need(q), np.linalg.norm(q, axis=1)
+        """Of a few reaches and first visits, those by which the calibration queries see the fewest vectors at the target recall, with the slack that this takes; rules that leave too many single queries behind only if there are no others.
+
+        ``truth``: the leaves of each query's neighbours.
+        """
+        need, size, found = self.need(q), np.linalg.norm(q, axis=1), []
+        who = np.repeat(list(truth), [len(x) for x in truth.values()]) if truth else np.zeros(0, np.int64)
+        want = int(np.ceil(recall * len(who)))
         for reach in REACHES:
-            keys = [dict(self.tree.visits(x, reach)) for x in q]
-            behind = np.sort([(need[i] - keys[i][leaf]) / size[i] for i, own in truth.items() for leaf in own])
-            slack = float(behind[min(len(behind) - 1, int(np.ceil(recall * len(behind))) - 1)]) if len(behind) else np.inf
-            cost = sum(sum(int(self.sizes[leaf]) for leaf, key in keys[i].items() if key >= need[i] - slack * size[i]) for i in range(len(q)))
-            best = min(best, (cost, reach, slack))
-        self.reach, self.slack = best[1], best[2] + 1e-12
+            walks = [list(self.tree.visits(x, reach)) for x in q]
+            spot = [{leaf: i for i, (leaf, _) in enumerate(w)} for w in walks]
+            held = [np.concatenate([[0], np.cumsum([self.sizes[leaf] for leaf, _ in w])]) for w in walks]
+            behind = [(need[i] - np.array([key for _, key in w])) / size[i] for i, w in enumerate(walks)]  # rises along the walk
+            at = np.array([spot[i][leaf] for i, own in truth.items() for leaf in own], np.int64)
+            gap = np.array([behind[i][spot[i][leaf]] for i, own in truth.items() for leaf in own])
+            for share in FIRST:
+                first = int(np.ceil(share * self.tree.leaves))
+                open_ = np.sort(gap[at >= first])
+                more = want - int((at < first).sum())
+                slack = float(open_[more - 1]) + 1e-12 if more > 0 else -np.inf
+                hit = (at < first) | (gap <= slack)
+                low = np.bincount(who, hit, len(q))[list(truth)] < LOW * np.bincount(who, minlength=len(q))[list(truth)]
+                cost = sum(int(h[max(first, int(np.searchsorted(b, slack, "right")))]) for h, b in zip(held, behind, strict=True))
+                found.append((bool(low.mean() > FEW_LOW) if len(low) else False, cost, reach, first, slack))
+        _, _, self.reach, self.first, self.slack = min(found)
         return self
 
 
@@ -354,7 +377,7 @@ def nearest(vectors: DataFrame, query: Column, *, k: int = 20, recall: float = 0
     for r in truth:
         leaves.setdefault(number[r.q], []).append(r.leaf)
     gauge = x[: min(len(x), GAUGE)]
-    search = Search(tree, sizes, np.cumsum(sizes) // CELL, gauge, max(1, min(len(gauge), round((k + 1) * len(gauge) / max(total, 1)))))
+    search = Search(tree, sizes, np.cumsum(sizes) // CELL, gauge, min(len(gauge), max(RANK, round(k * len(gauge) / max(total, 1)))))
     spread = spark.sparkContext.broadcast(search.calibrated(q, leaves, recall))
 
     asked = written(asking.mapInArrow(_visit(spread, dim, 2 * k + 2), "rep long, v binary, g long, leaves array<long>"), "visits")
