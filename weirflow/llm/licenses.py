@@ -1,12 +1,13 @@
 """Licence scan: a trained paragraph classifier.
 
 A paragraph is a line with a word in it, or a passage of adjoining lines: hard-wrapped texts spread a sentence over
-several lines, which are also called together. Paragraphs are numbered by lines, a passage by its first one. Sparse word 1- and 2-grams feed a multinomial logistic regression over
-licence families and ``none``. It is fitted on the driver on ``TRAINING`` generated paragraphs: variations of
-each family's templates, and paragraphs without a licence, mixed with words of many shapes. N-grams outside its vocabulary carry no weight.
+several lines, which are also called together. Paragraphs are numbered by lines, a passage by its first one. Sparse word 1- and
+2-grams feed a multinomial logistic regression over licence families and ``none``. It is fitted on the driver on ``TRAINING``
+generated paragraphs: the families' names alone and in ``PHRASES``, sentences and parts of the licences' texts, both varied, and
+paragraphs without a licence, mixed with words of many shapes. N-grams outside its vocabulary carry no weight.
 A paragraph that looks like a licence is called by its likeliest family if the probability reaches a threshold,
-calibrated on held-out paragraphs whose family the fit has not seen, and if enough of one template's words
-stand in it; otherwise it is ``unknown``.
+calibrated on phrases that the fit has not seen and on names of unknown licences, and if enough of one of the family's templates
+(its names and sentences) stands in it; otherwise it is ``unknown``.
 
 A passage ends at a line without a word (comment markers are no words) and reaches ``REACH`` times the longest template's
 words beyond its first line. Those that can hold enough of a template, by counts, are called, the shortest first; a passage
@@ -26,29 +27,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded
-
-# Characteristic sentences of public licences.
-TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "You should have received a copy of the GNU Affero General Public License along with this program.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal, public domain dedication.", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+from weirflow.llm._shared import bounded, picked
+
+# Names of public licences.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "apache": ["Apache License", "Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache Software License"],
+    "boost": ["Boost Software License", "Boost Software License - Version 1.0", "BSL-1.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "BSD-2-Clause", "BSD-3-Clause", "New BSD License", "Simplified BSD License", "modified BSD license"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY-4.0", "CC BY 3.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC 3.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0"],
+    "cc0": ["CC0 1.0 Universal", "CC0-1.0", "CC0", "Creative Commons Zero"],
+    "epl": ["Eclipse Public License", "Eclipse Public License - v 2.0", "EPL-2.0", "Eclipse Public License, version 1.0"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL", "GPLv3", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-3.0"],
+    "isc": ["ISC License", "ISC"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Library General Public License", "LGPL", "LGPL-2.1-or-later", "LGPL-3.0"],
+    "mit": ["MIT License", "The MIT License (MIT)", "MIT licence", "Expat License"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL-2.0", "MPL 2.0"],
+    "unlicense": ["The Unlicense", "Unlicense"],
+    "zlib": ["zlib License", "zlib/libpng License", "Zlib"],
 }
-# Further licence sentences, of families that the fit does not know; they calibrate the unknown class.
-STRANGE = ["Licensed under the Frobnitz Public Licence, version 7.", "This work is released under the terms of the Example Corp source licence.", "All rights reserved; use is subject to the licence agreement of the vendor.", "Released under the Beerware License.", "This software is licensed under the Open Widget License 1.2."]
+# Sentences of these licences and of the notices that they ask for.
+TEXTS = {
+    "agpl": ["You should have received a copy of the GNU Affero General Public License along with this program.", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "apache": ["you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License."],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": ["You should have received a copy of the GNU Lesser General Public License along with this library.", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+}
+# What names stand in; the second list calibrates.
+PHRASES = ["Licensed under the {}.", "This software is licensed under {}", "This work is licensed under the {}.", "Released under the {}", "{}", "License: {}", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}.", "available under the {}", "{} - see the LICENSE file for details", "Copyright (c) 2019 the authors. {}", "licence {}", "This file is part of a project under {}."]
+PHRASES_TWO = ["Published under {}.", "You may use this under the terms of the {}", "All code here is {} licensed", "Except where noted, content is under {}.", "Terms: {}"]
+# Names of licences that the fit does not know; they calibrate the unknown class.
+STRANGE = ["Frobnitz Public Licence, version 7", "Example Corp Source License", "Beerware License", "Open Widget License 1.2", "Vendor License Agreement", "Zope Public License", "Community Data License", "Artistic License 2.0", "Sleepycat License", "Ruby License"]
 # Sentences without a licence that share words with licences.
-PLAIN = ["The driver needs a license to drive the bus.", "The public library is open until version two of the plan is released.", "You may not use this door.", "The work is subject to change without notice.", "He was free to copy the file.", "She was granted permission to leave.", "The general said the public should be informed.", "Apache helicopters flew over the mit campus."]
+PLAIN = ["The driver needs a license to drive the bus.", "The public library is open until version two of the plan is released.", "You may not use this door.", "The work is subject to change without notice.", "He was free to copy the file.", "She was granted permission to leave.", "The general said the public should be informed.", "Apache helicopters flew over the mit campus.", "The software was released in May and the documentation in June.", "A fishing license costs ten euros.", "The foundation is free and open to any person.", "under the terms of the treaty", "He works at the Mozilla foundation with the Eclipse team.", "the original copy of the notice", "An eclipse of the sun is seen by the public.", "Creative work is common in the zero hour.", "A GNU is an animal of the plains.", "the MIT professor and the ISC group met", "Boost the signal by 3.0 or 4.0 times"]
+FAMILIES = sorted(NAMES)
+TEMPLATES = {f: NAMES[f] + TEXTS.get(f, []) for f in FAMILIES}
 NONE, UNKNOWN = "none", "unknown"
-TRAINING, PRECISION, COVER, REACH = 3000, 0.98, 0.7, 2
+TRAINING, PRECISION, COVER, REACH = 6000, 0.98, 0.7, 2
 
 
 def _grams(text: str) -> np.ndarray:
@@ -65,7 +91,7 @@ class Classifier:
     weights: np.ndarray
     bias: np.ndarray
     threshold: float
-    templates: list[tuple[str, np.ndarray]]
+    templates: list[tuple[str, np.ndarray, np.ndarray]]
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
@@ -73,9 +99,28 @@ class Classifier:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def licences(self, words: np.ndarray, two: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The lines (words from ``at`` to ``to``) that ``call`` would not call none."""
+        if not len(at):
+            return at
+        line = np.repeat(np.arange(len(at)), to - at)
+        inner = np.ones(len(words), bool)
+        inner[to - 1] = False  # a 2-gram does not reach into the next line
+        line, gram = np.concatenate([line, line[inner]]), np.concatenate([words, two[inner]])
+        spot = np.minimum(np.searchsorted(self.vocabulary, gram), len(self.vocabulary) - 1)
+        own = self.vocabulary[spot] == gram
+        some = np.unique(line[own] * len(self.vocabulary) + spot[own])
+        lines, first = np.unique(some // len(self.vocabulary), return_index=True)
+        if not len(lines):
+            return lines
+        z = self.bias + np.add.reduceat(self.weights[some % len(self.vocabulary)], first, axis=0)
+        e = np.exp(z - z.max(1, keepdims=True))
+        # rounding differs from one line's sum; ``call`` decides
+        return lines[1 - e[:, -1] / e.sum(1) >= 0.499]
+
     def cover(self, family: str, grams: np.ndarray) -> float:
-        """The largest part of one of the family's templates that the n-grams hold."""
-        return max(np.isin(t, grams).mean() for f, t in self.templates if f == family)
+        """The largest part of one of the family's templates that the n-grams hold, by the n-grams' weights."""
+        return max(float(w[np.isin(t, grams)].sum() / w.sum()) for f, t, w in self.templates if f == family)
 
     def call(self, grams: np.ndarray) -> tuple[str, float]:
         """The class of a paragraph and its probability; unknown has that of being a licence at all."""
@@ -90,7 +135,7 @@ class Classifier:
         return UNKNOWN, licence
 
 
-def _paragraphs(n: int, seed: int) -> list[tuple[str, str]]:
+def _paragraphs(n: int, seed: int, phrases: list[str] = PHRASES) -> list[tuple[str, str]]:
     r = random.Random(seed)
 
     def filler() -> str:
@@ -103,18 +148,37 @@ def _paragraphs(n: int, seed: int) -> list[tuple[str, str]]:
         s = " ".join(w)
         return r.choice([s, s, s.upper(), s.lower(), f"// {s}", f"{filler()} {s}", f"{s} {filler()}"])
 
+    def part(s: str) -> str:
+        """Most of a sentence, as a line of it holds."""
+        w = s.split()
+        size = max(4, int(len(w) * r.uniform(0.75, 1)))
+        at = r.randrange(len(w) - size + 1) if len(w) > size else 0
+        return " ".join(w[at : at + size])
+
+    words = [w for s in PLAIN + sum(TEXTS.values(), []) + [p.replace("{}", "") for p in PHRASES] for w in s.split()]
     out = []
     for _ in range(n):
-        if r.random() < 0.5:
-            family = r.choice(sorted(TEMPLATES))
-            out.append((varied(r.choice(TEMPLATES[family])), family))
+        x = r.random()
+        family = r.choice(FAMILIES)
+        if x < 0.4 or x < 0.5 and family not in TEXTS:
+            out.append((varied(r.choice(phrases).format(r.choice(NAMES[family]))), family))
+        elif x < 0.5:
+            out.append((varied(part(r.choice(TEXTS[family]))), family))
         else:
-            words = [w for s in PLAIN + sum(TEMPLATES.values(), []) for w in s.split()]
-            some = [r.choice(words) for _ in range(r.randint(0, 3))]
-            out.append((r.choice([filler() or "a", f"{filler()} {' '.join(some)}", varied(r.choice(PLAIN))]), NONE))
+            some = [r.choice(words) for _ in range(r.randint(0, 4))]
+            out.append((r.choice([filler() or "a", f"{filler()} {' '.join(some)}", varied(r.choice(PLAIN)), f"{' '.join(some)} {filler()}"]), NONE))
     return out
 
 
+def _weighted(templates: list[tuple[str, np.ndarray]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Templates with a weight for each n-gram: what the templates of many families hold tells little."""
+    owners: dict[int, set[str]] = {}
+    for f, t in templates:
+        for g in t.tolist():
+            owners.setdefault(g, set()).add(f)
+    return [(f, t, np.array([1 / len(owners[g]) for g in t.tolist()])) for f, t in templates]
+
+
 _fitted: dict[int, Classifier] = {}
 
 
@@ -126,11 +190,11 @@ def fit(n: int = TRAINING) -> Classifier:
     grams = [_grams(t) for t, _ in rows]
     every, seen = np.unique(np.concatenate(grams), return_counts=True)
     vocabulary = every[seen >= 3]
-    classes = [*sorted(TEMPLATES), NONE]
+    classes = [*FAMILIES, NONE]
+    at = [np.searchsorted(vocabulary, g[np.isin(g, vocabulary)]) for g in grams]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, g in enumerate(grams):
-        at = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
-        x[i, at[vocabulary[at] == g]] = 1
+    for i, own in enumerate(at):
+        x[i, own] = 1
     y = np.eye(len(classes), dtype=np.float32)[[classes.index(c) for _, c in rows]]
     w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
     for _ in range(200):
@@ -140,14 +204,15 @@ def fit(n: int = TRAINING) -> Classifier:
         g = (y - p) / len(rows)
         w += 8 * (x.T @ g - 1e-4 * w)
         b += 8 * g.sum(0)
-    templates = [(f, _grams(s)) for f, ss in sorted(TEMPLATES.items()) for s in ss]
-    m = Classifier(classes, vocabulary, w, b, 0.0, templates)
-    # the least threshold at which held-out calls are right often enough, unfamiliar licences among them
+    m = Classifier(classes, vocabulary, w, b, 0.0, _weighted([(f, _grams(s)) for f in FAMILIES for s in TEMPLATES[f]]))
+    # the least threshold at which calls on unseen phrases are right often enough, unfamiliar licences among them
     trials = []
-    for t, c in _paragraphs(n // 3, 12) + [(s, UNKNOWN) for s in STRANGE for _ in range(20)]:
-        p = m.probabilities(_grams(t))
-        if c != NONE and p[-1] < 0.5:
-            trials.append((float(p[:-1].max() / (1 - p[-1])), classes[int(p[:-1].argmax())] == c))
+    for t, c in _paragraphs(n // 3, 12, PHRASES_TWO) + [(q.format(s), UNKNOWN) for s in STRANGE for q in PHRASES + PHRASES_TWO]:
+        g = _grams(t)
+        p = m.probabilities(g)
+        best = classes[int(p[:-1].argmax())]
+        if c != NONE and p[-1] < 0.5 and m.cover(best, g) >= COVER:
+            trials.append((float(p[:-1].max() / (1 - p[-1])), best == c))
     trials.sort(reverse=True)
     right = np.cumsum([ok for _, ok in trials]) / np.arange(1, len(trials) + 1)
     ok = np.flatnonzero(right >= PRECISION)
@@ -161,20 +226,22 @@ class _Passages:
 
     def __init__(self, m: Classifier):
         self.m = m
-        texts = [s for _, ss in sorted(TEMPLATES.items()) for s in ss]
+        texts = [s for f in FAMILIES for s in TEMPLATES[f]]
         n_words = [T.words(*T.strings(pa.array([s])), T.ALNUM).hashes for s in texts]
         self.reach = REACH * max(map(len, n_words))
-        self.grams = np.unique(np.concatenate([t for _, t in m.templates]))
-        self.held = np.stack([np.isin(self.grams, t) for _, t in m.templates], 1)
-        # what a passage needs of each template: n-grams, and of these 2-grams when it has all the words
-        self.least = COVER * np.array([len(t) for _, t in m.templates]) - 1e-9
-        self.least_two = self.least - np.array([len(np.unique(x)) for x in n_words])
+        self.grams = np.unique(np.concatenate([t for _, t, _ in m.templates]))
+        self.held = np.zeros((len(self.grams), len(m.templates)))
+        for i, (_, t, w) in enumerate(m.templates):
+            self.held[np.searchsorted(self.grams, t), i] = w
+        # what a passage needs of each template: weight of n-grams, and of these 2-grams when it has all the words
+        self.least = COVER * self.held.sum(0) - 1e-6
+        self.least_two = self.least - np.array([w[np.isin(t, x)].sum() for (_, t, w), x in zip(m.templates, n_words, strict=True)])
 
     def _counts(self, hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """For each range of positions and each template, how many n-grams in it are the template's."""
+        """For each range of positions and each template, the weight of its n-grams in it, repeated ones counted again."""
         k = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
         hits = np.flatnonzero(self.grams[k] == hashes)
-        sums = np.zeros((len(hits) + 1, self.held.shape[1]), np.int32)
+        sums = np.zeros((len(hits) + 1, self.held.shape[1]))
         np.cumsum(self.held[k[hits]], axis=0, out=sums[1:])
         return sums[np.searchsorted(hits, z)] - sums[np.searchsorted(hits, a)]
 
@@ -223,10 +290,8 @@ def _scan(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = spread.value
         passages = _Passages(m)
-        bits = np.zeros(1 << 20, bool)
-        bits[m.vocabulary >> np.uint64(44)] = True
         for whole in batches:
-            for b in T.batches_of(whole, "text"):
+            for b in T.batches_of(whole, "text", 1 << 20):
                 data, offsets = T.strings(b.column("text"))
                 w = T.words(data, offsets, T.ALNUM)
                 # a word starts a paragraph if a line feed or a border of texts lies before it
@@ -237,12 +302,10 @@ def _scan(spread):
                 at = np.flatnonzero(new)
                 to = np.append(at[1:], len(new))
                 two = np.append(T.windows(w.hashes, 2), np.uint64(0))[: len(new)]
-                known = bits[w.hashes >> np.uint64(44)]
-                run_ = np.concatenate([[0], np.cumsum(known)])
                 out: list[list] = [[] for _ in range(b.num_rows)]
                 docs = np.searchsorted(w.offsets, at, "right") - 1
                 called = {}
-                for i in np.flatnonzero(run_[to] - run_[at] >= 1).tolist():
+                for i in m.licences(w.hashes, two, at, to).tolist():
                     a, z = int(at[i]), int(to[i])
                     family, p = m.call(np.unique(np.concatenate([w.hashes[a:z], two[a : z - 1]])))
                     if family != NONE:
@@ -268,7 +331,7 @@ def licence_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     they lie, repeated ones each; other columns are ignored; an empty table gives an empty result.
     """
     spread = bounded(docs).sparkContext.broadcast(fit())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_scan(spread), "doc_id long, n_paragraphs long, found array<struct<paragraph:long,family:string,p:double>>")
 
 
