@@ -243,6 +243,25 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Itera
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``chunk`` text bytes, from smaller or larger ones."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for whole in batches:
+        for b in batches_of(whole, column, chunk):
+            own = b.column(column).nbytes
+            if held and size + own > chunk:
+                yield joined()
+                held, size = [], 0
+            held.append(b)
+            size += own
+    if held:
+        yield joined()
+
+
 def packed(x: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()

@@ -86,7 +86,7 @@ class Ngrams:
 def _scan(tables: Callable[[], Iterator[Ngrams]], columns: list[str], chunk: int):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _gathered(batches, chunk):
+        for b in T.gathered(batches, "text", chunk):
             data, offsets = T.strings(b.column("text"))
             w, low = T.words(data, offsets, T.ALNUM), T.lowered(data)
             marked = np.zeros(len(w.hashes) + 1, np.int32)
@@ -126,25 +126,6 @@ def _scan(tables: Callable[[], Iterator[Ngrams]], columns: list[str], chunk: int
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``chunk`` text bytes, from smaller or larger ones."""
-    held, size = [], 0
-
-    def joined() -> pa.RecordBatch:
-        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for whole in batches:
-        for b in T.batches_of(whole, "text", chunk):
-            own = b.column("text").nbytes
-            if held and size + own > chunk:
-                yield joined()
-                held, size = [], 0
-            held.append(b)
-            size += own
-    if held:
-        yield joined()
-
-
 _SPANS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 _DDL = "n_words long, spans array<struct<word:long,words:long,start:long,end:long>>, items array<string>"
 #: Columns that ``contamination`` adds.

@@ -1,18 +1,20 @@
 """Language-model scoring by deleted interpolation.
 
-A word bigram model: P(w | v) mixes the maximum-likelihood estimates c(v w) / c(v) and c(w) / N and a
-uniform 1 / (V + 1) (V known words and one unknown class). The weights depend on how often the context v
-was seen (buckets by powers of two) and are learned by expectation-maximisation on the tokens of a
-held-out fold of the training documents, with that fold's own counts deleted.
+A word trigram model. P(w | u v) mixes c(u v w) / c(u v) with the bigram model, by a weight that depends on how often the
+context u v was seen (buckets by powers of two); the bigram model mixes c(v w) / c(v), c(w) / N and a uniform 1 / (V + 1) (V known
+words and one unknown class) by weights for each bucket of c(v). Weights are learned by expectation-maximisation on the tokens of
+a held-out fold of the training documents, with that fold's own counts deleted.
 
-Counts and scores cover all documents. Documents are dealt into chunks of bounded size by a hash. A chunk
-sends each of its distinct n-grams once, with local counts, to the reducer that owns its hash range, and
+Counts and scores cover all documents. Tasks cut the documents where they lie into chunks of bounded size, in which every word is
+a number. A chunk sends each of its distinct n-grams once, with local counts, to the reducer that owns its hash range, and
 gets the corpus counts back in the same order; so a frequent n-gram costs one entry a chunk, and no task
-sees more than a chunk or a hash range. Only histograms of fixed size reach the driver.
+sees more than a chunk or a hash range. Trigrams travel with their first two words, so a context's count is the sum of its
+trigrams, and bigrams need not be sent for themselves. Only histograms of fixed size reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,121 +23,214 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import _text as T
-from weirflow.llm._shared import bounded, pieces, text_bytes, written
+from weirflow.llm._shared import bounded, forget, place, renamed, written
 
-#: Text bytes of a chunk, about; a task's arrays take some 25 times as much.
+#: Text bytes of a chunk, about; a task's arrays take some 30 times as much.
 CHUNK_BYTES = 12 << 20
+#: Tokens of the corpus for each hash range of trigrams, and ranges of trigrams for each one of words.
+RANGE_TOKENS, WORD_RANGES = 2_000_000, 8
 BUCKETS = 24  # of the context's count, by powers of two
 FINE, DEPTH = 4, 40  # EM sees log2 probabilities in steps of 1 / FINE, down to -DEPTH
 ROUNDS = 60
-#: Bits of an n-gram's hash. With 10 billion different n-grams of one order 1 in some 7 million shares its hash with another.
-HASH_BITS = 56
-_END, _START = np.uint64(0x5EED0000E0D), np.uint64(0x5EED0057A27)
-_UNI, _BI = np.uint64(0x1F3A5), np.uint64(0x2B7C9)
-
-
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (each text's words, then an end), of the token before each, and the texts' offsets."""
-    w = T.words(data, offsets)
-    n = np.diff(w.offsets) + 1
-    offs = np.concatenate([[0], np.cumsum(n)])
-    tok = np.empty(offs[-1], np.uint64)
-    last = np.zeros(len(tok), bool)
-    last[offs[1:] - 1] = True
-    tok[last] = _END
-    tok[~last] = w.hashes
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    before[offs[:-1]] = _START
-    return tok, before, offs
-
-
-def _keys(tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.uint64(64 - HASH_BITS)
-    with np.errstate(over="ignore"):
-        return T.mix(tok + _UNI) >> cut, T.mix(T.mix(before + _BI) + tok * np.uint64(3)) >> cut
-
-
-def _request(ranges: int):
+#: Bits of a word's and a context's hash, and of a follower's within its context. With 10 billion different contexts 1 in some 7 million shares its hash with another.
+HASH_BITS, FOLLOWER_BITS = 56, 32
+_CUT = np.uint64(64 - HASH_BITS)
+_END, _START, _PAD = (np.uint64(x) >> _CUT for x in (0x5EED0000E0D00000, 0x5EED0057A2700000, 0x5EED00FADE000000))
+
+
+def _chunks(most: int):
+    """A row for each chunk: words as numbers, the words' hashes, and the documents."""
+
     @T.trimmed
-    def run(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
-        tok, before, offs = _tokens(*T.strings(t.column("text")))
-        fold = np.repeat(t.column("fold").to_numpy(), np.diff(offs))
-        out = []
-        for order, keys in enumerate(_keys(tok, before), 1):
-            every = np.unique(keys)
-            counts = []
-            for own in (fold > 0, fold == 2):
-                k, c = np.unique(keys[own], return_counts=True)
-                full = np.zeros(len(every), np.uint32)
-                full[np.searchsorted(every, k)] = c
-                counts.append(full)
-            slot = ((every >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
-            cuts = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64))
-            for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    gaps = np.diff(every[a:b], prepend=np.uint64(0))
-                    out.append((order * ranges + s, part, T.packed(gaps), T.packed(counts[0][a:b]), T.packed(counts[1][a:b])))
-        return pa.table(dict(zip(("slot", "part", "keys", "train", "fold"), [list(x) for x in zip(*out, strict=True)], strict=True)), _REQUEST)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.gathered(batches, "text", most):
+            w = T.words(*T.strings(b.column("text")))
+            vocabulary, stream = np.unique(w.hashes >> _CUT, return_inverse=True)
+            row = (uuid.uuid4().int >> 65, b.column("doc_id").to_pylist(), b.column("fold").to_pylist(), np.diff(w.offsets), T.packed(np.diff(vocabulary, prepend=np.uint64(0))), T.packed(stream.astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK.types, strict=True)], schema=_CHUNK)
 
     return run
 
 
-_REQUEST = pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("fold", pa.binary())])
-_ANSWER = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("types", pa.int64()), ("train", pa.binary()), ("fold", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("stream", pa.binary())])
+_CHUNK_DDL = "chunk long, doc_id array<long>, fold array<int>, n_words array<long>, vocabulary binary, stream binary"
+
+
+class _Grams:
+    """A chunk's words and trigrams. Each text reads: its words, the end, and a pad, which makes the end's bigram a context too."""
+
+    def __init__(self, r: dict):
+        n, words = np.array(r["n_words"], np.int64), T.unpacked(r["stream"], np.uint32).astype(np.int64)
+        vocabulary = np.cumsum(T.unpacked(r["vocabulary"], np.uint64), dtype=np.uint64)
+        v = len(vocabulary)
+        end, start, pad, width = v, v + 1, v + 2, v + 3
+        hashes = np.concatenate([vocabulary, [_END, _START, _PAD]])
+        self.n, self.first = n, np.cumsum(n + 2) - (n + 2)
+        self.fold = np.repeat(np.array(r["fold"], np.int32), n + 2)
+        now = np.full(int((n + 2).sum()), end)
+        last = self.first + n + 1
+        inner = np.ones(len(now), bool)
+        inner[last] = inner[last - 1] = False
+        now[inner], now[last] = words, pad
+        before = np.concatenate([[start], now[:-1]])
+        before[self.first] = start
+        self.now, self.is_token = now, now != pad
+        far = np.concatenate([[start], before[:-1]])
+        far[self.first] = start
+        # contexts in the order of their hashes, trigrams in that of their contexts
+        pair, at = np.unique(far * width + before, return_inverse=True)
+        with np.errstate(over="ignore"):
+            key = T.mix(T.mix(hashes[pair // width] + np.uint64(0x2B7C9)) + hashes[pair % width] * np.uint64(3)) >> _CUT
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.contexts, self.context = key[order], rank[at]
+        gram, self.gram = np.unique(self.context * width + now, return_inverse=True)
+        self.of = gram // width
+        self.followers = (T.mix(hashes[gram % width] + np.uint64(0x1F3A5)) >> np.uint64(64 - FOLLOWER_BITS)).astype(np.uint32)
+        # words and the end, by hash
+        self.order = np.argsort(hashes[: v + 1], kind="stable")
+        self.words = hashes[: v + 1][self.order]
+
+    def counts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of words and trigrams in documents of a fold from ``least``."""
+        own = self.fold >= least
+        words = np.bincount(self.now[own & self.is_token], minlength=len(self.order))[self.order]
+        return words.astype(np.uint32), np.bincount(self.gram[own], minlength=len(self.of)).astype(np.uint32)
+
+
+def _slots(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """Hash range, first and last of the sorted keys in it."""
+    slot = ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
+    cuts = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    return T.packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _request(ranges: int, word_ranges: int):
+    @T.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                g = _Grams(r)
+                (words, grams), (fold_words, fold_grams) = g.counts(1), g.counts(2)
+                none = T.packed(np.zeros(0, np.uint32))
+                out = [(ranges + s, r["chunk"], _gaps(g.words[x:y]), none, none, T.packed(words[x:y]), T.packed(fold_words[x:y])) for s, x, y in _slots(g.words, word_ranges)]
+                each = np.bincount(g.of, minlength=len(g.contexts)).astype(np.uint32)
+                ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+                for s, x, y in _slots(g.contexts, ranges):
+                    i, j = int(ends[x]), int(ends[y])
+                    out.append((s, r["chunk"], _gaps(g.contexts[x:y]), T.packed(each[x:y]), T.packed(g.followers[i:j]), T.packed(grams[i:j]), T.packed(fold_grams[i:j])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), _REQUEST.types, strict=True)], schema=_REQUEST)
+
+    return run
+
+
+_REQUEST = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("each", pa.binary()), ("followers", pa.binary()), ("train", pa.binary()), ("fold", pa.binary())])
+_REQUEST_DDL = "slot long, chunk long, keys binary, each binary, followers binary, train binary, fold binary"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("slot", pa.int64()), ("types", pa.int64()), ("train", pa.binary()), ("fold", pa.binary()), ("key_train", pa.binary()), ("key_fold", pa.binary())])
+_ANSWER_DDL = "chunk long, slot long, types long, train binary, fold binary, key_train binary, key_fold binary"
 
 
 def _reduce(ranges: int):
     @T.trimmed
     def run(t: pa.Table) -> pa.Table:
         slot = t.column("slot")[0].as_py()
-        keys = [np.cumsum(T.unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in t.column("keys")]
+        rows = t.select(["keys", "each", "followers", "train", "fold"]).to_pylist()
+        keys = [np.cumsum(T.unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
         every = np.unique(np.concatenate(keys))
         at = [np.searchsorted(every, k) for k in keys]
-        total = {c: np.zeros(len(every), np.uint32) for c in ("train", "fold")}
-        for c, full in total.items():
-            for i, x in zip(at, t.column(c), strict=True):
-                full[i] += T.unpacked(x.as_py(), np.uint32)
-        types = int((total["train"] > 0).sum()) if slot // ranges == 1 else 0
-        return pa.table(
-            [t.column("part").combine_chunks(), [slot] * len(at), [types] + [0] * (len(at) - 1), *([T.packed(full[i]) for i in at] for full in total.values())], schema=_ANSWER
-        )
+        out: dict[str, list[bytes]] = {f.name: [] for f in list(_ANSWER)[3:]}
+        if slot >= ranges:
+            total = {}
+            for c in ("train", "fold"):
+                full = total[c] = np.zeros(len(every), np.uint32)
+                for i, r in zip(at, rows, strict=True):
+                    full[i] += T.unpacked(r[c], np.uint32)
+                out[f"key_{c}"] = [T.packed(full[i]) for i in at]
+                out[c] = [T.packed(np.zeros(0, np.uint32))] * len(at)
+            types = int((total["train"] > 0).sum())
+        else:
+            bits = np.uint64(FOLLOWER_BITS)
+            codes = [np.repeat(i.astype(np.uint64), T.unpacked(r["each"], np.uint32)) << bits | T.unpacked(r["followers"], np.uint32) for i, r in zip(at, rows, strict=True)]
+            grams, types = np.unique(np.concatenate(codes)), 0
+            spot = [np.searchsorted(grams, c) for c in codes]
+            context = (grams >> bits).astype(np.int64)
+            for c in ("train", "fold"):
+                full = np.zeros(len(grams), np.uint32)
+                for i, r in zip(spot, rows, strict=True):
+                    np.add.at(full, i, T.unpacked(r[c], np.uint32))  # followers of one chunk may share a hash
+                own = np.bincount(context, full, len(every)).astype(np.uint32)
+                out[c], out[f"key_{c}"] = [T.packed(full[i]) for i in spot], [T.packed(own[i]) for i in at]
+        return pa.table([t.column("chunk").combine_chunks(), [slot] * len(at), [types] + [0] * (len(at) - 1), *out.values()], schema=_ANSWER)
 
     return run
 
 
-@T.trimmed
-def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The corpus counts of a chunk's tokens and bigrams, in order; those of the EM fold's documents also within the fold."""
-    tok, before, offs = _tokens(*T.strings(left.column("text")))
-    answer = right.sort_by("slot")
-    fold, n = left.column("fold").to_numpy(), np.diff(offs)
-    flat = {c: np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)]) for c in ("train", "fold")}
-    inside = np.repeat(fold == 2, n)
-    blobs, at = [], 0
-    for keys in _keys(tok, before):
-        every, back = np.unique(keys, return_inverse=True)
-        blobs += [T.packed(flat["train"][at : at + len(every)][back]), T.packed(flat["fold"][at : at + len(every)][back][inside])]
-        at += len(every)
-    sums = [int(x) for own in (fold > 0, fold == 2) for x in (n[own].sum(), own.sum())]
-    return pa.table([[x] for x in (left.column("doc_id").to_pylist(), fold.tolist(), n.tolist(), sum(answer.column("types").to_pylist()), *sums, *blobs)], schema=_COUNTED)
+def _look_up(ranges: int):
+    """The corpus counts of a chunk's words, contexts and trigrams, as they stand in the texts; those of the EM fold's documents also within the fold."""
+
+    @T.trimmed
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        g = _Grams(r)
+        answer = right.sort_by("slot")
+        words = answer.filter(pa.compute.greater_equal(answer.column("slot"), ranges))
+        grams = answer.filter(pa.compute.less(answer.column("slot"), ranges))
+        whole = lambda t, c: np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in t.column(c)])
+        fold, n = np.array(r["fold"], np.int64), g.n
+        inside, token = g.fold == 2, g.is_token
+        out = {"types": sum(words.column("types").to_pylist())}
+        for name, own in (("", fold > 0), ("fold_", fold == 2)):
+            out[f"{name}tokens"], out[f"{name}texts"] = int((n[own] + 1).sum()), int(own.sum())
+        for c in ("train", "fold"):
+            sel = inside if c == "fold" else np.ones(len(inside), bool)
+            by_word = np.empty(len(g.order), np.uint32)
+            by_word[g.order] = whole(words, f"key_{c}")
+            out[f"words_{c}"] = T.packed(by_word)
+            out[f"grams_{c}"] = T.packed(whole(grams, c)[g.gram[sel & token]])
+            out[f"contexts_{c}"] = T.packed(whole(grams, f"key_{c}")[g.context[sel]])
+        row = {**{k: r[k] for k in ("doc_id", "fold", "n_words", "stream")}, **out}
+        return pa.table([pa.array([row[f.name]], f.type) for f in _COUNTED], schema=_COUNTED)
+
+    return run
 
 
 _COUNTED = pa.schema(
-    [("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int64()))]
+    [("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64())), ("stream", pa.binary())]
     + [(c, pa.int64()) for c in ("types", "tokens", "texts", "fold_tokens", "fold_texts")]
-    + [(c, pa.binary()) for c in ("uni", "uni_fold", "bi", "bi_fold")]
+    + [(f"{x}_{c}", pa.binary()) for c in ("train", "fold") for x in ("words", "grams", "contexts")]
 )
-_COUNTED_DDL = "doc_id array<long>, fold array<int>, n_tokens array<long>, types long, tokens long, texts long, fold_tokens long, fold_texts long, uni binary, uni_fold binary, bi binary, bi_fold binary"
-
-
-def _context(uni: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
-    """Counts of each token's context: of the token before it, or of the start, of which each text has one. ``n``: tokens of each text."""
-    out = np.empty_like(uni)
-    out[1:] = uni[:-1]
-    out[np.cumsum(n) - n] = texts
-    return out
+_COUNTED_DDL = "doc_id array<long>, fold array<int>, n_words array<long>, stream binary, types long, tokens long, texts long, fold_tokens long, fold_texts long, " + ", ".join(f"{x}_{c} binary" for c in ("train", "fold") for x in ("words", "grams", "contexts"))
+
+
+def _terms(r: dict, n: int, texts: int, deleted: bool) -> dict[str, np.ndarray]:
+    """For each token (of all documents; if ``deleted`` of the EM fold's, whose own counts are taken off) the counts of its trigram, its context, its bigram, the word before it and itself; and where the texts begin."""
+    size = np.array(r["n_words"], np.int64)
+    own = np.array(r["fold"]) == 2 if deleted else np.ones(len(size), bool)
+    stream, end = T.unpacked(r["stream"], np.uint32).astype(np.int64), len(T.unpacked(r["words_train"], np.uint32)) - 1
+    word = np.full(int((size + 1).sum()), end)
+    last = np.zeros(len(word), bool)
+    last[np.cumsum(size + 1) - 1] = True
+    word[~last] = stream
+    word, size = word[np.repeat(own, size + 1)], size[own]
+    by_word = T.unpacked(r["words_train"], np.uint32).astype(np.float64)
+    grams, contexts = T.unpacked(r["grams_train"], np.uint32).astype(np.float64), T.unpacked(r["contexts_train"], np.uint32).astype(np.float64)
+    if deleted:
+        by_word = by_word - T.unpacked(r["words_fold"], np.uint32)
+        n_all = np.array(r["n_words"], np.int64)
+        grams = grams[np.repeat(own, n_all + 1)] - T.unpacked(r["grams_fold"], np.uint32)
+        contexts = contexts[np.repeat(own, n_all + 2)] - T.unpacked(r["contexts_fold"], np.uint32)
+    first = np.cumsum(size + 1) - (size + 1)
+    # a text has one context more than tokens: the last one is its end's bigram
+    at = np.arange(len(word)) + np.repeat(np.arange(len(size)), size + 1)
+    before = np.concatenate([[0.0], by_word[word[:-1]]])[: len(word)]
+    before[first] = texts
+    return {"gram": grams, "context": contexts[at], "bigram": contexts[at + 1], "before": before, "word": by_word[word], "first": first}
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -149,23 +244,30 @@ def _step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, 1 + np.clip(np.round(-FINE * np.log2(p)), 0, FINE * DEPTH - 1), 0).astype(np.int64)
 
 
-def _histogram(n: int, texts: int):
-    """Counts of held-out tokens by context bucket and the steps of the bigram and unigram estimates."""
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(np.where(b > 0, a / np.maximum(b, 1), 0), 1)
+
+
+def _histogram(n: int, texts: int, types: int, low: np.ndarray | None):
+    """Counts of the EM fold's tokens by context bucket and the steps of two estimates: of bigram and unigram, or, with the bigram model's weights ``low``, of trigram and bigram model."""
     steps = FINE * DEPTH + 1
 
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(BUCKETS * steps * steps, np.int64)
         for b in batches:
-            for r in b.to_pylist():
-                n_tokens, own = np.array(r["n_tokens"], np.int64), np.array(r["fold"]) == 2
-                if not own.any():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                if 2 not in r["fold"]:
                     continue
-                inside = np.repeat(own, n_tokens)
-                uni, bi = (T.unpacked(r[c], np.uint32)[inside].astype(np.int64) - T.unpacked(r[f"{c}_fold"], np.uint32) for c in ("uni", "bi"))
-                ctx = _context(uni, n_tokens[own], texts)
-                p2 = np.where(ctx > 0, bi / np.maximum(ctx, 1), 0)
-                cell = (_bucket(ctx) * steps + _step(np.minimum(p2, 1))) * steps + _step(uni / n)
+                t = _terms(r, n, texts, True)
+                p2, p1 = _ratio(t["bigram"], t["before"]), t["word"] / n
+                if low is None:
+                    bucket, one, two = _bucket(t["before"]), p2, p1
+                else:
+                    l2, l1, l0 = low[_bucket(t["before"])].T
+                    bucket, one, two = _bucket(t["context"]), _ratio(t["gram"], t["context"]), l2 * p2 + l1 * p1 + l0 / (types + 1)
+                cell = (bucket * steps + _step(one)) * steps + _step(two)
                 np.add.at(full, *np.unique(cell, return_counts=True))
         cell = np.flatnonzero(full)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(full[cell])], ["cell", "n"])
@@ -173,14 +275,11 @@ def _histogram(n: int, texts: int):
     return run
 
 
-def em(cells: np.ndarray, n: np.ndarray, unknown: float) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket from the histogram; a bucket without tokens takes the overall weights."""
-    steps = FINE * DEPTH + 1
-    value = np.concatenate([[0], 2.0 ** -(np.arange(FINE * DEPTH) / FINE)])
-    bucket, p = cells // (steps * steps), np.stack([value[cells // steps % steps], value[cells % steps], np.full(len(cells), unknown)], axis=1)
+def _fitted(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, start: list[float]) -> np.ndarray:
+    """Weights of the estimates ``p`` in each bucket by expectation-maximisation; a bucket without tokens takes the overall weights."""
 
     def fit(p: np.ndarray, n: np.ndarray) -> np.ndarray:
-        lam = np.full(3, 1 / 3)
+        lam = np.full(p.shape[1], 1 / p.shape[1])
         for _ in range(ROUNDS):
             share = p * lam
             share /= share.sum(axis=1, keepdims=True)
@@ -188,27 +287,47 @@ def em(cells: np.ndarray, n: np.ndarray, unknown: float) -> np.ndarray:
             lam /= lam.sum()
         return lam
 
-    overall = fit(p, n) if len(n) else np.array([0.3, 0.6, 0.1])
-    out = np.stack([fit(p[bucket == k], n[bucket == k]) if (bucket == k).any() else overall for k in range(BUCKETS)])
+    overall = fit(p, n) if len(n) else np.array(start)
+    return np.stack([fit(p[bucket == k], n[bucket == k]) if (bucket == k).any() else overall for k in range(BUCKETS)])
+
+
+def _values() -> tuple[int, np.ndarray]:
+    return FINE * DEPTH + 1, np.concatenate([[0], 2.0 ** -(np.arange(FINE * DEPTH) / FINE)])
+
+
+def em(cells: np.ndarray, n: np.ndarray, unknown: float) -> np.ndarray:
+    """The bigram model's weights (bigram, unigram, uniform) of each bucket from the histogram."""
+    steps, value = _values()
+    p = np.stack([value[cells // steps % steps], value[cells % steps], np.full(len(cells), unknown)], axis=1)
+    out = _fitted(cells // (steps * steps), p, n, [0.3, 0.6, 0.1])
     out[0] = [0, *(out[0, 1:] / out[0, 1:].sum())]
     return out
 
 
-def _score(lam: np.ndarray, n: int, types: int, texts: int):
+def em_top(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights (trigram, bigram model) of each bucket from the histogram."""
+    steps, value = _values()
+    out = _fitted(cells // (steps * steps), np.stack([value[cells // steps % steps], value[cells % steps] + 1e-300], axis=1), n, [0.5, 0.5])
+    out[0] = [0, 1]
+    return out
+
+
+def _score(low: np.ndarray, top: np.ndarray, n: int, types: int, texts: int):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                n_tokens = np.array(r["n_tokens"], np.int64)
-                uni, bi = (T.unpacked(r[c], np.uint32).astype(np.float64) for c in ("uni", "bi"))
-                ctx = _context(uni, n_tokens, texts)
-                l2, l1, l0 = lam[_bucket(ctx)].T
-                at = np.cumsum(n_tokens) - n_tokens
-                base = np.add.reduceat(np.log10((uni + 1) / (n + types + 1)), at)
-                score = np.add.reduceat(np.log10(l2 * bi / np.maximum(ctx, 1) + l1 * uni / max(n, 1) + l0 / (types + 1)), at)
-                known = np.add.reduceat((uni > 0).astype(np.int64), at)
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                t = _terms(r, n, texts, False)
+                at = t["first"]
+                l2, l1, l0 = low[_bucket(t["before"])].T
+                t3, t2 = top[_bucket(t["context"])].T
+                p = l2 * _ratio(t["bigram"], t["before"]) + l1 * t["word"] / max(n, 1) + l0 / (types + 1)
+                base = np.add.reduceat(np.log10((t["word"] + 1) / (n + types + 1)), at)
+                score = np.add.reduceat(np.log10(t3 * _ratio(t["gram"], t["context"]) + t2 * p), at)
+                known = np.add.reduceat((t["word"] > 0).astype(np.int64), at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_id"], pa.int64()), pa.array(np.array(r["fold"]) == 0), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(at), n, np.int64)), pa.array(base), pa.array(score)],
+                    [pa.array(r["doc_id"], pa.int64()), pa.array(np.array(r["fold"]) == 0), pa.array(np.array(r["n_words"], np.int64) + 1), pa.array(known), pa.array(np.full(len(at), n, np.int64)), pa.array(base), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -227,15 +346,26 @@ def interpolated_scores(docs: DataFrame, *, held_out: Column, em_fold: Column, i
     """
     spark = bounded(docs)
     fold = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(em_fold, F.lit(False)), 2).otherwise(1).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), fold.alias("fold"))
-    parts = pieces(text_bytes(rows), CHUNK_BYTES)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long"))
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    ranges = parts
-    asked = rows.groupBy("part").applyInArrow(_request(ranges), "slot long, part long, keys binary, train binary, fold binary")
-    answered = asked.groupBy("slot").applyInArrow(_reduce(ranges), "part long, slot long, types long, train binary, fold binary")
-    counted = written(rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_look_up, _COUNTED_DDL), "counted")
+    base, inner = renamed(docs.select("*", fold))
+    rows = base.select(F.col(inner[place(docs, id_col)]).cast("long").alias("doc_id"), F.col(inner[place(docs, text_col)]).cast("string").alias("text"), F.col(inner[-1]).alias("fold"))
+    chunks = written(rows.mapInArrow(_chunks(CHUNK_BYTES), _CHUNK_DDL), "chunks")
+    tokens = chunks.agg(F.sum(F.size("doc_id") + F.expr("aggregate(n_words, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    if not tokens:
+        return spark.createDataFrame([], SCORED)
+    ranges = -(-tokens // RANGE_TOKENS)
+    word_ranges = -(-ranges // WORD_RANGES)
+    parts = max(ranges + word_ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = chunks.mapInArrow(_request(ranges, word_ranges), _REQUEST_DDL).repartition(parts, "slot")
+    answered = asked.groupBy("slot").applyInArrow(_reduce(ranges), _ANSWER_DDL)
+    sides = (chunks.repartition(parts, "chunk").groupBy("chunk"), answered.repartition(parts, "chunk").groupBy("chunk"))
+    counted = written(sides[0].cogroup(sides[1]).applyInArrow(_look_up(ranges), _COUNTED_DDL), "counted")
+    forget(chunks)
     n, texts, fold_n, fold_texts, types = (x or 0 for x in counted.agg(*[F.sum(c) for c in ("tokens", "texts", "fold_tokens", "fold_texts", "types")]).first())
-    cells = counted.mapInArrow(_histogram(max(n - fold_n, 1), texts - fold_texts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    lam = em(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), 1 / (types + 1))
-    return counted.mapInArrow(_score(lam, n, types, texts), SCORED)
+
+    def histogram(low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        cells = counted.mapInArrow(_histogram(max(n - fold_n, 1), texts - fold_texts, types, low), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        return cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)
+
+    low = em(*histogram(None), 1 / (types + 1))
+    top = em_top(*histogram(low))
+    return counted.mapInArrow(_score(low, top, n, types, texts), SCORED)
