@@ -251,7 +251,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, chunk: int) -> Iter
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for whole in batches:
-        for b in batches_of(whole, column, chunk):
+        for b in batches_of(whole, column, chunk // 8):
             own = b.column(column).nbytes
             if held and size + own > chunk:
                 yield joined()

@@ -5,11 +5,12 @@ context u v was seen (buckets by powers of two); the bigram model mixes c(v w) /
 words and one unknown class) by weights for each bucket of c(v). Weights are learned by expectation-maximisation on the tokens of
 a held-out fold of the training documents, with that fold's own counts deleted.
 
-Counts and scores cover all documents. Tasks cut the documents where they lie into chunks of bounded size, in which every word is
-a number. A chunk sends each of its distinct n-grams once, with local counts, to the reducer that owns its hash range, and
-gets the corpus counts back in the same order; so a frequent n-gram costs one entry a chunk, and no task
-sees more than a chunk or a hash range. Trigrams travel with their first two words, so a context's count is the sum of its
-trigrams, and bigrams need not be sent for themselves. Only histograms of fixed size reach the driver.
+Counts and scores cover all documents. Tasks cut the documents where they lie into chunks of bounded size. A chunk sends each of
+its distinct n-grams once, with local counts, to the reducer that owns its share of the n-grams, and gets the corpus counts
+back in the same order; so a frequent n-gram costs one entry a chunk, and no task sees more than a chunk or a share. First the
+words, by 64-bit hash; they get numbers, small ones for frequent words, of which contexts and trigrams are then made without
+further hashes. Trigrams travel with their first two words, so a context's count is the sum of its trigrams, and bigrams need not
+be sent for themselves. Only histograms of fixed size reach the driver.
 """
 
 from __future__ import annotations
@@ -27,187 +28,225 @@ from weirflow.llm._shared import bounded, forget, place, renamed, written
 
 #: Text bytes of a chunk, about; a task's arrays take some 30 times as much.
 CHUNK_BYTES = 12 << 20
-#: Tokens of the corpus for each hash range of trigrams, and ranges of trigrams for each one of words.
+#: Tokens of the corpus for each share of the trigrams, and shares of trigrams for each one of the words.
 RANGE_TOKENS, WORD_RANGES = 2_000_000, 8
 BUCKETS = 24  # of the context's count, by powers of two
 FINE, DEPTH = 4, 40  # EM sees log2 probabilities in steps of 1 / FINE, down to -DEPTH
 ROUNDS = 60
-#: Bits of a word's and a context's hash, and of a follower's within its context. With 10 billion different contexts 1 in some 7 million shares its hash with another.
-HASH_BITS, FOLLOWER_BITS = 56, 32
-_CUT = np.uint64(64 - HASH_BITS)
-_END, _START, _PAD = (np.uint64(x) >> _CUT for x in (0x5EED0000E0D00000, 0x5EED0057A2700000, 0x5EED00FADE000000))
+_END = np.uint64(0x5EED0000E0D00000)
+#: Numbers of what stands before and behind each text; words' numbers follow.
+_START, _PAD, _FIRST = 0, 1, 2
+
+
+def _schema(text: str) -> tuple[pa.Schema, str]:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in text.split(", ")]), text
+
+
+_CHUNK, _CHUNK_DDL = _schema("chunk long, doc_id array<long>, fold array<int>, n_words array<long>, vocabulary binary, stream binary")
+_ASKED, _ASKED_DDL = _schema("slot long, chunk long, keys binary, train binary, fold binary")
+_KNOWN, _KNOWN_DDL = _schema("chunk long, slot long, types long, ids binary, train binary, fold binary")
+_NUMBERED, _NUMBERED_DDL = _schema("chunk long, doc_id array<long>, fold array<int>, n_words array<long>, stream binary, ids binary, words_train binary, words_fold binary, types long, tokens long, texts long, fold_tokens long, fold_texts long")
+_REQUEST, _REQUEST_DDL = _schema("slot long, chunk long, keys binary, each binary, followers binary, train binary, fold binary")
+_ANSWER, _ANSWER_DDL = _schema("chunk long, slot long, train binary, fold binary, key_train binary, key_fold binary")
+_COUNTED, _COUNTED_DDL = _schema("doc_id array<long>, fold array<int>, n_words array<long>, stream binary, words_train binary, words_fold binary, grams_train binary, contexts_train binary, grams_fold binary, contexts_fold binary, types long, tokens long, texts long, fold_tokens long, fold_texts long")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    return T.packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    return np.cumsum(T.unpacked(raw, np.uint64), dtype=np.uint64)
 
 
 def _chunks(most: int):
-    """A row for each chunk: words as numbers, the words' hashes, and the documents."""
+    """A row for each chunk: the documents, the hashes of its words, frequent ones first, and the words as places among them."""
 
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.gathered(batches, "text", most):
             w = T.words(*T.strings(b.column("text")))
-            vocabulary, stream = np.unique(w.hashes >> _CUT, return_inverse=True)
-            row = (uuid.uuid4().int >> 65, b.column("doc_id").to_pylist(), b.column("fold").to_pylist(), np.diff(w.offsets), T.packed(np.diff(vocabulary, prepend=np.uint64(0))), T.packed(stream.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK.types, strict=True)], schema=_CHUNK)
+            every, stream, times = np.unique(w.hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            yield _batch([(uuid.uuid4().int >> 65, b.column("doc_id").to_pylist(), b.column("fold").to_pylist(), np.diff(w.offsets), T.packed(every[order]), T.packed(rank[stream]))], _CHUNK)
+
+    return run
+
+
+def _by_hash(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a chunk's words and the end, and their order."""
+    hashes = np.append(T.unpacked(r["vocabulary"], np.uint64), _END)
+    return hashes, np.argsort(hashes, kind="stable")
+
+
+def _ask_words(ranges: int):
+    @T.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            hashes, order = _by_hash(r)
+            fold, n, stream = np.array(r["fold"]), np.array(r["n_words"], np.int64), T.unpacked(r["stream"], np.uint32)
+            of, counts = np.repeat(fold, n), []
+            for least in (1, 2):
+                c = np.bincount(stream[of >= least], minlength=len(hashes)).astype(np.uint32)
+                c[-1] = (fold >= least).sum()
+                counts.append(c[order])
+            keys = hashes[order]
+            slot = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            cuts = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+            yield _batch([(s, r["chunk"], _gaps(keys[a:z]), *(T.packed(c[a:z]) for c in counts)) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a], _ASKED)
+
+    return run
+
+
+def _know_words(ranges: int):
+    """Corpus counts of words, and numbers for them."""
+
+    @T.trimmed
+    def run(t: pa.Table) -> pa.Table:
+        slot, rows = t.column("slot")[0].as_py(), t.to_pylist()
+        keys = [_sums(r["keys"]) for r in rows]
+        every = np.unique(np.concatenate(keys))
+        at = [np.searchsorted(every, k) for k in keys]
+        total = {c: np.zeros(len(every), np.uint32) for c in ("train", "fold")}
+        asked = np.zeros(len(every), np.int64)
+        for i, r in zip(at, rows, strict=True):
+            asked[i] += 1
+            for c, full in total.items():
+                full[i] += T.unpacked(r[c], np.uint32)
+        rank = np.empty(len(every), np.uint64)
+        rank[np.lexsort((-asked, -total["train"].astype(np.int64)))] = np.arange(len(every))
+        ids = rank * np.uint64(ranges) + np.uint64(_FIRST + slot)
+        if len(ids) and int(ids.max()) >= 1 << 32:
+            raise ValueError("more than four thousand million different words")
+        types = int((total["train"] > 0).sum())
+        out = [(r["chunk"], slot, types if k == 0 else 0, T.packed(ids[i].astype(np.uint32)), *(T.packed(full[i]) for full in total.values())) for k, (r, i) in enumerate(zip(rows, at, strict=True))]
+        return pa.Table.from_batches([_batch(out, _KNOWN)])
 
     return run
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("stream", pa.binary())])
-_CHUNK_DDL = "chunk long, doc_id array<long>, fold array<int>, n_words array<long>, vocabulary binary, stream binary"
+@T.trimmed
+def _number(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk with its words' numbers and counts, in the order of their places."""
+    r, answer = left.to_pylist()[0], right.sort_by("slot")
+    _, order = _by_hash(r)
+    fold, n, out = np.array(r["fold"]), np.array(r["n_words"], np.int64), []
+    for c in ("ids", "train", "fold"):
+        own = np.empty(len(order), np.uint32)
+        own[order] = np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)])
+        out.append(T.packed(own))
+    sums = [int(x) for own in (fold > 0, fold == 2) for x in ((n[own] + 1).sum(), own.sum())]
+    return pa.Table.from_batches([_batch([(r["chunk"], r["doc_id"], r["fold"], r["n_words"], r["stream"], *out, sum(answer.column("types").to_pylist()), *sums)], _NUMBERED)])
 
 
 class _Grams:
-    """A chunk's words and trigrams. Each text reads: its words, the end, and a pad, which makes the end's bigram a context too."""
+    """A chunk's contexts and trigrams. Each text reads: its words, the end, and a pad, which makes the end's bigram a context too."""
 
-    def __init__(self, r: dict):
+    def __init__(self, r: dict, ranges: int):
         n, words = np.array(r["n_words"], np.int64), T.unpacked(r["stream"], np.uint32).astype(np.int64)
-        vocabulary = np.cumsum(T.unpacked(r["vocabulary"], np.uint64), dtype=np.uint64)
-        v = len(vocabulary)
+        ids = T.unpacked(r["ids"], np.uint32).astype(np.uint64)
+        v = len(ids) - 1
         end, start, pad, width = v, v + 1, v + 2, v + 3
-        hashes = np.concatenate([vocabulary, [_END, _START, _PAD]])
-        self.n, self.first = n, np.cumsum(n + 2) - (n + 2)
+        ids = np.concatenate([ids, np.array([_START, _PAD], np.uint64)])
+        first = np.cumsum(n + 2) - (n + 2)
         self.fold = np.repeat(np.array(r["fold"], np.int32), n + 2)
         now = np.full(int((n + 2).sum()), end)
-        last = self.first + n + 1
+        last = first + n + 1
         inner = np.ones(len(now), bool)
         inner[last] = inner[last - 1] = False
         now[inner], now[last] = words, pad
+        self.is_token = now != pad
         before = np.concatenate([[start], now[:-1]])
-        before[self.first] = start
-        self.now, self.is_token = now, now != pad
+        before[first] = start
         far = np.concatenate([[start], before[:-1]])
-        far[self.first] = start
-        # contexts in the order of their hashes, trigrams in that of their contexts
+        far[first] = start
         pair, at = np.unique(far * width + before, return_inverse=True)
-        with np.errstate(over="ignore"):
-            key = T.mix(T.mix(hashes[pair // width] + np.uint64(0x2B7C9)) + hashes[pair % width] * np.uint64(3)) >> _CUT
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        del far, before, inner
+        code = ids[pair // width] << np.uint64(32) | ids[pair % width]
+        slot = T.mix(code) % np.uint64(ranges)
+        # contexts in the order of shares and of codes, trigrams in that of their contexts and of their last words' numbers
+        order = np.lexsort((code, slot))
+        rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order))
-        self.contexts, self.context = key[order], rank[at]
-        gram, self.gram = np.unique(self.context * width + now, return_inverse=True)
-        self.of = gram // width
-        self.followers = (T.mix(hashes[gram % width] + np.uint64(0x1F3A5)) >> np.uint64(64 - FOLLOWER_BITS)).astype(np.uint32)
-        # words and the end, by hash
-        self.order = np.argsort(hashes[: v + 1], kind="stable")
-        self.words = hashes[: v + 1][self.order]
-
-    def counts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of words and trigrams in documents of a fold from ``least``."""
-        own = self.fold >= least
-        words = np.bincount(self.now[own & self.is_token], minlength=len(self.order))[self.order]
-        return words.astype(np.uint32), np.bincount(self.gram[own], minlength=len(self.of)).astype(np.uint32)
-
+        self.contexts, self.slots, context = code[order], slot[order], rank[at]
+        self.context = context.astype(np.int64)
+        gram, self.gram = np.unique(context << np.uint64(32) | ids[now], return_inverse=True)
+        self.of, self.followers = (gram >> np.uint64(32)).astype(np.int64), (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-def _slots(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """Hash range, first and last of the sorted keys in it."""
-    slot = ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
-    cuts = np.searchsorted(slot, np.arange(ranges + 1, dtype=np.uint64)).tolist()
-    return [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    def counts(self, least: int) -> np.ndarray:
+        """Of trigrams in documents of a fold from ``least``."""
+        return np.bincount(self.gram[self.fold >= least], minlength=len(self.of)).astype(np.uint32)
 
 
-def _gaps(keys: np.ndarray) -> bytes:
-    return T.packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _request(ranges: int, word_ranges: int):
+def _request(ranges: int):
     @T.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1).to_pylist()[0]
-                g = _Grams(r)
-                (words, grams), (fold_words, fold_grams) = g.counts(1), g.counts(2)
-                none = T.packed(np.zeros(0, np.uint32))
-                out = [(ranges + s, r["chunk"], _gaps(g.words[x:y]), none, none, T.packed(words[x:y]), T.packed(fold_words[x:y])) for s, x, y in _slots(g.words, word_ranges)]
-                each = np.bincount(g.of, minlength=len(g.contexts)).astype(np.uint32)
-                ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-                for s, x, y in _slots(g.contexts, ranges):
+        for r in _rows(batches):
+            g = _Grams(r, ranges)
+            train, fold = g.counts(1), g.counts(2)
+            each = np.bincount(g.of, minlength=len(g.contexts)).astype(np.uint32)
+            ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+            cuts = np.searchsorted(g.slots, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+            out = []
+            for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if y > x:
                     i, j = int(ends[x]), int(ends[y])
-                    out.append((s, r["chunk"], _gaps(g.contexts[x:y]), T.packed(each[x:y]), T.packed(g.followers[i:j]), T.packed(grams[i:j]), T.packed(fold_grams[i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), _REQUEST.types, strict=True)], schema=_REQUEST)
+                    out.append((s, r["chunk"], _gaps(g.contexts[x:y]), T.packed(each[x:y]), T.packed(g.followers[i:j]), T.packed(train[i:j]), T.packed(fold[i:j])))
+            yield _batch(out, _REQUEST)
 
     return run
 
 
-_REQUEST = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("each", pa.binary()), ("followers", pa.binary()), ("train", pa.binary()), ("fold", pa.binary())])
-_REQUEST_DDL = "slot long, chunk long, keys binary, each binary, followers binary, train binary, fold binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("slot", pa.int64()), ("types", pa.int64()), ("train", pa.binary()), ("fold", pa.binary()), ("key_train", pa.binary()), ("key_fold", pa.binary())])
-_ANSWER_DDL = "chunk long, slot long, types long, train binary, fold binary, key_train binary, key_fold binary"
-
-
-def _reduce(ranges: int):
-    @T.trimmed
-    def run(t: pa.Table) -> pa.Table:
-        slot = t.column("slot")[0].as_py()
-        rows = t.select(["keys", "each", "followers", "train", "fold"]).to_pylist()
-        keys = [np.cumsum(T.unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-        every = np.unique(np.concatenate(keys))
-        at = [np.searchsorted(every, k) for k in keys]
-        out: dict[str, list[bytes]] = {f.name: [] for f in list(_ANSWER)[3:]}
-        if slot >= ranges:
-            total = {}
-            for c in ("train", "fold"):
-                full = total[c] = np.zeros(len(every), np.uint32)
-                for i, r in zip(at, rows, strict=True):
-                    full[i] += T.unpacked(r[c], np.uint32)
-                out[f"key_{c}"] = [T.packed(full[i]) for i in at]
-                out[c] = [T.packed(np.zeros(0, np.uint32))] * len(at)
-            types = int((total["train"] > 0).sum())
-        else:
-            bits = np.uint64(FOLLOWER_BITS)
-            codes = [np.repeat(i.astype(np.uint64), T.unpacked(r["each"], np.uint32)) << bits | T.unpacked(r["followers"], np.uint32) for i, r in zip(at, rows, strict=True)]
-            grams, types = np.unique(np.concatenate(codes)), 0
-            spot = [np.searchsorted(grams, c) for c in codes]
-            context = (grams >> bits).astype(np.int64)
-            for c in ("train", "fold"):
-                full = np.zeros(len(grams), np.uint32)
-                for i, r in zip(spot, rows, strict=True):
-                    np.add.at(full, i, T.unpacked(r[c], np.uint32))  # followers of one chunk may share a hash
-                own = np.bincount(context, full, len(every)).astype(np.uint32)
-                out[c], out[f"key_{c}"] = [T.packed(full[i]) for i in spot], [T.packed(own[i]) for i in at]
-        return pa.table([t.column("chunk").combine_chunks(), [slot] * len(at), [types] + [0] * (len(at) - 1), *out.values()], schema=_ANSWER)
-
-    return run
+@T.trimmed
+def _reduce(t: pa.Table) -> pa.Table:
+    slot, rows = t.column("slot")[0].as_py(), t.to_pylist()
+    keys = [_sums(r["keys"]) for r in rows]
+    every = np.unique(np.concatenate(keys))
+    at = [np.searchsorted(every, k) for k in keys]
+    codes = [np.repeat(i.astype(np.uint64), T.unpacked(r["each"], np.uint32)) << np.uint64(32) | T.unpacked(r["followers"], np.uint32) for i, r in zip(at, rows, strict=True)]
+    grams = np.unique(np.concatenate(codes))
+    spot = [np.searchsorted(grams, c) for c in codes]
+    del codes
+    context, out = (grams >> np.uint64(32)).astype(np.int64), {}
+    for c in ("train", "fold"):
+        full = np.zeros(len(grams), np.uint32)
+        for i, r in zip(spot, rows, strict=True):
+            full[i] += T.unpacked(r[c], np.uint32)
+        own = np.bincount(context, full, len(every)).astype(np.uint32)
+        out[c], out[f"key_{c}"] = [T.packed(full[i]) for i in spot], [T.packed(own[i]) for i in at]
+    return pa.Table.from_batches([_batch([(r["chunk"], slot, *(out[f.name][k] for f in list(_ANSWER)[2:])) for k, r in enumerate(rows)], _ANSWER)])
 
 
 def _look_up(ranges: int):
-    """The corpus counts of a chunk's words, contexts and trigrams, as they stand in the texts; those of the EM fold's documents also within the fold."""
+    """The corpus counts of a chunk's contexts and trigrams, as they stand in the texts; those of the EM fold's documents also within the fold."""
 
     @T.trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        r = left.to_pylist()[0]
-        g = _Grams(r)
-        answer = right.sort_by("slot")
-        words = answer.filter(pa.compute.greater_equal(answer.column("slot"), ranges))
-        grams = answer.filter(pa.compute.less(answer.column("slot"), ranges))
-        whole = lambda t, c: np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in t.column(c)])
-        fold, n = np.array(r["fold"], np.int64), g.n
-        inside, token = g.fold == 2, g.is_token
-        out = {"types": sum(words.column("types").to_pylist())}
-        for name, own in (("", fold > 0), ("fold_", fold == 2)):
-            out[f"{name}tokens"], out[f"{name}texts"] = int((n[own] + 1).sum()), int(own.sum())
+        r, answer = left.to_pylist()[0], right.sort_by("slot")
+        g = _Grams(r, ranges)
+        inside = g.fold == 2
         for c in ("train", "fold"):
-            sel = inside if c == "fold" else np.ones(len(inside), bool)
-            by_word = np.empty(len(g.order), np.uint32)
-            by_word[g.order] = whole(words, f"key_{c}")
-            out[f"words_{c}"] = T.packed(by_word)
-            out[f"grams_{c}"] = T.packed(whole(grams, c)[g.gram[sel & token]])
-            out[f"contexts_{c}"] = T.packed(whole(grams, f"key_{c}")[g.context[sel]])
-        row = {**{k: r[k] for k in ("doc_id", "fold", "n_words", "stream")}, **out}
-        return pa.table([pa.array([row[f.name]], f.type) for f in _COUNTED], schema=_COUNTED)
+            own = inside if c == "fold" else np.ones(len(inside), bool)
+            for name, column, where in (("grams", c, g.gram[own & g.is_token]), ("contexts", f"key_{c}", g.context[own])):
+                r[f"{name}_{c}"] = T.packed(np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(column)])[where])
+        return pa.Table.from_batches([_batch([tuple(r[f.name] for f in _COUNTED)], _COUNTED)])
 
     return run
 
 
-_COUNTED = pa.schema(
-    [("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64())), ("stream", pa.binary())]
-    + [(c, pa.int64()) for c in ("types", "tokens", "texts", "fold_tokens", "fold_texts")]
-    + [(f"{x}_{c}", pa.binary()) for c in ("train", "fold") for x in ("words", "grams", "contexts")]
-)
-_COUNTED_DDL = "doc_id array<long>, fold array<int>, n_words array<long>, stream binary, types long, tokens long, texts long, fold_tokens long, fold_texts long, " + ", ".join(f"{x}_{c} binary" for c in ("train", "fold") for x in ("words", "grams", "contexts"))
-
-
 def _terms(r: dict, n: int, texts: int, deleted: bool) -> dict[str, np.ndarray]:
     """For each token (of all documents; if ``deleted`` of the EM fold's, whose own counts are taken off) the counts of its trigram, its context, its bigram, the word before it and itself; and where the texts begin."""
     size = np.array(r["n_words"], np.int64)
@@ -354,12 +393,17 @@ def interpolated_scores(docs: DataFrame, *, held_out: Column, em_fold: Column, i
         return spark.createDataFrame([], SCORED)
     ranges = -(-tokens // RANGE_TOKENS)
     word_ranges = -(-ranges // WORD_RANGES)
-    parts = max(ranges + word_ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = chunks.mapInArrow(_request(ranges, word_ranges), _REQUEST_DDL).repartition(parts, "slot")
-    answered = asked.groupBy("slot").applyInArrow(_reduce(ranges), _ANSWER_DDL)
-    sides = (chunks.repartition(parts, "chunk").groupBy("chunk"), answered.repartition(parts, "chunk").groupBy("chunk"))
-    counted = written(sides[0].cogroup(sides[1]).applyInArrow(_look_up(ranges), _COUNTED_DDL), "counted")
+    parts = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df: DataFrame, by: str):
+        return df.repartition(parts, by).groupBy(by)
+
+    known = dealt(chunks.mapInArrow(_ask_words(word_ranges), _ASKED_DDL), "slot").applyInArrow(_know_words(word_ranges), _KNOWN_DDL)
+    numbered = written(dealt(chunks, "chunk").cogroup(dealt(known, "chunk")).applyInArrow(_number, _NUMBERED_DDL), "numbered")
     forget(chunks)
+    answered = dealt(numbered.mapInArrow(_request(ranges), _REQUEST_DDL), "slot").applyInArrow(_reduce, _ANSWER_DDL)
+    counted = written(dealt(numbered, "chunk").cogroup(dealt(answered, "chunk")).applyInArrow(_look_up(ranges), _COUNTED_DDL), "counted")
+    forget(numbered)
     n, texts, fold_n, fold_texts, types = (x or 0 for x in counted.agg(*[F.sum(c) for c in ("tokens", "texts", "fold_tokens", "fold_texts", "types")]).first())
 
     def histogram(low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
