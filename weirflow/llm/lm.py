@@ -27,9 +27,11 @@ from weirflow.llm import _text as T
 from weirflow.llm._shared import bounded, forget, place, renamed, written
 
 #: Text bytes of a chunk, about; a task's arrays take some 30 times as much.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
 #: Tokens of the corpus for each share of the trigrams, and shares of trigrams for each one of the words.
 RANGE_TOKENS, WORD_RANGES = 2_000_000, 8
+#: Contexts whose second words' numbers differ in these bits only share a reducer; close together their codes take less room.
+NEAR_BITS = 6
 BUCKETS = 24  # of the context's count, by powers of two
 FINE, DEPTH = 4, 40  # EM sees log2 probabilities in steps of 1 / FINE, down to -DEPTH
 ROUNDS = 60
@@ -46,7 +48,7 @@ def _schema(text: str) -> tuple[pa.Schema, str]:
 _CHUNK, _CHUNK_DDL = _schema("chunk long, doc_id array<long>, fold array<int>, n_words array<long>, vocabulary binary, stream binary")
 _ASKED, _ASKED_DDL = _schema("slot long, chunk long, keys binary, train binary, fold binary")
 _KNOWN, _KNOWN_DDL = _schema("chunk long, slot long, types long, ids binary, train binary, fold binary")
-_NUMBERED, _NUMBERED_DDL = _schema("chunk long, doc_id array<long>, fold array<int>, n_words array<long>, stream binary, ids binary, words_train binary, words_fold binary, types long, tokens long, texts long, fold_tokens long, fold_texts long")
+_NUMBERED, _NUMBERED_DDL = _schema("chunk long, ids binary, words_train binary, words_fold binary, types long, tokens long, texts long, fold_tokens long, fold_texts long")
 _REQUEST, _REQUEST_DDL = _schema("slot long, chunk long, keys binary, each binary, followers binary, train binary, fold binary")
 _ANSWER, _ANSWER_DDL = _schema("chunk long, slot long, train binary, fold binary, key_train binary, key_fold binary")
 _COUNTED, _COUNTED_DDL = _schema("doc_id array<long>, fold array<int>, n_words array<long>, stream binary, words_train binary, words_fold binary, grams_train binary, contexts_train binary, grams_fold binary, contexts_fold binary, types long, tokens long, texts long, fold_tokens long, fold_texts long")
@@ -140,7 +142,7 @@ def _know_words(ranges: int):
 
 @T.trimmed
 def _number(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk with its words' numbers and counts, in the order of their places."""
+    """The numbers and counts of a chunk's words, in the order of their places."""
     r, answer = left.to_pylist()[0], right.sort_by("slot")
     _, order = _by_hash(r)
     fold, n, out = np.array(r["fold"]), np.array(r["n_words"], np.int64), []
@@ -149,7 +151,7 @@ def _number(left: pa.Table, right: pa.Table) -> pa.Table:
         own[order] = np.concatenate([T.unpacked(x.as_py(), np.uint32) for x in answer.column(c)])
         out.append(T.packed(own))
     sums = [int(x) for own in (fold > 0, fold == 2) for x in ((n[own] + 1).sum(), own.sum())]
-    return pa.Table.from_batches([_batch([(r["chunk"], r["doc_id"], r["fold"], r["n_words"], r["stream"], *out, sum(answer.column("types").to_pylist()), *sums)], _NUMBERED)])
+    return pa.Table.from_batches([_batch([(r["chunk"], *out, sum(answer.column("types").to_pylist()), *sums)], _NUMBERED)])
 
 
 class _Grams:
@@ -176,14 +178,18 @@ class _Grams:
         pair, at = np.unique(far * width + before, return_inverse=True)
         del far, before, inner
         code = ids[pair // width] << np.uint64(32) | ids[pair % width]
-        slot = T.mix(code) % np.uint64(ranges)
+        del pair
+        slot = T.mix(code >> np.uint64(NEAR_BITS)) % np.uint64(ranges)
         # contexts in the order of shares and of codes, trigrams in that of their contexts and of their last words' numbers
         order = np.lexsort((code, slot))
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order))
         self.contexts, self.slots, context = code[order], slot[order], rank[at]
-        self.context = context.astype(np.int64)
+        del code, slot, order, rank, at
+        self.context = context.astype(np.int32)
         gram, self.gram = np.unique(context << np.uint64(32) | ids[now], return_inverse=True)
+        del context, now
+        self.gram = self.gram.astype(np.int32)
         self.of, self.followers = (gram >> np.uint64(32)).astype(np.int64), (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
     def counts(self, least: int) -> np.ndarray:
@@ -399,11 +405,13 @@ def interpolated_scores(docs: DataFrame, *, held_out: Column, em_fold: Column, i
         return df.repartition(parts, by).groupBy(by)
 
     known = dealt(chunks.mapInArrow(_ask_words(word_ranges), _ASKED_DDL), "slot").applyInArrow(_know_words(word_ranges), _KNOWN_DDL)
-    numbered = written(dealt(chunks, "chunk").cogroup(dealt(known, "chunk")).applyInArrow(_number, _NUMBERED_DDL), "numbered")
-    forget(chunks)
-    answered = dealt(numbered.mapInArrow(_request(ranges), _REQUEST_DDL), "slot").applyInArrow(_reduce, _ANSWER_DDL)
-    counted = written(dealt(numbered, "chunk").cogroup(dealt(answered, "chunk")).applyInArrow(_look_up(ranges), _COUNTED_DDL), "counted")
-    forget(numbered)
+    of_words = chunks.select("chunk", "fold", "n_words", "vocabulary")
+    numbered = written(dealt(of_words, "chunk").cogroup(dealt(known, "chunk")).applyInArrow(_number, _NUMBERED_DDL), "numbered")
+    # the streams are dealt once: for the requests and for the answers
+    full = chunks.drop("vocabulary").repartition(parts, "chunk").join(numbered.repartition(parts, "chunk").hint("shuffle_hash"), "chunk")
+    answered = dealt(full.mapInArrow(_request(ranges), _REQUEST_DDL), "slot").applyInArrow(_reduce, _ANSWER_DDL)
+    counted = written(full.groupBy("chunk").cogroup(dealt(answered, "chunk")).applyInArrow(_look_up(ranges), _COUNTED_DDL), "counted")
+    forget(chunks, numbered)
     n, texts, fold_n, fold_texts, types = (x or 0 for x in counted.agg(*[F.sum(c) for c in ("tokens", "texts", "fold_tokens", "fold_texts", "types")]).first())
 
     def histogram(low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
