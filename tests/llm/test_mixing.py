@@ -25,8 +25,9 @@ def expected(sizes, weights, cap=3):
 def check(df, got, near):
     rows = got.collect()
     assert len(rows) == df.count() and got.columns[: len(df.columns)] == df.columns
-    sizes, taken = defaultdict(int), defaultdict(int)
+    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in rows:
+        largest[r.source] = max(largest[r.source], r["__wf_size"])
         assert r["__wf_size"] == len(words(r.text)) and 0 <= r["__wf_copies"] <= 3
         sizes[r.source] += r["__wf_size"]
         taken[r.source] += r["__wf_size"] * r["__wf_copies"]
@@ -35,16 +36,17 @@ def check(df, got, near):
     for r in rows:
         assert r["__wf_source_size"] == sizes[r.source] and r["__wf_target"] == pytest.approx(want[r.source], rel=1e-9, abs=1e-9)
     for n in names:
-        assert abs(taken[n] - want[n]) <= near * max(want[n], 1), n
+        # in the order of sizes one document may fall on either side of each mark
+        assert abs(taken[n] - want[n]) <= largest[n] + near * want[n], n
     return sorted((repr(r.doc_id), r["__wf_copies"]) for r in rows)
 
 
 def test_targets_and_draws(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    a = check(df, mixing.plan_mix(df), 0.05)
-    assert a == check(df, mixing.plan_mix(df.repartition(5)), 0.05)
+    a = check(df, mixing.plan_mix(df), 0.02)
+    assert a == check(df, mixing.plan_mix(df.repartition(5)), 0.02)
     monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
-    assert a == check(df, mixing.plan_mix(df), 0.05)
+    assert a == check(df, mixing.plan_mix(df), 0.02)
 
 
 def test_emitted_rows_are_the_copies(docs):
@@ -61,13 +63,25 @@ def test_bernoulli_rate(spark):
     df = spark.createDataFrame([(i, "w " * 10, s) for i in range(6000) for s in "ab" if i % 2 == (s == "b")], "doc_id long, text string, source string")
     rows = mixing.plan_mix(df).groupBy("source", "__wf_copies").count().collect()
     n = {(r.source, r["__wf_copies"]): r["count"] for r in rows}
-    # 3000 documents each; targets 5/7 and 2/7 of 60000 words: rates 1.4286 and 0.5714
+    # 3000 documents each; targets 5/7 and 2/7 of 60000 words: rates 1.4286 and 0.5714; five standard deviations of a draw for each
     assert set(n) == {("a", 1), ("a", 2), ("b", 0), ("b", 1)}
-    assert abs(n["a", 2] - 3000 * 3 / 7) < 10 and abs(n["b", 1] - 3000 * 4 / 7) < 10
+    assert abs(n["a", 2] - 3000 * 3 / 7) < 136 and abs(n["b", 1] - 3000 * 4 / 7) < 136
+
+
+def test_every_document_has_the_fraction_as_its_probability(spark):
+    # 200 sources of the same sizes, each with a shift of its own; weights 1 and 3 make rates 0.5 and 1.5
+    rows = [(k * 100 + i, "w " * (1 + i * i % 40 + (900 if i == 7 else 0)), f"{'ab'[k % 2]}{k}") for k in range(400) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([(f"{'ab'[k % 2]}{k}", 1 + 2 * (k % 2)) for k in range(400)], "source string, weight int")
+    found = mixing.plan_mix(df, weights=weights).groupBy(F.substring("source", 1, 1).alias("s"), (F.col("doc_id") % 100).alias("i")).agg(F.avg("__wf_copies").alias("mean"), F.min("__wf_copies").alias("lo")).collect()
+    assert len(found) == 60
+    for r in found:
+        want = 0.5 if r.s == "a" else 1.5
+        assert abs(r["mean"] - want) < 5 * 0.5 / 200**0.5 and r.lo == int(want)
 
 
 def test_edge_cases(odd, none):
-    check(odd, mixing.plan_mix(odd), 10)
+    check(odd, mixing.plan_mix(odd), 0)
     assert mixing.mix(none).count() == 0 and mixing.plan_mix(none).count() == 0
 
 
@@ -87,3 +101,11 @@ def test_main_path_is_native(docs):
 def test_word_count(spark):
     df = spark.createDataFrame([(t,) for t in ("", " a\tb\x0bc\r\n", "a b c", None, "x")], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [0, 3, 2, 0, 1]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5, "x", "y", 7), (2, "c", "t", 6, "x", "y", 8)], "doc_id long, text string, source string, `__wf_size` int, `__wf_id` string, `a.b` string, size long")
+    out = mixing.plan_mix(df)
+    assert out.columns == ["doc_id", "text", "source", "__wf_size_", "__wf_id", "a.b", "size", *mixing.PLANNED]
+    assert sorted((r["__wf_size_"], r["__wf_size"]) for r in out.collect()) == [(5, 2), (6, 1)]
+    assert mixing.mix(df).columns == df.columns and set(map(tuple, mixing.mix(df).collect())) <= set(map(tuple, df.collect()))

@@ -2,9 +2,13 @@
 
 Sizes are summed by source; targets follow the weights, with a cap on the repetition of any source; the rate
 of a source is its target over its size. Each document is emitted floor(rate) times plus one more time with
-probability equal to the fraction, decided by a hash of seed and id. Of ``DRAWS`` seeds each source takes the
-one whose draw comes nearest to its target, so few or very long documents do not pull it away. DataFrame
-functions only.
+probability equal to the fraction, decided by one hash-seeded draw.
+
+The draw is systematic, so that sources of few or uneven documents come near their targets too, while each document's
+probability stays exactly the fraction: a source's documents stand in the order of their sizes on a line, one unit each, those of
+equal size at hashed places of their common stretch; the line, shifted by a hash of seed and source, is marked over the fraction
+of every 1 / fraction units, and what a mark hits is copied. The places follow from counts by source and size, where sizes from 256
+on stand by their eight leading bits, so a source has some three thousand of them at most. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm._shared import written
+from weirflow.llm._shared import apart, place, renamed, written
 
-#: Rows of the per-source table (some 100 bytes each) up to which it is broadcast; beyond, documents are salted.
+#: Rows of the table by source and size (some 60 bytes each) up to which it is broadcast; beyond, documents are salted.
 MOST_SOURCES = 200_000
 SALTS = 64
-DRAWS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,52 +54,73 @@ def targets(sizes: DataFrame, max_repeat: int) -> DataFrame:
     )
 
 
-def plan_mix(docs: DataFrame, *, weights: DataFrame | None = None, cycle: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents with ``__wf_size`` (words), ``__wf_source_size``, ``__wf_target`` and ``__wf_copies`` (times the mix takes the document).
+#: Columns that ``plan_mix`` adds.
+PLANNED = ("__wf_size", "__wf_source_size", "__wf_target", "__wf_copies")
 
-    ``weights`` has source and weight (positive; a source without a row is not taken); by default the sources by code point,
-    null last, weigh the numbers of ``cycle`` in turn. All targets sum to all sizes. A null source is a source; null and empty
-    texts have size 0; a source of size 0 has target 0 and is not taken. Rows that repeat an id share its draw, so do rows
-    with a null id. Other columns stay, whatever their names. An empty table gives an empty result.
-    """
-    rows = docs.withColumns({"__wf_size": word_count(F.col(f"`{text_col}`").cast("string")), "__wf_source": F.col(f"`{source_col}`").cast("string"), "__wf_id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))})
-    small = written(rows.select("__wf_id", "__wf_source", "__wf_size"), "sizes")
-    sums = small.groupBy(F.col("__wf_source").alias("source")).agg(F.sum("__wf_size").alias("size"))
+
+def _unit(*parts: Column) -> Column:
+    """A number from 0 to 1 from the hash of texts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def _leading(size: Column) -> Column:
+    """A size with all but its eight leading bits zero."""
+    return F.call_function("shiftleft", F.call_function("shiftright", size, F.greatest(F.length(F.bin(size)) - 8, F.lit(0))), F.greatest(F.length(F.bin(size)) - 8, F.lit(0)))
+
+
+def _planned(docs: DataFrame, *, weights: DataFrame | None = None, cycle: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The documents with columns c0, c1, ... by place, size, source_size, target and copies."""
+    base, inner = renamed(docs)
+    own = lambda name: F.col(inner[place(docs, name)])
+    size = F.coalesce(own(size_col).cast("long"), F.lit(0)) if size_col else word_count(own(text_col).cast("string"))
+    rows = base.select(*inner, size.alias("size"), own(source_col).cast("string").alias("source"), F.coalesce(own(id_col).cast("string"), F.lit("null")).alias("key"))
+    rows = rows.withColumn("class", _leading(F.col("size")))
+    sizes = written(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "sizes")
+    sums = sizes.groupBy("source").agg(F.sum("words").alias("size"))
     if weights is None:
         turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
         sums = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (turn % len(cycle) + 1).cast("int")))
     else:
-        sums = sums.join(weights.select(F.col("source").alias("__wf_w"), F.col("weight")), F.col("source").eqNullSafe(F.col("__wf_w"))).drop("__wf_w")
-    table = written(targets(sums, max_repeat), "targets").select(F.col("source").alias("__wf_s"), F.col("size").alias("__wf_source_size"), F.col("target").alias("__wf_target"))
-    few = table.count() <= MOST_SOURCES
-    rate = F.when(F.col("__wf_source_size") > 0, F.col("__wf_target") / F.col("__wf_source_size")).otherwise(0.0)
-
-    def copies(k: Column) -> Column:
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), F.col("__wf_id")).cast("binary"))
-        draw = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48)
-        extra = F.when(rate > F.floor(rate), F.when(draw < rate - F.floor(rate), 1).otherwise(0)).otherwise(0)
-        return F.least(F.floor(rate) + extra, F.lit(max_repeat)).cast("int")
+        sums = sums.join(weights.select(F.col("source").alias("w"), F.col("weight")), F.col("source").eqNullSafe(F.col("w"))).drop("w")
+    each = targets(sums, max_repeat).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = sizes.select("source", "class", "n", before.alias("before")).join(each, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    shift = _unit(F.lit(str(seed)), F.coalesce("source", F.lit("null")))
+    table = written(table.select(F.col("source").alias("t_source"), F.col("class").alias("t_class"), "n", "before", "source_size", "target", shift.alias("shift")), "plan")
+    found = _with_source(rows, table, table.count() <= MOST_SOURCES)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    part = rate - F.floor(rate)
+    at = F.col("shift") + part * (F.col("before") + F.col("n") * _unit(F.lit(str(seed)), F.lit("document"), F.col("key")))
+    extra = F.when((part > 0) & (at - F.floor(at) < part), 1).otherwise(0)
+    copies = F.coalesce(F.least(F.floor(rate) + extra, F.lit(max_repeat)).cast("int"), F.lit(0))
+    return found.select(*inner, "size", "source_size", "target", copies.alias("copies")), inner
+
+
+def plan_mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents with ``__wf_size`` (words), ``__wf_source_size``, ``__wf_target`` and ``__wf_copies`` (times the mix takes the document).
 
-    tried = _with_source(small, table, few).groupBy("__wf_source").agg(F.first("__wf_target").alias("t"), *[F.sum(F.col("__wf_size") * copies(F.lit(k))).alias(f"d{k}") for k in range(DRAWS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("t")).alias("far"), F.lit(k).alias("k")) for k in range(DRAWS)]))["k"]
-    chosen = written(tried.select(F.col("__wf_source").alias("__wf_t"), best.alias("__wf_k")), "seeds")
-    table = written(table.join(chosen, F.col("__wf_s").eqNullSafe(F.col("__wf_t"))).drop("__wf_t"), "plan")
-    found = _with_source(rows, table, few)
-    return found.withColumn("__wf_copies", F.coalesce(copies(F.col("__wf_k")), F.lit(0))).drop("__wf_source", "__wf_id", "__wf_k")
+    ``weights`` has source and weight (positive; a source without a row is not taken); by default the sources by code point,
+    null last, weigh the numbers of ``cycle`` in turn. All targets sum to all sizes. A null source is a source; null and empty
+    texts have size 0; a source of size 0 has target 0 and is not taken. ``size_col`` names sizes that are known already. Rows of
+    one size and source that repeat an id share its draw, so do rows with a null id. Other columns stay; one that has the name
+    of an added column gets an underscore behind its own. An empty table gives an empty result.
+    """
+    found, inner = _planned(docs, **options)
+    return found.toDF(*apart(docs.columns, PLANNED), *PLANNED)
 
 
 def _with_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
-    """Joins the per-source table: broadcast if it was counted to be small, else with both sides salted, so that a hot source spreads."""
-    same = F.col("__wf_source").eqNullSafe(F.col("__wf_s"))
+    """Joins the table by source and size: broadcast if it was counted to be small, else with both sides salted, so that a hot source spreads."""
+    same = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("class") == F.col("t_class"))
     if few:
-        return rows.join(F.broadcast(table), same, "left").drop("__wf_s")
-    table = table.withColumn("__wf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__wf_salt0", F.pmod(F.xxhash64("__wf_id", "__wf_size"), F.lit(SALTS)).cast("int"))
-    return rows.join(table, same & (F.col("__wf_salt0") == F.col("__wf_salt")), "left").drop("__wf_salt", "__wf_salt0", "__wf_s")
+        return rows.join(F.broadcast(table), same, "left")
+    table = table.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return rows.join(table, same & (F.col("salt") == F.col("t_salt")), "left")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each repeated as often as ``plan_mix`` says, with the columns of ``docs``."""
-    planned = plan_mix(docs, **options)
-    repeated = planned.withColumn("__wf_copy", F.explode(F.when(F.col("__wf_copies") > 0, F.sequence(F.lit(1), F.col("__wf_copies"))).otherwise(F.array().cast("array<int>"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    planned, inner = _planned(docs, **options)
+    times = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")))
+    return planned.withColumn("copy", times).select(*inner).toDF(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import ann, chat, decontam, dedup, langid, licenses, lm, mixing, pii, tokens
-from weirflow.llm._shared import id_crc32
+from weirflow.llm._shared import id_crc32, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,9 @@ def tokenizer_file() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    p = mixing.plan_mix(docs, cycle=(5, 2, 1), max_repeat=3)
-    return p.select("doc_id", F.col("__wf_size").alias("size"), F.col("__wf_source_size").alias("source_size"), F.col("__wf_target").alias("target"), (F.col("__wf_size") * F.col("__wf_copies")).cast("long").alias("taken"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    p = mixing.plan_mix(written(docs, "counted"), cycle=(5, 2, 1), max_repeat=3, size_col="size")  # texts are read once
+    return p.select("doc_id", "size", F.col("__wf_source_size").alias("source_size"), F.col("__wf_target").alias("target"), (F.col("__wf_size") * F.col("__wf_copies")).cast("long").alias("taken"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.report(decontam.contamination(docs, _table(spark, sf_dir, "benchmark"), size=8), least_items=2).drop("text")
+    return decontam.report(docs, _table(spark, sf_dir, "benchmark"), size=8, least_items=2).drop("text")
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_nearest, op4_lm_scores, op5_licences, op6_chat, op7_language, op8_near_duplicates, op9_personal_data, op10_contamination)}
@@ -77,7 +77,8 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 SQL = {
     "op1_mixing": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        WITH w AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        d AS (SELECT *, (size >> greatest(length(bin(size)) - 8, 0)::BIGINT) << greatest(length(bin(size)) - 8, 0)::BIGINT AS class FROM w),
         s AS (SELECT source, sum(size)::BIGINT AS size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
         b AS (SELECT *, sum(size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
             coalesce(sum(3 * size) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
@@ -85,12 +86,14 @@ SQL = {
         l AS (SELECT *, (all_size - cap_before)::DOUBLE / (all_weight - weight_before)::DOUBLE AS level FROM b),
         c AS (SELECT *, (3 * size)::DOUBLE <= level * weight AS capped FROM l),
         t AS (SELECT source, size AS source_size, CASE WHEN capped THEN (3 * size)::DOUBLE ELSE (SELECT arg_min(level, weight_before) FROM c WHERE NOT capped) * weight END AS target FROM c),
-        r AS (SELECT d.doc_id, d.size, t.*, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        k AS (SELECT r.*, u.k, least(floor(rate) + CASE WHEN ('0x' || substr(md5('17:' || u.k || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END, 3)::BIGINT AS copies
-            FROM r, (SELECT unnest(range(32)) AS k) u),
-        f AS (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS far FROM k GROUP BY source, k),
-        p AS (SELECT source, k FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, k) = 1)
-        SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM k JOIN p ON k.k = p.k AND k.source IS NOT DISTINCT FROM p.source""",
+        n AS (SELECT source, class, count(*) AS n FROM d GROUP BY ALL),
+        z AS (SELECT source, class, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, z.n, z.before, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+            ('0x' || substr(md5('17:' || coalesce(d.source, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS shift,
+            ('0x' || substr(md5('17:document:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN z ON d.source IS NOT DISTINCT FROM z.source AND d.class = z.class),
+        a AS (SELECT *, rate - floor(rate) AS part, shift + (rate - floor(rate)) * (before::DOUBLE + n::DOUBLE * u) AS place FROM r)
+        SELECT doc_id, size, source_size, target, (size * least(floor(rate) + CASE WHEN part > 0 AND place - floor(place) < part THEN 1 ELSE 0 END, 3))::BIGINT AS taken FROM a""",
     "op6_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
