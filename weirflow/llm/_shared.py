@@ -55,7 +55,7 @@ CHUNK_BYTES = 16 << 20
 
 
 #: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(df: DataFrame) -> SparkSession:

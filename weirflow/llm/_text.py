@@ -29,11 +29,17 @@ def give_back() -> None:
         pass
 
 
+def plain_memory() -> None:
+    """Arrow's buffers come from the C library: its own pools keep what batches once needed, in every worker."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def trimmed(run: Callable) -> Callable:
     """A task function that gives freed memory back at its end; the number of its arguments stays, as Spark looks at it."""
     if inspect.isgeneratorfunction(run):
 
         def stream(batches):
+            plain_memory()
             try:
                 yield from run(batches)
             finally:
@@ -42,11 +48,13 @@ def trimmed(run: Callable) -> Callable:
         return stream
 
     def one(table):
+        plain_memory()
         out = run(table)
         give_back()
         return out
 
     def two(left, right):
+        plain_memory()
         out = run(left, right)
         give_back()
         return out

@@ -34,7 +34,7 @@ LEAST = 2
 #: Bytes of all languages' models up to which they are broadcast, and of tables that a worker keeps.
 MOST_BYTES, MOST_KEPT = 64 << 20, 384 << 20
 #: Text bytes that are scored at once.
-BATCH = 4 << 20
+BATCH = 2 << 20
 _LETTER = regex.compile(r"\p{L}")
 UND = "und"
 

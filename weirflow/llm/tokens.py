@@ -31,7 +31,7 @@ LENGTH, BATCH = 2048, 64
 #: Text bytes of a shard, about.
 SHARD_BYTES = 64 << 20
 #: Words whose ids and bytes a worker remembers, at some 70 bytes each; then it starts afresh.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 #: Texts are encoded word by word: cuts lie between a character that is no white space and a space or line feed, over which no
 #: pre-token of a byte-level BPE reaches. UTF-8 of white space (and of what some engines take for it), by bytes.
 _BLANK = np.zeros(256, bool)
@@ -196,7 +196,7 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int, per_batch: int
 
         sinks = []
         for b in batches:
-            for part in T.batches_of(b, "text", 2 << 20):
+            for part in T.batches_of(b, "text", 1 << 20):
                 if out is None:
                     sinks = [fs.open_output_stream(f"{base}/{shard}.arrow"), fs.open_output_stream(f"{base}/{shard}.docs.arrow")]
                     out, index = pa.ipc.new_file(sinks[0], schema), pa.ipc.new_file(sinks[1], _INDEX)
