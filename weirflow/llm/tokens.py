@@ -30,21 +30,26 @@ from weirflow.llm._shared import bounded, filesystem, new_path, picked, pieces,
 LENGTH, BATCH = 2048, 64
 #: Text bytes of a shard, about.
 SHARD_BYTES = 64 << 20
-#: Words whose ids and bytes a worker remembers, at some 70 bytes each; then it starts afresh.
-MOST_WORDS = 500_000
+#: Words whose ids and bytes a worker remembers, at some 50 bytes each; then it starts afresh.
+MOST_WORDS = 600_000
 #: Texts are encoded word by word: cuts lie between a character that is no white space and a space or line feed, over which no
-#: pre-token of a byte-level BPE reaches. UTF-8 of white space (and of what some engines take for it), by bytes.
+#: pre-token of a byte-level BPE reaches, and between a letter and a mark. UTF-8 of white space (and of what some engines take for it), by bytes.
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
 _BLANK_TWO = [0xC285, 0xC2A0]
 _BLANK_THREE = [0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+#: A mark behind a letter starts a pre-token as well; not the apostrophe (contractions), nor what could begin an added token.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in "!,.:;?)]"]] = True
 _PART = 4 << 20
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """Where a space or line feed follows a character that is no white space; never in the first four bytes, whose past is unknown."""
+    """Where a space or line feed follows a character that is no white space, or a mark a letter; never in the first four bytes, whose past is unknown."""
     blank = _BLANK[data]
     out = np.zeros(len(data), bool)
     at = np.flatnonzero(_LEAD[data[:-2]]) if len(data) > 2 else np.zeros(0, np.int64)
@@ -52,7 +57,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
         two = data[at].astype(np.int64) << 8 | data[at + 1]
         blank[at[np.isin(two, _BLANK_TWO)] + 1] = True
         blank[at[np.isin(two << 8 | data[at + 2], _BLANK_THREE)] + 2] = True
-    out[1:] = ((data[1:] == 32) | (data[1:] == 10)) & ~blank[:-1]
+    out[1:] = ((data[1:] == 32) | (data[1:] == 10)) & ~blank[:-1] | _MARK[data[1:]] & _LETTER[data[:-1]]
     out[:4] = False
     return out
 
@@ -76,12 +81,13 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        pre = self.lib.pre_tokenizer and getattr(self.lib.pre_tokenizer, "add_prefix_space", None)
-        self.by_word = pre is False and self.lib.normalizer is None
+        pre = self.lib.pre_tokenizer
+        added = "".join(t.content for t in self.lib.get_added_tokens_decoder().values())
+        self.by_word = getattr(pre, "add_prefix_space", None) is False and getattr(pre, "use_regex", None) is True and self.lib.normalizer is None and not set(added) & set(" \n!,.:;?)]")
         self._forget()
 
     def _forget(self) -> None:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         self.known, self.place, self.size, self.flat = np.zeros(0, np.uint64), none, none, np.zeros(0, self.dtype)
         self.letters, self.start, self.stop = np.zeros(0, np.uint8), none, none
 
@@ -138,15 +144,15 @@ class Encoder:
             own = first[new]
             letters, n = _gathered(data, s[own], e[own]), e[own] - s[own]
             ids, sizes = self._library([data[a:b].tobytes().decode() for a, b in zip(s[own].tolist(), e[own].tolist(), strict=True)])
-            keys, place = np.concatenate([self.known, every[new]]), np.concatenate([self.place, len(self.flat) + np.cumsum(sizes) - sizes])
+            keys, place = np.concatenate([self.known, every[new]]), np.concatenate([self.place, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
             order = np.argsort(keys, kind="stable")
-            self.known, self.place, self.size, self.flat = keys[order], place[order], np.concatenate([self.size, sizes])[order], np.concatenate([self.flat, ids])
+            self.known, self.place, self.size, self.flat = keys[order], place[order], np.concatenate([self.size, sizes.astype(np.int32)])[order], np.concatenate([self.flat, ids])
             stop = len(self.letters) + np.cumsum(n)
-            self.start, self.stop, self.letters = np.concatenate([self.start, stop - n])[order], np.concatenate([self.stop, stop])[order], np.concatenate([self.letters, letters])
+            self.start, self.stop, self.letters = np.concatenate([self.start, (stop - n).astype(np.int32)])[order], np.concatenate([self.stop, stop.astype(np.int32)])[order], np.concatenate([self.letters, letters])
             at = np.searchsorted(self.known, every)
         if not T.same_spans(data, s, e, self.letters, self.start[at][back], self.stop[at][back]).all():
             return self._whole(data, offsets)
-        size = self.size[at][back]
+        size = self.size[at][back].astype(np.int64)
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.place[at][back] - (end - size), size) + np.arange(end[-1])]
         before = np.concatenate([[0], end])[np.searchsorted(s, offsets, "left")]
