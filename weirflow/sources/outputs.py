@@ -12,6 +12,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -35,6 +36,8 @@ from weirflow.sources.counters import Counters
 HIDDEN = "_weirflow"
 #: Files of one base that a commit moves at once.
 MOVERS = 16
+#: Seconds before each time that a failed transaction's files are deleted.
+PAUSES = (0, 0.3, 0.7, 1.5)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -265,11 +268,14 @@ def commit(prepared: Sequence[Prepared], ctx: RunContext, transaction: str) -> N
 
 
 def abort(bases: Iterable[str], transaction: str) -> None:
-    """Takes back all that the transaction has written aside, that of failed outputs too."""
-    for base in set(bases):
-        fs, folder = filesystem(f"{base}/{HIDDEN}/{transaction}")
-        if fs.get_file_info(folder).type == pafs.FileType.Directory:
-            fs.delete_dir(folder)
+    """Takes back all that the transaction has written aside, that of failed outputs too; tasks of a failed job may still be writing for a moment."""
+    bases = set(bases)
+    for pause in PAUSES:
+        time.sleep(pause)
+        for base in bases:
+            fs, folder = filesystem(f"{base}/{HIDDEN}/{transaction}")
+            if fs.get_file_info(folder).type == pafs.FileType.Directory:
+                fs.delete_dir(folder)
 
 
 def recover(base: str) -> list[str]:
