@@ -154,3 +154,51 @@ def test_streamed_cogroup_reads_long_groups_once(spark):
     assert sorted(map(tuple, out.collect())) == [("x", 199_998, 100_000), ("y", 199_999, 100_000), ("z", None, 0)]
     flipped = cogroup_stream([(b, GroupKey.of("=k", "-id")), (a, GroupKey.of("k"))], lambda x, y: run(y, x), {"o": Model.of("v STRING, first BIGINT, n BIGINT")}, streamed=0)["o"]
     assert sorted(map(tuple, flipped.collect())) == sorted(map(tuple, out.collect()))
+
+
+_NAN = float("nan")
+_MS = [(k, a, v) for k in (1, None) for a, v in [(-0.0, 5), (0.0, 4), (1.5, 9), (2.5, 1), (2.5, 0), (7.0, -3), (_NAN, -9), (None, -99)]]
+_TS = [(k, b) for k in (1, None, 3) for b in (-1.0, 0.0, -0.0, 1.5, 2.0, 2.5, 9.0, _NAN, None)]
+_COMPARED = {
+    "<=": (lambda m, t: m["a"] <= t["b"], lambda a, b: a <= b),
+    "<": (lambda m, t: t["b"] > m["a"], lambda a, b: a < b),
+    ">=": (lambda m, t: (m["a"] >= t["b"]) & (m["v"] < 5) & (t["b"] != 1.5), lambda a, b: a >= b),
+    ">": (lambda m, t: t["b"] < m["a"], lambda a, b: a > b),
+    "none": (lambda m, t: (m["v"] < 5) & (t["b"] != 1.5), lambda a, b: True),
+}
+
+
+def _one_comparison(spark, how, ranked):
+    m, t = spark.createDataFrame(_MS, "k INT, a DOUBLE, v INT"), spark.createDataFrame([(i, k, b) for i, (k, b) in enumerate(_TS)], "i INT, k BIGINT, b DOUBLE")
+    cond, says = _COMPARED[how]
+    both = master_join(m, t, "k", {"i": ("tx", "i"), "v": ("master", "v")}, select=Selection(cond=cond, order=lambda m, t: [-m["v"]], ranked=ranked))
+    high = lambda x: (x != x, 0 if x != x else x)
+    want = {}
+    for i, (k, b) in enumerate(_TS):
+        own = how in (">=", "none")
+        if b is None or own and b == 1.5:
+            continue
+        met = [v for mk, a, v in _MS if mk == k and (how == "none" or a is not None and says(high(a), high(b))) and not (own and v >= 5)]
+        if met:
+            want[i] = max(met)
+    return both, want
+
+
+@pytest.mark.parametrize("how", _COMPARED)
+def test_ranked_selection_by_one_comparison_makes_no_pairs(spark, how):
+    both, want = _one_comparison(spark, how, True)
+    assert {r.i: r.v for r in both.joined.collect()} == want
+    assert sorted(r.i for r in both.missed.collect()) == [i for i in range(len(_TS)) if i not in want]
+    plan = both.joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and (how == "none" or "Join" not in plan)
+
+
+@pytest.mark.parametrize("ranked", [False, True])
+def test_selection_of_another_form_tries_every_pair(spark, ranked):
+    m, t = spark.createDataFrame(_MS, "k INT, a DOUBLE, v INT"), spark.createDataFrame([(i, 1 if i % 2 else None) for i in range(12)], "i INT, k INT")
+    forms = [(lambda m, t: (m["v"] + t["i"]) % 3 == 0, lambda m, t: [-m["v"]]), (lambda m, t: (m["v"] < t["i"]) & (m["v"] > t["i"] - 7), lambda m, t: [-m["v"]]), (lambda m, t: m["v"] <= t["i"], lambda m, t: [F.abs(m["v"] + t["i"]), m["v"]])]
+    says = [(lambda v, i: (v + i) % 3 == 0, lambda v, i: -v), (lambda v, i: i - 7 < v < i, lambda v, i: -v), (lambda v, i: v <= i, lambda v, i: (abs(v + i), v))]
+    for (cond, order), (met, rank) in zip(forms, says, strict=True):
+        got = master_join(m, t, "k", {"i": ("tx", "i"), "v": ("master", "v")}, select=Selection(cond=cond, order=order, ranked=ranked)).joined
+        want = {i: min(able, key=lambda v, i=i: rank(v, i)) for i in range(12) if (able := [v for k, _, v in _MS if k == (1 if i % 2 else None) and met(v, i)])}
+        assert {r.i: r.v for r in got.collect()} == want
