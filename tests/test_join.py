@@ -202,3 +202,11 @@ def test_selection_of_another_form_tries_every_pair(spark, ranked):
         got = master_join(m, t, "k", {"i": ("tx", "i"), "v": ("master", "v")}, select=Selection(cond=cond, order=order, ranked=ranked)).joined
         want = {i: min(able, key=lambda v, i=i: rank(v, i)) for i in range(12) if (able := [v for k, _, v in _MS if k == (1 if i % 2 else None) and met(v, i)])}
         assert {r.i: r.v for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("how", _COMPARED)
+def test_scanned_selection_by_one_comparison_gathers_no_masters(spark, how):
+    both, want = _one_comparison(spark, how, False)
+    assert {r.i: r.v for r in both.joined.collect()} == want
+    assert sorted(r.i for r in both.missed.collect()) == [i for i in range(len(_TS)) if i not in want]
+    assert "collect_list" not in both.joined._jdf.queryExecution().optimizedPlan().toString()
