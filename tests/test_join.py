@@ -210,3 +210,40 @@ def test_scanned_selection_by_one_comparison_gathers_no_masters(spark, how):
     assert {r.i: r.v for r in both.joined.collect()} == want
     assert sorted(r.i for r in both.missed.collect()) == [i for i in range(len(_TS)) if i not in want]
     assert "collect_list" not in both.joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _shuffled_rows(df) -> int:
+    """Rows that the exchanges of a frame wrote when it was collected."""
+    def of(p):
+        kind = p.getClass().getSimpleName()
+        below = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        return sum(map(of, below)) + (p.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_streamed_cogroup_packs_frequent_keys(spark):
+    a = spark.createDataFrame([(1.0, "x"), (0.0, "y"), (float("nan"), "n"), (None, "z"), (-7.0, "alone")], "k DOUBLE, v STRING")
+    k = F.when(F.col("id") % 5 == 0, F.lit(-0.0)).when(F.col("id") % 5 == 1, F.lit(0.0)).when(F.col("id") % 5 == 2, F.lit(float("nan"))).when(F.col("id") % 5 == 3, F.lit(1.0))
+    b = spark.range(0, 200_000, 1, 4).select(F.when(F.col("id") % 2000 == 1999, F.col("id").cast("double")).otherwise(k).alias("k"), (F.col("id") + 9007199254740993).alias("big"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"), F.lit("9999-12-31 23:59:59").cast("timestamp_ntz").alias("until"), (F.col("id") / 7).cast("decimal(20,3)").alias("d"))
+
+    def run(left, right):
+        rows = list(right)
+        assert all(list(r) == ["k", "big", "s", "until", "d"] and r["until"].year == 9999 for r in rows)
+        yield "o", {"v": left[0]["v"] if left else None, "n": len(rows), "big": sum(r["big"] - 9007199254740993 for r in rows), "s": sum(int(r["s"]) for r in rows if r["s"] is not None), "d": sum((r["d"] for r in rows), 0)}
+
+    out = cogroup_stream([(a, GroupKey.of("k")), (b, GroupKey.of("k"))], run, {"o": Model.of("v STRING, n BIGINT, big BIGINT, s BIGINT, d DECIMAL(38,3)")})["o"]
+    got = sorted(map(tuple, out.collect()), key=str)
+    shuffled = _shuffled_rows(out)
+    cases = {v: [i for i in range(200_000) if i % 5 in of and i % 2000 != 1999] for v, of in (("x", (3,)), ("y", (0, 1)), ("n", (2,)), ("z", (4,)))} | {"alone": []}
+    want = {v: (len(ids), sum(ids), sum(i for i in ids if i % 3)) for v, ids in cases.items()}
+    assert {r[0]: r[1:4] for r in got if r[0]} == want
+    assert sum(r[0] is None for r in got) == 100 and sum(r[2] for r in got) == sum(range(200_000))
+    exact = b.agg(F.sum("d")).first()[0]
+    assert sum(r[4] for r in got) == exact
+    assert 100 < shuffled < 2000
+    every = cogroup_stream([(a, GroupKey()), (b, GroupKey())], lambda x, y: iter([("o", {"n": len(x) + sum(1 for _ in y)})]), {"o": Model.of("n BIGINT")})["o"]
+    assert every.first().n == 200_005
+    wide = b.select("k", F.repeat(F.lit("w"), 3000).alias("w")).limit(2000)
+    long = cogroup_stream([(a, GroupKey.of("k")), (wide, GroupKey.of("k"))], lambda x, y: iter([("o", {"n": sum(len(r["w"]) for r in y)})]), {"o": Model.of("n BIGINT")})["o"]
+    assert long.agg(F.sum("n")).first()[0] == 6_000_000

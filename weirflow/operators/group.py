@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weirflow.model import GroupKey, Model, ModelError, col
 from weirflow.operators.sets import of_one_pass
 from weirflow.operators.views import collected
-from weirflow.rows import arrow_schema, fan_out, key_of, records, same_key, tagged, tagged_schema
+from weirflow.rows import arrow_schema, can_pack, fan_out, key_of, packed, records, same_key, tagged, tagged_schema, unpacked
 
 
 def group_sort(df: DataFrame, key: GroupKey, outs: Mapping[str, Callable[[DataFrame, WindowSpec], DataFrame]]) -> dict[str, DataFrame]:
@@ -51,8 +51,8 @@ def _orderable(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() not in ("map", "variant")
 
 
-def _united(inputs: Sequence[tuple[DataFrame, GroupKey]]) -> tuple[DataFrame, int]:
-    """All inputs' rows in one frame: key columns k0.., the input's number ``i`` and its row in ``r<number>``; and how many keys there are."""
+def _united(inputs: Sequence[tuple[DataFrame, GroupKey]], pack: int | None = None) -> tuple[DataFrame, int]:
+    """All inputs' rows in one frame: key columns k0.., the input's number ``i`` and its row in ``r<number>``; and how many keys there are. Rows of the input ``pack`` may come packed."""
     widths = {len(k.by) for _, k in inputs}
     if len(widths) != 1:
         raise ModelError("cogroup: inputs have different numbers of keys")
@@ -66,6 +66,9 @@ def _united(inputs: Sequence[tuple[DataFrame, GroupKey]]) -> tuple[DataFrame, in
     for i, (d, k) in enumerate(inputs):
         row = F.struct(*[col(c) for c in d.columns])
         one = d.select(*[same_key(d, c).alias(f"k{j}") for j, c in enumerate(k.by)], F.lit(i).alias("i"), *[(row if j == i else F.lit(None).cast(kind)).alias(f"r{j}") for j, kind in enumerate(kinds)])
+        if pack is not None:
+            none = [F.lit(None).cast(t).alias(c) for c, t in (("__wf_pack", "binary"), ("__wf_size", "int"))]
+            one = packed(one, [f"k{j}" for j in range(n)], f"r{i}").select("*", F.lit(i).alias("i"), *[F.lit(None).cast(kind).alias(f"r{j}") for j, kind in enumerate(kinds) if j != i]) if i == pack else one.select("*", *none)
         united = one if united is None else united.unionByName(one)
     return united, n
 
@@ -74,10 +77,13 @@ def cogroup_stream(inputs: Sequence[tuple[DataFrame, GroupKey]], fn: Callable[..
     """Cogroup by a Python function whose last input comes as an iterator over any number of rows, readable once.
 
     ``streamed`` names that input (default: the last); the others come as lists, which a task holds for one key at a time. Rows
-    are brought together and sorted by key, input and order in one shuffle, which spills, so no group is ever one row.
+    are brought together and sorted by key, input and order in one shuffle, which spills, so no group is ever one row. A streamed
+    input without an order has the rows of its frequent keys packed before the shuffle, so a task sorts few and small rows.
     """
     last = len(inputs) - 1 if streamed is None else streamed
-    schema, (united, n) = tagged_schema(outs), _united(inputs)
+    d, k = inputs[last]
+    pack = last if not k.order and can_pack(d.schema) else None
+    schema, (united, n) = tagged_schema(outs), _united(inputs, pack)
     arrow, width = arrow_schema(schema), len(inputs)
     keys = [F.col(f"k{j}") for j in range(n)]
     rank = F.when(F.col("i") == last, width).otherwise(F.col("i"))
@@ -93,8 +99,16 @@ def cogroup_stream(inputs: Sequence[tuple[DataFrame, GroupKey]], fn: Callable[..
     names = [f"k{j}" for j in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def read() -> Iterator[dict]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field(f"r{last}").type
+                yield from records(b)
+
         def found() -> Iterator[tuple[str, dict]]:
-            stream = (r for b in batches for r in records(b))
+            stream = read()
             for _, group in groupby(stream, key=key_of(names)):
                 lists: list = [[] for _ in range(width)]
                 first = None
@@ -103,7 +117,8 @@ def cogroup_stream(inputs: Sequence[tuple[DataFrame, GroupKey]], fn: Callable[..
                         first = r
                         break
                     lists[r["i"]].append(r[f"r{r['i']}"])
-                lists[last] = iter(()) if first is None else (r[f"r{last}"] for r in chain([first], group))
+                rows = () if first is None else chain([first], group)
+                lists[last] = (r[f"r{last}"] for r in rows) if pack is None else unpacked(rows, f"r{last}", kind)
                 yield from fn(*lists)
 
         yield from tagged(found(), arrow)

@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weirflow.model import Model, col
+from weirflow.model import VALUE_TYPES, Model, col
 
 #: Records that a function's results gather in before they leave as a batch.
 FLUSH = 5000
+#: Rows of one key that a packed row holds: as many at least, at most, and bytes at most.
+LEAST_PACKED, MOST_PACKED, PACKED_BYTES = 16, 512, 8 << 10
 
 
 def records(batch: pa.RecordBatch) -> list[dict]:
@@ -74,6 +77,63 @@ def same_key(df: DataFrame, name: str) -> Column:
     return F.when(c == 0, F.lit(0).cast(df.schema[name].dataType)).otherwise(c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
 
 
+def can_pack(schema: T.StructType) -> bool:
+    return len(schema) > 0 and all(isinstance(f.dataType, (*VALUE_TYPES, T.TimestampType, T.BinaryType)) for f in schema)
+
+
+def packed(df: DataFrame, names: list[str], row: str) -> DataFrame:
+    """Rows of key columns and a row struct; those whose key is frequent in their batch leave many at a time, compressed, in ``__wf_pack`` (bytes unpacked in ``__wf_size``) and with a null struct."""
+    schema = T.StructType([*df.select(*names, row).schema, T.StructField("__wf_pack", T.BinaryType()), T.StructField("__wf_size", T.IntegerType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _packed(b, names, row)
+
+    return df.select(*names, row).mapInArrow(run, schema)
+
+
+def _packed(b: pa.RecordBatch, names: list[str], row: str) -> Iterator[pa.RecordBatch]:
+    def out(keys: pa.RecordBatch, rows: pa.Array, packs: pa.Array, sizes: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(keys.column(c) for c in names), rows, packs, sizes], names=[*names, row, "__wf_pack", "__wf_size"])
+
+    n = b.num_rows
+    if not n:
+        return
+    most = min(MOST_PACKED, PACKED_BYTES * n // max(1, b.column(row).nbytes))
+    code = np.zeros(n, np.int64)
+    for c in names:
+        e = b.column(c).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(e.dictionary) + e.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    by, counts = np.argsort(code, kind="stable"), np.bincount(code)
+    often = counts >= LEAST_PACKED if most >= LEAST_PACKED else np.zeros(len(counts), bool)
+    single = ~often[code]
+    if single.any():
+        rest = b.filter(pa.array(single))
+        yield out(rest, rest.column(row), pa.nulls(rest.num_rows, pa.binary()), pa.nulls(rest.num_rows, pa.int32()))
+    whole, firsts, packs, sizes = pa.RecordBatch.from_struct_array(b.column(row)), [], [], []
+    ends = np.cumsum(counts)
+    for g in np.flatnonzero(often):
+        for at in range(ends[g] - counts[g], ends[g], most):
+            part = by[at : min(at + most, ends[g])]
+            raw = whole.take(pa.array(part)).serialize()
+            firsts.append(part[0])
+            packs.append(pa.compress(raw, codec="zstd", asbytes=True))
+            sizes.append(raw.size)
+    if firsts:
+        yield out(b.take(pa.array(firsts)), pa.nulls(len(firsts), b.column(row).type), pa.array(packs, pa.binary()), pa.array(sizes, pa.int32()))
+
+
+def unpacked(rows: Iterable[Mapping], row: str, kind: pa.StructType) -> Iterator[dict]:
+    """The records of packed and single rows; ``kind`` is the type of the row struct."""
+    schema = pa.schema(list(kind))
+    for r in rows:
+        if r["__wf_pack"] is None:
+            yield r[row]
+        else:
+            yield from records(pa.ipc.read_record_batch(pa.py_buffer(pa.decompress(r["__wf_pack"], r["__wf_size"], codec="zstd", asbytes=True)), schema))
+
+
 _NAN = object()
 
 
