@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weirflow import queries as core
 from weirflow.model import GroupKey
 from weirflow.operators import Selection, cogroup, cogroup_stream, group_sort, group_sort_with, group_stream, master_branch, master_check, master_join, master_join_update, view
 from weirflow.operators.group import cogroup_with
@@ -212,6 +213,30 @@ def test_scanned_selection_by_one_comparison_gathers_no_masters(spark, how):
     assert "collect_list" not in both.joined._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("how", _COMPARED)
+def test_either_is_both_outputs_by_one_computation(spark, how):
+    both, want = _one_comparison(spark, how, False)
+    one = both.either(lambda t: {"i": t["i"], "v": F.lit(-1)})
+    assert sorted((r.i, r.v) for r in one.collect()) == [(i, want.get(i, -1)) for i in range(len(_TS))]
+    assert [(f.name, f.dataType) for f in one.schema] == [(f.name, f.dataType) for f in both.joined.schema]
+    assert str(one._jdf.queryExecution().optimizedPlan()).count("Window ") == (how != "none")
+    for bad in ({"i": F.lit(1)}, {"i": F.lit(1), "v": F.lit("x")}):
+        with pytest.raises(ModelError):
+            both.either(lambda t: bad)  # noqa: B023
+
+
+def test_either_keeps_a_masters_null(spark):
+    m, t = spark.createDataFrame([(1, None), (2, "b")], "k INT, v STRING"), spark.createDataFrame([(1,), (2,), (3,), (None,)], "k INT")
+    j = master_join(m, t, "k", {"k": ("tx", "k"), "v": ("master", "v")})
+    assert sorted(map(tuple, j.either(lambda t: {"k": t["k"], "v": F.lit("none")}).collect()), key=repr) == [(1, None), (2, "b"), (3, "none"), (None, "none")]
+
+
+@pytest.mark.parametrize("name", ["master_selection_as_of", "master_selection_ranked", "master_selection_scanned"])
+def test_selection_queries_sort_once(spark, name):
+    plan = str(core.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert plan.count("Window ") == 1
+
+
 def _shuffled_rows(df) -> int:
     """Rows that the exchanges of a frame wrote when it was collected."""
     def of(p):

@@ -223,6 +223,14 @@ class Joined(NamedTuple):
     joined: DataFrame
     missed: DataFrame
 
+    def either(self, missed: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+        """Joined records and, for transactions without a master, what ``missed`` (transaction) makes of them: one computation of the join, where a union of both outputs takes two."""
+        new = missed(F.col(T))
+        if set(new) != set(self.joined.columns):
+            raise ModelError(f"either: {', '.join(sorted(new))} for {', '.join(sorted(self.joined.columns))}")
+        out = self.joined._wf_base.select(*[F.when(F.col(M).isNotNull(), c).otherwise(new[d]).alias(d) for d, c in self.joined._wf_made.items()])
+        return same_model(out, self.joined, "either")
+
 
 class Updated(NamedTuple):
     updated: DataFrame
@@ -241,7 +249,9 @@ def master_join(master: DataFrame, tx: DataFrame, key, mapping: Mapping[str, tup
     for d, (s, c) in mapping.items():
         if c not in (master if s == "master" else tx).columns:
             raise ModelError(f"master_join: {d} comes from {s}.{c}, which is not there")
-    joined = both.where(F.col(M).isNotNull()).select(*[F.col(side[s])[c].alias(d) for d, (s, c) in mapping.items()])
+    made = {d: F.col(side[s])[c] for d, (s, c) in mapping.items()}
+    joined = both.where(F.col(M).isNotNull()).select(*[c.alias(d) for d, c in made.items()])
+    joined._wf_made = made
     return Joined(*of_one_pass(both, joined, _columns(both.where(F.col(M).isNull()), T, tx.columns)))
 
 
